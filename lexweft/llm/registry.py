@@ -1,9 +1,9 @@
 """All queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from lexweft.llm import line_dedup, media, simhash, token_counts, token_files
+from lexweft.llm import importance, line_dedup, media, mixing, simhash, token_counts, token_files
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (token_counts, media, token_files, simhash, line_dedup):
+for _module in (token_counts, mixing, media, token_files, simhash, line_dedup, importance):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
