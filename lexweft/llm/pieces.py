@@ -15,61 +15,114 @@ feed, that stands alone between characters that are no white space.
 import os
 import re
 
+import numpy as np
+
 #: Where white space meets white space (or an end) in a way that a cut could change.
 _UNSAFE = re.compile(r"\s\s|^\s|\s\Z")
+#: White space but for the blank and the line feed: in ASCII and beyond.
+_RARE_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_RARE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Pieces that are encoded as one text, their ids told apart by the blank that leads each.
+JOINED = 64
+
+
+def _plain(text: str) -> bool:
+    """Whether each white space of ``text`` stands alone between characters that are none."""
+    if any(c in text for c in _RARE_ASCII) or not text.isascii() and any(c in text for c in _RARE):
+        return not _UNSAFE.search(text)
+    ends = text[:1] in " \n" or text[-1:] in " \n"
+    return not (ends or "  " in text or "\n\n" in text or " \n" in text or "\n " in text)
 
 
 class PieceEncoder:
     """``encode(texts)`` gives for each text the list of its pieces' values.
 
-    The value of a piece is ``make(encoding)``. At most ``cache_limit`` pieces
-    are kept; a full cache starts anew.
+    The value of a piece is ``make(encoding)``. The cache holds at most
+    ``cache_limit`` pieces of at most ``longest`` characters. Frequent pieces
+    come early, so a full cache keeps what it has; it starts anew when more than
+    a share ``stale`` of a call's pieces miss it.
     """
 
-    def __init__(self, path, leading, make, cache_limit=300_000, longest=64):
+    def __init__(self, path, leading, make, cache_limit=500_000, longest=64, stale=0.2):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.leading, self.make, self.cache_limit, self.longest = leading, make, cache_limit, longest
+        self.leading, self.make, self.cache_limit, self.longest, self.stale = leading, make, cache_limit, longest, stale
         self.cache: dict = {}
+        if leading:
+            self.led = np.zeros(1 << 17, bool)
+            self.led[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
 
     def _values(self, pieces):
-        return [self.make(e) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return list(map(self.make, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)))
+
+    def _piece_values(self, keys):
+        """Values of pieces by their keys."""
+        if not self.leading:
+            return self._values(keys)
+        if self.make is not _ids16:
+            return self._values([k if k[:1] == "\n" else " " + k for k in keys])
+        out = [b""] * len(keys)
+        lines = [i for i, k in enumerate(keys) if k[:1] == "\n"]
+        for i, v in zip(lines, self._values([keys[i] for i in lines])):
+            out[i] = v
+        words = [i for i, k in enumerate(keys) if k[:1] != "\n"]
+        groups = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        texts = ["".join([" " + keys[i] for i in g]) for g in groups]
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u2")
+            at = np.flatnonzero(self.led[ids]).tolist()
+            if len(at) == len(g):
+                data = ids.tobytes()
+                for i, a, z in zip(g, at, [*at[1:], len(ids)]):
+                    out[i] = data[2 * a : 2 * z]
+            else:
+                for i, v in zip(g, self._values([" " + keys[i] for i in g])):
+                    out[i] = v
+        return out
 
     def _cut(self, text):
         """Keys of the pieces; None if the text must be encoded whole. The first is never preceded by a blank."""
         if not self.leading:
             return text.replace("\n", " ").split(" ")
-        if _UNSAFE.search(text):
+        if not _plain(text):
             return None
         return text.replace("\n", " \n").split(" ")
 
     def encode(self, texts):
         cut = [self._cut(t) for t in texts]
-        if len(self.cache) > self.cache_limit:
-            self.cache.clear()
-        cache, fresh = self.cache, set()
-        for keys in cut:
-            if keys:
-                fresh.update(keys[1:] if self.leading else keys)
-        fresh.difference_update(cache)
-        extra = {k for k in fresh if len(k) > self.longest}
-        fresh = [k for k in fresh if len(k) <= self.longest]
-        wide = list(extra)
-        whole = lambda k: k if not self.leading or k[:1] == "\n" else " " + k
-        cache.update(zip(fresh, self._values([whole(k) for k in fresh])))
-        rare = dict(zip(wide, self._values([whole(k) for k in wide])))
-        alone = [t if keys is None else keys[0] for t, keys in zip(texts, cut)] if self.leading else []
-        first = self._values(alone)
-        out = []
-        for i, keys in enumerate(cut):
-            if keys is None:
-                out.append([first[i]])
-                continue
-            if extra:
-                values = [cache[k] if k in cache else rare[k] for k in (keys[1:] if self.leading else keys)]
-            else:
-                values = [cache[k] for k in (keys[1:] if self.leading else keys)]
-            out.append([first[i], *values] if self.leading else values)
-        return out
+        # The first piece of a text has no blank before it, so it isn't looked up where blanks count.
+        heads = self._values([t if keys is None else keys[0] for t, keys in zip(texts, cut)]) if self.leading else []
+        rest = [(keys or ())[1:] for keys in cut] if self.leading else cut
+        cache = self.cache
+        out = [list(map(cache.get, keys)) for keys in rest]
+        lacking = [i for i, values in enumerate(out) if None in values]
+        missing = list({k for i in lacking for k, v in zip(rest[i], out[i]) if v is None})
+        fresh = dict(zip(missing, self._piece_values(missing)))
+        for i in lacking:
+            out[i] = [fresh[k] if v is None else v for k, v in zip(rest[i], out[i])]
+        if len(cache) >= self.cache_limit and len(missing) > self.stale * sum(map(len, rest)):
+            cache.clear()
+        room = self.cache_limit - len(cache)
+        cache.update((k, fresh[k]) for k in [k for k in missing if len(k) <= self.longest][:room])
+        return [[head, *values] for head, values in zip(heads, out)] if self.leading else out
+
+
+def _ids16(encoding) -> bytes:
+    return np.array(encoding.ids, "<u2").tobytes()
+
+
+_KINDS = {"ids16": _ids16, "count": len}
+_ENCODERS: dict = {}
+
+
+def shared_encoder(path: str, leading: bool, kind: str) -> PieceEncoder:
+    """One encoder for a Python worker's life, so its cache serves all tasks the worker runs.
+
+    ``kind``: "ids16" for ids as little-endian u16 bytes, "count" for their number.
+    """
+    key = (path, leading, kind)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = PieceEncoder(path, leading, _KINDS[kind])
+    return _ENCODERS[key]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweft.llm.common import table
-from lexweft.llm.pieces import PieceEncoder
+from lexweft.llm.pieces import shared_encoder
 
 MARGIN = 32
 #: Documents that a task encodes at a time.
@@ -86,7 +86,7 @@ def count_tokens(
     """``(doc_id, n_tokens)`` for each row of ``docs``; the tokenizer must drop white space."""
 
     def run(batches):
-        coder = PieceEncoder(tokenizer_path, False, len)
+        coder = shared_encoder(tokenizer_path, False, "count")
         for batch in batches:
             for at in range(0, batch.num_rows, AT_ONCE):
                 some = batch.slice(at, AT_ONCE)

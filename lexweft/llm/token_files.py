@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweft.llm.common import shared_path, table
-from lexweft.llm.pieces import PieceEncoder
+from lexweft.llm.pieces import shared_encoder
 from lexweft.llm.rans import Segment, encode_segment
 
 SCHEMA = "part int, seq int, n_docs long, n_ids long, segment binary"
@@ -39,7 +39,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, segment_
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        coder = PieceEncoder(tokenizer_path, True, lambda e: np.array(e.ids, "<u2").tobytes())
+        coder = shared_encoder(tokenizer_path, True, "ids16")
         tail = np.array([end_id], "<u2").tobytes()
         held, doc_ids, lengths, n = [], [], [], 0
 
@@ -129,5 +129,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_rows(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {"op5_token_files": op5_token_files}
 ORACLES: dict = {}
