@@ -83,7 +83,7 @@ def _hash_part(data: bytes):
     """Word hashes and shape hashes of a piece of text, with the words' starts."""
     words, starts = _word_hashes(np.frombuffer(data.lower(), np.uint8))
     shape = _SHAPE[np.frombuffer(data, np.uint8)]
-    same = np.concatenate([[False], (shape[1:] == shape[:-1]) & _RUN[shape[1:]]])
+    same = np.concatenate([[False], (shape[1:] == shape[:-1]) & _RUN[shape[1:]]])[: len(shape)]
     shapes, _ = _word_hashes(shape[~same])
     return words, shapes, starts
 

@@ -1,9 +1,20 @@
 """All queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from lexweft.llm import importance, licenses, line_dedup, media, mixing, secrets, simhash, token_counts, token_files
+from lexweft.llm import (
+    importance,
+    licenses,
+    line_dedup,
+    media,
+    mixing,
+    secrets,
+    simhash,
+    templates,
+    token_counts,
+    token_files,
+)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (token_counts, mixing, media, token_files, secrets, simhash, licenses, line_dedup, importance):
+for _module in (token_counts, templates, mixing, media, token_files, secrets, simhash, licenses, line_dedup, importance):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

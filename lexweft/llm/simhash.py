@@ -29,7 +29,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweft.llm.common import materialize, table
@@ -63,15 +63,16 @@ def fingerprint(data: bytes, words_each: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words_each: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` with fp a signed long, for each row of ``docs``."""
+    """``(doc_id, th, fp)`` with th a hash of the text and fp a signed long, for each row of ``docs``."""
 
     def run(batches):
         for batch in batches:
-            fps = np.fromiter((fingerprint(x or b"", words_each) for x in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(x or b"", words_each) for x in batch.column(2).to_pylist()), np.uint64, batch.num_rows)
+            columns = [batch.column(0), batch.column(1), pa.array(fps.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "fp"])
 
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    return own.mapInArrow(run, "doc_id long, fp long")
+    own = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").cast("binary"))
+    return own.mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def _cells(nodes: DataFrame) -> DataFrame:
@@ -115,20 +116,34 @@ def links(nodes: DataFrame, cell_limit: int = 64) -> DataFrame:
 
 
 def components(fps: DataFrame, cell_limit: int = 64) -> DataFrame:
-    """``(fp, component_id)`` for each distinct fingerprint of ``fps`` (doc_id, fp)."""
+    """``(fp, root, component_id)`` for each distinct fingerprint of ``fps`` (doc_id, fp)."""
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
     star = connected_components(links(nodes, cell_limit), "simhash")
     own = star.select(F.col("u").alias("fp"), F.col("v").alias("root")).union(star.select("v", "v").distinct())
     member = own.join(nodes, "fp")
     least = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    linked = member.join(least, "root").select("fp", "component_id")
-    return nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
+    linked = member.join(least, "root").select("fp", "root", "component_id")
+    return nodes.join(linked, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least_id").alias("component_id")
+    )
 
 
 def near_duplicates(docs: DataFrame, words_each: int = 3, cell_limit: int = 64) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for each row of ``docs``."""
+    """``(doc_id, th, fp, root, component_id)`` for each row of ``docs``; root is the component's least fingerprint."""
     fps = materialize(fingerprints(docs, words_each), "fingerprints")
-    return fps.join(components(fps, cell_limit), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(components(fps, cell_limit), "fp").select("doc_id", "th", "fp", "root", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, words_each: int = 3, cell_limit: int = 64) -> DataFrame:
+    """One row of ``docs`` for each component, that of the least doc_id (null last), with all its columns."""
+    found = near_duplicates(docs, words_each, cell_limit)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    first = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("k_id"), F.col("first.th").alias("k_th"))
+    first = materialize(first, "keepers")
+    own = docs.withColumn("_th", F.xxhash64("text"))
+    kept = own.join(first, own["doc_id"].eqNullSafe(first["k_id"]) & (own["_th"] == first["k_th"]))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_th").orderBy("_th"))
+    return kept.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,5 +151,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_duplicates(docs)
+
+
 QUERIES = {"op7_simhash": op7_simhash}
 ORACLES: dict = {}
