@@ -102,49 +102,42 @@ def _parts(data: bytes):
         at = end + 1
 
 
-def features(texts: list[bytes]):
-    """``(document, bucket)`` arrays for all n-grams of ``texts``."""
-    words, shapes, owners = [], [], []
+def _groups(texts: list[bytes]):
+    """Word hashes, shape hashes and documents of the words, for some documents at a time."""
     group, first, size = [], 0, 0
 
-    def flush():
-        if group:
-            joined = b"\n".join(group)
-            w, s, starts = _hash_part(joined)
-            begins = np.cumsum([0, *(len(t) + 1 for t in group[:-1])])
-            words.append(w)
-            shapes.append(s)
-            owners.append(first + np.searchsorted(begins, starts, "right") - 1)
+    def hashed():
+        words, shapes, starts = _hash_part(b"\n".join(group))
+        begins = np.cumsum([0, *(len(t) + 1 for t in group[:-1])])
+        return words, shapes, first + np.searchsorted(begins, starts, "right") - 1
 
     for i, t in enumerate(texts):
+        if group and size + len(t) > AT_ONCE:
+            yield hashed()
+            group, size = [], 0
         if len(t) > AT_ONCE:
-            flush()
-            for part in _parts(t):
-                w, s, _ = _hash_part(part)
-                words.append(w)
-                shapes.append(s)
-                owners.append(np.full(len(w), i))
-            group, first, size = [], i + 1, 0
+            parts = [_hash_part(p)[:2] for p in _parts(t)]
+            words = np.concatenate([w for w, _ in parts])
+            yield words, np.concatenate([s for _, s in parts]), np.full(len(words), i)
             continue
-        if size + len(t) > AT_ONCE:
-            flush()
-            group, first, size = [], i, 0
+        if not group:
+            first = i
         group.append(t)
         size += len(t) + 1
-    flush()
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    w, s, o = np.concatenate(words), np.concatenate(shapes), np.concatenate(owners)
-    docs, hashes = [o], [_mix(s + np.uint64(11))]
-    for lag in range(1, LAGS + 1):
-        own = o[lag:] == o[:-lag]
-        if lag == 1:
-            docs.append(o[1:][own])
-            hashes.append(_mix(s[:-1] * np.uint64(3) + s[1:] + np.uint64(12))[own])
-        docs.append(o[lag:][own])
-        repeats = np.where(w[lag:] == w[:-lag], lag, lag + 100).astype(np.uint64)
-        hashes.append(_mix(repeats + np.uint64(991))[own])
-    return np.concatenate(docs), np.concatenate(hashes).astype(np.int64)
+    if group:
+        yield hashed()
+
+
+def features(texts: list[bytes]):
+    """``(documents, buckets)`` arrays for all n-grams of ``texts``, one kind of n-gram and some documents at a time."""
+    for w, s, o in _groups(texts):
+        yield o, _mix(s + np.uint64(11)).astype(np.int64)
+        for lag in range(1, LAGS + 1):
+            own = o[lag:] == o[:-lag]
+            if lag == 1:
+                yield o[1:][own], _mix(s[:-1] * np.uint64(3) + s[1:] + np.uint64(12))[own].astype(np.int64)
+            repeats = np.where(w[lag:] == w[:-lag], lag, lag + 100).astype(np.uint64)
+            yield o[lag:][own], _mix(repeats + np.uint64(991))[own].astype(np.int64)
 
 
 def ngram_counts(docs: DataFrame, good_ids: DataFrame) -> np.ndarray:
@@ -153,10 +146,10 @@ def ngram_counts(docs: DataFrame, good_ids: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros((2, 1 << BUCKET_BITS), np.int64)
         for batch in batches:
-            of, bucket = features([x or b"" for x in batch.column(0).to_pylist()])
             good = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            total[0] += np.bincount(bucket, minlength=total.shape[1])
-            total[1] += np.bincount(bucket[good[of]], minlength=total.shape[1])
+            for of, bucket in features([x or b"" for x in batch.column(0).to_pylist()]):
+                total[0] += np.bincount(bucket, minlength=total.shape[1])
+                total[1] += np.bincount(bucket[good[of]], minlength=total.shape[1])
         some = np.flatnonzero(total[0])
         columns = [pa.array(x.astype(np.int64)) for x in (some, total[0][some], total[1][some])]
         yield pa.RecordBatch.from_arrays(columns, names=["bucket", "raw", "target"])
@@ -190,9 +183,11 @@ def with_weights(docs: DataFrame, ratios: np.ndarray, seed: int = 7) -> DataFram
 
     @F.arrow_udf("double")
     def weigh(texts: pa.Array) -> pa.Array:
-        of, bucket = features([x or b"" for x in texts.to_pylist()])
-        total = np.bincount(of, weights=ratios[bucket], minlength=len(texts))
-        total[np.bincount(of, minlength=len(texts)) == 0] = -np.inf
+        total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        for of, bucket in features([x or b"" for x in texts.to_pylist()]):
+            total += np.bincount(of, weights=ratios[bucket], minlength=len(texts))
+            n += np.bincount(of, minlength=len(texts))
+        total[n == 0] = -np.inf
         return pa.array(total)
 
     # From a hash of the doc_id, so that a task that runs again draws the same.

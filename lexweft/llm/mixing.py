@@ -59,7 +59,7 @@ def targets(sizes: list[int], weights: list[float], max_repeats: float = 3.0) ->
         share = {i: rest * weights[i] / weight for i in free}
         over = {i for i in free if share[i] > max_repeats * sizes[i]}
         if not over:
-            return [share.get(i, max_repeats * sizes[i]) for i in range(len(sizes))]
+            return [share.get(i, float(max_repeats * sizes[i])) for i in range(len(sizes))]
         capped |= over
 
 

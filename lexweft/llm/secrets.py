@@ -108,17 +108,18 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     columns = [c for c in docs.columns if c != "spans"]
     if queries:
         index = build_index(docs, sorted({t for _, clause in queries for t in clause}))
-        found = candidates(index, queries).select(F.col("key").alias("c_key"), "rules")
+        found = candidates(index, queries).select(F.col("key").alias("c_key"), F.col("rules").alias("c_rules"))
         joined = docs.select(*columns, _key(text).alias("c_own")).join(found, F.col("c_own") == F.col("c_key"), "left")
     else:
-        joined = docs.select(*columns).withColumn("rules", F.lit(None).cast("array<int>"))
-    each = []
-    for i, rule in enumerate(rules):
-        spans = F.transform(
-            rule_spans(text, rule), lambda s, i=i: F.struct(s["start"].alias("start"), F.lit(i).alias("rule"), s["kind"].alias("kind"), s["end"].alias("end"))
-        )
-        none = F.expr("cast(array() AS array<struct<start: int, rule: int, kind: string, end: int>>)")
-        each.append(spans if known[i] is None else F.when(F.array_contains("rules", i), spans).otherwise(none))
+        joined = docs.select(*columns).withColumn("c_rules", F.lit(None).cast("array<int>"))
+    none = F.expr("cast(array() AS array<struct<start: int, rule: int, kind: string, end: int>>)")
+
+    def numbered(i, rule):
+        order = lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("rule"), s["kind"].alias("kind"), s["end"].alias("end"))
+        spans = F.transform(rule_spans(text, rule), order)
+        return spans if known[i] is None else F.when(F.array_contains("c_rules", i), spans).otherwise(none)
+
+    each = [numbered(i, rule) for i, rule in enumerate(rules)]
     return joined.select(*columns, F.array_sort(F.concat(*each)).alias("spans"))
 
 

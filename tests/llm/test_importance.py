@@ -10,10 +10,10 @@ def test_features_do_not_depend_on_the_batch():
     texts = [b"", b" ", b"word"] + [b"".join(parts[i] for i in rng.integers(0, len(parts), n)) for n in rng.integers(1, 60, 40)]
     texts.append(b"many words of text " * (2 * AT_ONCE // 19))
     texts.append(b"x" * (AT_ONCE + 5))
-    of, bucket = features(texts)
+    of, bucket = map(np.concatenate, zip(*features(texts)))
     assert bucket.min() >= 0 and bucket.max() < 1 << BUCKET_BITS
     for i, t in enumerate(texts):
-        alone = features([t])[1]
+        alone = np.concatenate([b for _, b in features([t])] or [np.zeros(0, int)])
         assert np.array_equal(np.sort(alone), np.sort(bucket[of == i]))
         n = len(t.split())
         assert len(alone) == n + max(0, n - 1) + sum(max(0, n - k) for k in range(1, 9))
