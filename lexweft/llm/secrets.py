@@ -26,7 +26,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweft.llm.common import table
+from lexweft.llm.common import bind, table
 from lexweft.llm.trigrams import trigram_query
 
 
@@ -62,9 +62,10 @@ def _key(text: Column) -> Column:
 def build_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """Postings ``(trigram, key)`` for the documents that contain each of ``trigrams`` in any case."""
     text = F.coalesce("text", F.lit(""))
-    folded = docs.select(_key(text).alias("key"), F.lower(text).alias("folded"))
-    held = F.filter(F.array(*[F.lit(t) for t in trigrams]), lambda t: F.contains(F.col("folded"), t))
-    return folded.select("key", held.alias("held")).select(F.explode("held").alias("trigram"), "key")
+    wanted = F.array(*[F.lit(t) for t in trigrams])
+    # Bound once: within the filter, an inlined lower() would run again for each trigram.
+    held = bind(F.lower(text), lambda folded: F.filter(wanted, lambda t: F.contains(folded, t)))
+    return docs.select(_key(text).alias("key"), held.alias("held")).select("key", F.explode("held").alias("trigram")).select("trigram", "key")
 
 
 def candidates(index: DataFrame, queries: list[tuple[int, frozenset[str]]]) -> DataFrame:
