@@ -9,6 +9,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lexweft.functions import text
 
@@ -17,7 +18,7 @@ def needs_exact(c: Column) -> Column:
     return F.regexp_like(F.coalesce(c, F.lit("")), F.lit(r"[^\x00-\x7F]"))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def fold_exact(values: pa.Array) -> pa.Array:
     """Compatibility decomposition without combining marks, case-folded, white space collapsed."""
 
@@ -30,7 +31,7 @@ def fold_exact(values: pa.Array) -> pa.Array:
     return pa.array([one(v) for v in values.to_pylist()], pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def compose(values: pa.Array) -> pa.Array:
     """Canonical composition (NFC)."""
     return pa.array([None if v is None else unicodedata.normalize("NFC", v) for v in values.to_pylist()], pa.string())
