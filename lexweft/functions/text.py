@@ -9,6 +9,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexweft.functions.columns import bind
+
 WS = r"(?U)[\s\x1C-\x1F]"
 MAX_VALUE = 256
 #: Precomposed lower-case Latin letters and what remains of them without their marks.
@@ -41,7 +43,7 @@ def normalize_markdown(c: Column) -> Column:
     lines = F.regexp_replace(c, F.lit(r"\r\n?"), F.lit("\n"))
     lines = F.regexp_replace(lines, F.lit(r"[ \t]+\n"), F.lit("\n"))
     body = ws_strip(F.regexp_replace(lines, F.lit(r"\n{4,}"), F.lit("\n\n\n")))
-    return F.when(body != "", F.concat(body, F.lit("\n"))).otherwise(body)
+    return bind(body, lambda b: F.when(b != "", F.concat(b, F.lit("\n"))).otherwise(b))
 
 
 def plain_text(c: Column) -> Column:
@@ -91,15 +93,17 @@ def safe_filename(name: Column) -> Column:
 
 def repair_mojibake(c: Column) -> Column:
     """Undoes UTF-8 that was read as Latin-1, for strings as a whole, and what is left of usual quotes and dashes."""
-    suspect = F.regexp_like(c, F.lit("[ÃÂâ]"))
+    return bind(c, _repaired)
+
+
+def _repaired(c: Column) -> Column:
     # Strings with other characters than Latin-1 can't be encoded back; the guard keeps encode from raising.
     latin = F.regexp_like(c, F.lit(r"\A[\x{00}-\x{FF}]*\z"))
-    as_bytes = F.encode(F.when(latin, c).otherwise(F.lit("")), "ISO-8859-1")
-    ok = latin & F.is_valid_utf8(as_bytes.cast("string"))
-    repaired = F.when(ok, as_bytes.cast("string")).otherwise(c)
+    as_text = F.encode(F.when(latin, c).otherwise(F.lit("")), "ISO-8859-1").cast("string")
+    repaired = bind(as_text, lambda t: F.when(latin & F.is_valid_utf8(t), t).otherwise(c))
     for broken, sign in (("�", ""), ("â€œ", '"'), ("â€\x9d", '"'), ("â€˜", "'"), ("â€™", "'"), ("â€“", "-"), ("â€”", "-")):
         repaired = F.replace(repaired, F.lit(broken), F.lit(sign))
-    return F.when(suspect, repaired).otherwise(c)
+    return F.when(F.regexp_like(c, F.lit("[ÃÂâ]")), repaired).otherwise(c)
 
 
 def clean_text(c: Column) -> Column:
@@ -114,19 +118,25 @@ def clean_text(c: Column) -> Column:
 
 def fit_value(c: Column, most: int = MAX_VALUE) -> Column:
     """At most ``most`` characters: as it is, else the first sentence, else clipped with dots."""
-    compact = ws_strip(ws_collapse(c))
-    stop = F.instr(compact, F.lit(". "))
-    clipped = F.concat(ws_rstrip(F.substring(compact, 1, most - 3)), F.lit("..."))
-    sentence = F.when(stop.between(1, most), F.substring(compact, F.lit(1), stop)).otherwise(clipped)
-    return F.when(F.char_length(compact) <= most, compact).otherwise(sentence)
+
+    def fitted(compact):
+        stop = F.instr(compact, F.lit(". "))
+        clipped = F.concat(ws_rstrip(F.substring(compact, 1, most - 3)), F.lit("..."))
+        sentence = F.when(stop.between(1, most), F.substring(compact, F.lit(1), stop)).otherwise(clipped)
+        return F.when(F.char_length(compact) <= most, compact).otherwise(sentence)
+
+    return bind(ws_strip(ws_collapse(c)), fitted)
 
 
 def strip_code_fence(c: Column) -> Column:
     """What stands between Markdown fences, if the text opens with one."""
-    body = ws_strip(c)
-    inner = ws_strip(F.regexp_replace(body, F.lit(r"\A```(?:json)?"), F.lit("")))
-    inner = ws_strip(F.regexp_replace(inner, F.lit(r"```\n?\z"), F.lit("")))
-    return F.when(F.startswith(body, F.lit("```")), inner).otherwise(body)
+
+    def inner(body):
+        opened = ws_strip(F.regexp_replace(body, F.lit(r"\A```(?:json)?"), F.lit("")))
+        closed = ws_strip(F.regexp_replace(opened, F.lit(r"```\n?\z"), F.lit("")))
+        return F.when(F.startswith(body, F.lit("```")), closed).otherwise(body)
+
+    return bind(ws_strip(c), inner)
 
 
 def concat_parts(parts: Column) -> Column:
