@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexweft.llm.common import materialize, table
+from lexweft.llm.common import BLANKS, bind, materialize, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: The most sources whose plan is broadcast.
@@ -209,10 +209,14 @@ class Mix:
         same = own["doc_id"].eqNullSafe(keyed["k_id"]) & (own["_hash"] == keyed["k_hash"]) & (own["_copy"] == keyed["k_copy"])
         joined = own.join(keyed, same)
         words = F.regexp_extract_all(F.concat("text", F.lit("\n")), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-        text = F.expr(
-            "array_join(transform(parts, p -> array_join(slice(_words, int(p.first_word) + 1, int(p.n_words)), '')), '')"
+        # Bound once: within the transform, an inlined split would run again for each part.
+        text = bind(
+            words,
+            lambda w: F.array_join(
+                F.transform("parts", lambda p: F.array_join(F.slice(w, p["first_word"].cast("int") + 1, p["n_words"].cast("int")), "")), ""
+            ),
         )
-        return joined.withColumn("_words", words).select(*[F.rtrim(text, F.lit(" \n\t\r\x0b\x0c")).alias("text") if c == "text" else F.col(c) for c in columns])
+        return joined.select(*[F.rtrim(text, F.lit(BLANKS)).alias("text") if c == "text" else F.col(c) for c in columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
