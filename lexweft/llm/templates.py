@@ -54,10 +54,12 @@ _WORD = rf"[{NAME}{UNIT}]?[\p{{L}}\p{{M}}]+|{UNIT}[%°€£$]|{NUMBER}[0-9.,]*[0
 
 def words(text: Column) -> Column:
     """Words of ``text`` in order; names, units and numbers have a sign in front that says so."""
-    named = F.regexp_replace(F.coalesce(text, F.lit("")), F.lit(_NAME_AT), F.lit(NAME + "$1"))
-    units = F.when(F.regexp_like(named, F.lit("[0-9%°€£$]")), F.regexp_replace(named, F.lit(_UNIT_AT), F.lit(UNIT + "$1$2"))).otherwise(named)
-    numbers = F.when(F.regexp_like(units, F.lit("[0-9]")), F.regexp_replace(units, F.lit(_NUMBER_AT), F.lit(NUMBER + "$1"))).otherwise(units)
-    return F.regexp_extract_all(numbers, F.lit(_WORD), F.lit(0))
+    whole = F.coalesce(text, F.lit(""))
+    named = F.regexp_replace(whole, F.lit(_NAME_AT), F.lit(NAME + "$1"))
+    units = F.regexp_replace(named, F.lit(_UNIT_AT), F.lit(UNIT + "$1$2"))
+    numbers = F.regexp_replace(units, F.lit(_NUMBER_AT), F.lit(NUMBER + "$1"))
+    split = lambda c: F.regexp_extract_all(c, F.lit(_WORD), F.lit(0))
+    return F.when(F.regexp_like(whole, F.lit("[0-9%°€£$]")), split(numbers)).otherwise(split(named))
 
 
 def is_slot(word: Column) -> Column:
@@ -70,14 +72,17 @@ def _template(word: Column) -> Column:
 
 def window_hashes(raw: Column, window: int) -> Column:
     """A hash for each run of ``window`` template words, by its first word."""
-    hashed = F.transform(raw, lambda w: F.xxhash64(_template(w)))
-    none = F.expr("cast(array() AS array<bigint>)")
-    return bind(
-        hashed,
-        lambda h: F.when(
-            F.size(h) >= window, F.transform(F.sequence(F.lit(0), F.size(h) - window), lambda i: F.xxhash64(F.slice(h, i + 1, window)))
-        ).otherwise(none),
-    )
+
+    def joined(hashes, apart):
+        """Hashes of each element with the one ``apart`` places on; the last ones, without a partner, are cut off in the end."""
+        return bind(hashes, lambda h: F.zip_with(h, F.slice(h, F.lit(apart + 1), F.greatest(F.size(h) - apart, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
+
+    # Runs of 2, 4, 8 ... words from two of half the length; the last step overlaps if window is no power of two.
+    hashed, width = F.transform(raw, lambda w: F.xxhash64(_template(w))), 1
+    while width < window:
+        step = min(width, window - width)
+        hashed, width = joined(hashed, step), width + step
+    return bind(hashed, lambda h: F.slice(h, F.lit(1), F.greatest(F.size(h) - (window - 1), F.lit(0))))
 
 
 def _slots(raw: Column, at: Column, window: int) -> Column:
