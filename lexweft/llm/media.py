@@ -242,15 +242,19 @@ def find_media(data: bytes, signatures) -> tuple[list[tuple[int, int, str]], int
     return sorted(valid), claims
 
 
-def sniff(df: DataFrame, content: str, declared: str | None = None, carve: bool = False) -> DataFrame:
-    """``df`` with ``media_type``, ``media_length``, ``type_corrected``, ``magic_hits`` and ``embedded``.
+_PART = pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("content", pa.binary())])
+_PAYLOAD = pa.struct([("bytes", pa.int64()), ("sha", pa.string()), ("tail", pa.int64()), ("mean", pa.float64())])
+_FOUND = pa.struct([("type", pa.string()), ("length", pa.int64()), ("hits", pa.int64()), ("embedded", pa.list_(_PART)), ("payload", _PAYLOAD)])
+FOUND = (
+    "struct<type: string, length: long, hits: long, embedded: array<struct<offset: long, length: long, type: string, content: binary>>,"
+    " payload: struct<bytes: long, sha: string, tail: long, mean: double>>"
+)
 
-    ``embedded`` lists ``(offset, length, type)``, with the bytes if ``carve``.
-    """
-    part = "struct<offset: long, length: long, type: string, content: binary>"
-    shape = f"struct<type: string, length: long, hits: long, embedded: array<{part}>>"
 
-    @F.arrow_udf(shape)
+def _look(carve: bool, digest: bool):
+    """A UDF that finds media in each value; with ``digest`` it also reads the samples of whole sound files."""
+
+    @F.arrow_udf(FOUND)
     def look(values: pa.Array) -> pa.Array:
         signatures, rows = automaton(), []
         for v in values:
@@ -259,19 +263,26 @@ def sniff(df: DataFrame, content: str, declared: str | None = None, carve: bool
                 rows.append(None)
                 continue
             valid, claims = find_media(data, signatures)
-            own = next(((n, kind) for at, n, kind in valid if at == 0), (None, None if data else "application/x-empty"))
+            length, kind = next(((n, kind) for at, n, kind in valid if at == 0), (None, None if data else "application/x-empty"))
             inner = [
-                {"offset": at, "length": n, "type": kind, "content": data[at : at + n] if carve else None}
-                for at, n, kind in valid
-                if at
+                {"offset": at, "length": n, "type": kind, "content": data[at : at + n] if carve else None} for at, n, kind in valid if at
             ]
-            rows.append({"type": own[1], "length": own[0], "hits": claims, "embedded": inner})
-        fields = [("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("content", pa.binary())]
-        kind = pa.struct([("type", pa.string()), ("length", pa.int64()), ("hits", pa.int64()), ("embedded", pa.list_(pa.struct(fields)))])
-        return pa.array(rows, kind)
+            whole = digest and kind == "audio/wav" and length == len(data)
+            rows.append({"type": kind, "length": length, "hits": claims, "embedded": inner, "payload": digests(from_wav(data)) if whole else None})
+        return pa.array(rows, _FOUND)
+
+    return look
+
+
+def sniff(df: DataFrame, content: str, declared: str | None = None, carve: bool = False, digest: bool = False) -> DataFrame:
+    """``df`` with ``media_type``, ``media_length``, ``type_corrected``, ``magic_hits`` and ``embedded``.
 
+    ``embedded`` lists ``(offset, length, type)``, with the bytes if ``carve``.
+    ``payload`` has digests of the samples if ``digest`` and the value is a whole
+    sound file.
+    """
     said = F.col(declared) if declared else F.lit(None).cast("string")
-    found = df.withColumn("_found", look(F.col(content)))
+    found = df.withColumn("_found", _look(carve, digest)(F.col(content)))
     kind = F.coalesce("_found.type", said, F.lit("application/octet-stream"))
     return found.select(
         *[df[c] for c in df.columns],
@@ -280,6 +291,7 @@ def sniff(df: DataFrame, content: str, declared: str | None = None, carve: bool
         (F.col("_found.type").isNotNull() & ~F.col("_found.type").eqNullSafe(said)).alias("type_corrected"),
         F.col("_found.hits").alias("magic_hits"),
         F.col("_found.embedded").alias("embedded"),
+        *([F.col("_found.payload").alias("payload")] if digest else []),
     )
 
 
@@ -323,24 +335,20 @@ def store_texts(docs: DataFrame) -> DataFrame:
     )
 
 
-def read_payloads(media: DataFrame) -> DataFrame:
-    """Digests of what the stored bytes hold, read back through the sniffed type."""
-    shape = "struct<bytes: long, sha: string, tail: long, mean: double>"
+def digests(payload: bytes) -> dict:
+    return {
+        "bytes": len(payload),
+        "sha": hashlib.sha256(payload).hexdigest(),
+        "tail": zlib.crc32(payload[-16:]),
+        "mean": float(np.frombuffer(payload, np.uint8).mean()),
+    }
 
-    @F.arrow_udf(shape)
-    def read(values: pa.Array) -> pa.Array:
-        rows = []
-        for v in values:
-            p = from_wav(v.as_py())
-            rows.append({"bytes": len(p), "sha": hashlib.sha256(p).hexdigest(), "tail": zlib.crc32(p[-16:]), "mean": float(np.frombuffer(p, np.uint8).mean())})
-        kind = pa.struct([("bytes", pa.int64()), ("sha", pa.string()), ("tail", pa.int64()), ("mean", pa.float64())])
-        return pa.array(rows, kind)
-
-    seen = sniff(media, "media", "declared")
-    wav = (F.col("media_type") == "audio/wav") & (F.col("media_length") == F.octet_length("media"))
-    return seen.select(
-        "*", F.when(wav, F.col("media")).otherwise(F.raise_error(F.lit("a stored value is no whole sound file"))).alias("sound")
-    ).withColumn("payload", read("sound"))
+
+def read_payloads(media: DataFrame) -> DataFrame:
+    """Digests of what the stored bytes hold, read back through the sniffed type; a value that is no whole sound file is an error."""
+    broken = F.raise_error(F.lit("a stored value is no whole sound file"))
+    read = sniff(media, "media", "declared", digest=True)
+    return read.withColumn("payload", F.when(F.col("payload").isNotNull(), F.col("payload")).otherwise(broken))
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
