@@ -37,7 +37,7 @@ from lexweft.llm.common import materialize, table
 
 BUCKET_BITS = 14
 #: Bytes hashed at a time.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 LAGS = 8
 
 _BLANK = np.zeros(256, bool)
