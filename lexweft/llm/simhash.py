@@ -29,7 +29,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweft.llm.common import materialize, table
@@ -39,26 +39,31 @@ from lexweft.llm.components import connected_components
 BITS_AT_ONCE = 1 << 17
 
 
-def fingerprint(data: bytes, words_each: int = 3) -> int:
-    """SimHash over XXH64 (seed 42) of word shingles, as an unsigned integer."""
+def shingle_hashes(data: bytes, words_each: int):
+    """Arrays of XXH64 (seed 42) of the word shingles of ``data``, some at a time; nothing for a blank text."""
     import xxhash
 
     words = data.lower().split()
     if not words:
-        return 0
-    if len(words) <= words_each:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42)
+        return
     joined = b" ".join(words)
+    if len(words) <= words_each:
+        yield np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+        return
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     pairs = list(zip(starts[: len(words) - words_each + 1].tolist(), ends[words_each - 1 :].tolist()))
-    total, n = np.zeros(64, np.int64), len(pairs)
-    for at in range(0, n, BITS_AT_ONCE):
+    for at in range(0, len(pairs), BITS_AT_ONCE):
         part = pairs[at : at + BITS_AT_ONCE]
-        hashes = np.fromiter(
-            map(xxhash.xxh64_intdigest, [joined[a:b] for a, b in part], repeat(42)), np.uint64, len(part)
-        )
+        yield np.fromiter(map(xxhash.xxh64_intdigest, [joined[a:b] for a, b in part], repeat(42)), np.uint64, len(part))
+
+
+def fingerprint(data: bytes, words_each: int = 3) -> int:
+    """SimHash over XXH64 (seed 42) of word shingles, as an unsigned integer."""
+    total, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(data, words_each):
         total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
 
 
@@ -134,26 +139,10 @@ def near_duplicates(docs: DataFrame, words_each: int = 3, cell_limit: int = 64)
     return fps.join(components(fps, cell_limit), "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words_each: int = 3, cell_limit: int = 64) -> DataFrame:
-    """One row of ``docs`` for each component, that of the least doc_id (null last), with all its columns."""
-    found = near_duplicates(docs, words_each, cell_limit)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    first = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("k_id"), F.col("first.th").alias("k_th"))
-    first = materialize(first, "keepers")
-    own = docs.withColumn("_th", F.xxhash64("text"))
-    kept = own.join(first, own["doc_id"].eqNullSafe(first["k_id"]) & (own["_th"] == first["k_th"]))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_th").orderBy("_th"))
-    return kept.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
-
-
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
-
-
 QUERIES = {"op7_simhash": op7_simhash}
 ORACLES: dict = {}
