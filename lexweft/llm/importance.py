@@ -5,10 +5,12 @@ of raw text (the whole corpus). A document's weight is the ratio of the two for
 its n-grams, and a sample in proportion to the weights is drawn without
 replacement by Gumbel top-k: the k largest of log weight plus Gumbel noise.
 
-The n-grams are those that quality shows in whatever the language: unigrams and
-bigrams of word shapes (runs of lower-case letters, capitals and digits are one
-sign each, other signs stand as they are), and whether a word repeats one of
-the eight words before it. Bytes are hashed for whole batches at once.
+The n-grams are of the text itself: lower-cased words, pairs of words and runs of
+four bytes. Others show form in whatever the language and have a table of their
+own: unigrams and bigrams of word shapes (runs of lower-case letters, capitals
+and digits are one sign each, other signs stand as they are), and whether a word
+repeats one of the eight words before it. Bytes are hashed for whole batches at
+once. Target text is labelled good and, where labels tell, not toxic.
 
 k is the number of documents whose log weight is at least ``least_log_weight``
 (or given), so noise decides among documents about as likely to be target as
@@ -36,6 +38,10 @@ from pyspark.sql import functions as F
 from lexweft.llm.common import materialize, table
 
 BUCKET_BITS = 14
+#: For the n-grams of the text itself.
+CONTENT_BITS = 18
+#: Bytes of a character n-gram.
+CHARS = 4
 #: Bytes hashed at a time.
 AT_ONCE = 1 << 18
 LAGS = 8
@@ -63,10 +69,10 @@ def _powers(n: int):
     return _POWERS["up"], _POWERS["down"]
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def _mix(h: np.ndarray, bits: int = BUCKET_BITS) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return h >> np.uint64(64 - BUCKET_BITS)
+    return h >> np.uint64(64 - bits)
 
 
 def _word_hashes(a: np.ndarray):
@@ -140,16 +146,53 @@ def features(texts: list[bytes]):
             yield o[lag:][own], _mix(repeats + np.uint64(991))[own].astype(np.int64)
 
 
+def _char_grams(texts: list[bytes]):
+    """Hashes of all runs of CHARS bytes and their documents, about AT_ONCE bytes at a time."""
+    grams, owners, size = [], [], 0
+    for i, t in enumerate(texts):
+        data = np.frombuffer(t.lower(), np.uint8)
+        for at in range(0, len(data) - CHARS + 1, AT_ONCE):
+            part = data[at : at + AT_ONCE + CHARS - 1].astype(np.uint64)
+            n = len(part) - CHARS + 1
+            grams.append(sum(part[k : k + n] << np.uint64(8 * k) for k in range(CHARS)))
+            owners.append(np.full(n, i))
+            size += n
+            if size >= AT_ONCE:
+                yield np.concatenate(owners), np.concatenate(grams)
+                grams, owners, size = [], [], 0
+    if grams:
+        yield np.concatenate(owners), np.concatenate(grams)
+
+
+def content_features(texts: list[bytes]):
+    """``(documents, buckets)`` arrays for the n-grams of the text itself, some documents at a time."""
+    for w, _, o in _groups(texts):
+        own = o[1:] == o[:-1]
+        pairs = (w[:-1] * np.uint64(3) + w[1:] + np.uint64(22))[own]
+        yield np.concatenate([o, o[1:][own]]), _mix(np.concatenate([w + np.uint64(21), pairs]), CONTENT_BITS).astype(np.int64)
+    for o, g in _char_grams(texts):
+        yield o, _mix(g * np.uint64(_BASE) + np.uint64(23), CONTENT_BITS).astype(np.int64)
+
+
+#: Each kind of n-gram with its table (first bucket, number of buckets) and its prior.
+#: Words are rarer than shapes; a smaller prior than 500 takes few labels' own words for quality.
+KINDS = ((features, 0, 1 << BUCKET_BITS, 50.0), (content_features, 1 << BUCKET_BITS, 1 << CONTENT_BITS, 500.0))
+BUCKETS = (1 << BUCKET_BITS) + (1 << CONTENT_BITS)
+
+
 def ngram_counts(docs: DataFrame, good_ids: DataFrame) -> np.ndarray:
-    """Raw and target counts per bucket, an array of shape (2, buckets)."""
+    """Raw and target counts per bucket of all tables, an array of shape (2, BUCKETS)."""
 
     def count(batches):
-        total = np.zeros((2, 1 << BUCKET_BITS), np.int64)
+        total = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
             good = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for of, bucket in features([x or b"" for x in batch.column(0).to_pylist()]):
-                total[0] += np.bincount(bucket, minlength=total.shape[1])
-                total[1] += np.bincount(bucket[good[of]], minlength=total.shape[1])
+            texts = [x or b"" for x in batch.column(0).to_pylist()]
+            for kind, first, n, _ in KINDS:
+                part = total[:, first : first + n]
+                for of, bucket in kind(texts):
+                    part[0] += np.bincount(bucket, minlength=n)
+                    part[1] += np.bincount(bucket[good[of]], minlength=n)
         some = np.flatnonzero(total[0])
         columns = [pa.array(x.astype(np.int64)) for x in (some, total[0][some], total[1][some])]
         yield pa.RecordBatch.from_arrays(columns, names=["bucket", "raw", "target"])
@@ -157,9 +200,10 @@ def ngram_counts(docs: DataFrame, good_ids: DataFrame) -> np.ndarray:
     marked = docs.join(F.broadcast(good_ids.select("doc_id", F.lit(True).alias("good"))), "doc_id", "left")
     own = marked.select(F.col("text").cast("binary"), F.coalesce("good", F.lit(False)).alias("good"))
     summed = own.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
-    out = np.zeros((2, 1 << BUCKET_BITS), np.int64)
-    for bucket, raw, target in summed.collect():  # as many rows as buckets at most
-        out[:, bucket] = raw, target
+    out = np.zeros((2, BUCKETS), np.int64)
+    rows = summed.toArrow()  # as many rows as buckets at most
+    bucket, raw, target = (c.to_numpy() for c in rows.columns)
+    out[:, bucket] = raw, target
     return out
 
 
@@ -173,9 +217,13 @@ def log_ratios(counts: np.ndarray, prior: float = 50.0) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> np.ndarray:
     """Log ratios per bucket from all of ``docs`` and at most ``fit_rows`` rows labelled good."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    good = labels.where("quality = 1 AND doc_id IS NOT NULL")
+    if "toxic" in labels.columns:
+        good = good.where("toxic = 0")
+    good = good.select("doc_id").distinct()
     sample = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    return log_ratios(ngram_counts(docs, sample))
+    counts = ngram_counts(docs, sample)
+    return np.concatenate([log_ratios(counts[:, first : first + n], prior) for _, first, n, prior in KINDS])
 
 
 def with_weights(docs: DataFrame, ratios: np.ndarray, seed: int = 7) -> DataFrame:
@@ -184,9 +232,11 @@ def with_weights(docs: DataFrame, ratios: np.ndarray, seed: int = 7) -> DataFram
     @F.arrow_udf("double")
     def weigh(texts: pa.Array) -> pa.Array:
         total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        for of, bucket in features([x or b"" for x in texts.to_pylist()]):
-            total += np.bincount(of, weights=ratios[bucket], minlength=len(texts))
-            n += np.bincount(of, minlength=len(texts))
+        own = [x or b"" for x in texts.to_pylist()]
+        for kind, first, _, _ in KINDS:
+            for of, bucket in kind(own):
+                total += np.bincount(of, weights=ratios[first + bucket], minlength=len(texts))
+                n += np.bincount(of, minlength=len(texts))
         total[n == 0] = -np.inf
         return pa.array(total)
 
