@@ -3,7 +3,8 @@
 A text becomes a sequence of words in which numbers, names and units are typed
 placeholders, so a question asked again with other figures keeps its template.
 Windows of template words are hashed on both sides and joined. Matches of a
-document and an item on one diagonal are gathered, and what stands in the
+document and an item are gathered on one diagonal, and on chains of diagonals a
+few words apart, as words put in or left out move the rest; what stands in the
 placeholders is compared: each value of the item must go with one value of the
 document and the reverse, wherever it occurs. A document with windows that cover
 enough of an item in a consistent way holds it, verbatim or re-parameterised.
@@ -27,7 +28,7 @@ are ignored by the search, kept by the filter. Empty tables give an empty
 result, and an empty benchmark leaves all documents in.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweft.llm.common import bind, materialize, table
@@ -39,6 +40,9 @@ SMALL_FOUND = 1_000_000
 #: The least literal words of a window.
 LITERAL = 2
 
+#: The most words put in or left out at one place between windows of a chain.
+GAP = 4
+
 NAME, UNIT, NUMBER = "\u0001", "\u0002", "\u0003"
 #: Signs of units, singular and plural, that count as such behind a number.
 UNITS = (
@@ -115,13 +119,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, stride: int
     return found.select("doc_id", "item_id", "item_windows", "evidence", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", pairs.alias("pairs"))
 
 
+def _chained(met: DataFrame) -> DataFrame:
+    """``met`` with ``chain``: the least of a run of shifts, each at most GAP words from the next."""
+    order = Window.partitionBy("doc_id", "item_id").orderBy("shift")
+    starts = F.when(F.col("shift") - F.lag("shift").over(order) <= GAP, None).otherwise(F.col("shift"))
+    return met.withColumn("_start", starts).withColumn("chain", F.last("_start", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_start")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, stride: int = 4, coverage: float = 0.5) -> DataFrame:
     """``(doc_id, item_id, coverage, reparameterised)``: items that documents hold in a consistent way."""
     met = matches(docs, benchmark, window, stride)
     # A window found again at the same shift (repeated rows) counts once; a diagonal has at most the item's windows.
     one = met.groupBy("doc_id", "item_id", "item_windows", "shift", "item_at", "evidence").agg(F.min("pairs").alias("pairs"))
-    along = one.groupBy("doc_id", "item_id", "item_windows", "shift").agg(
-        F.sum("evidence").alias("n"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")
+    ways = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("at")) for k, c in (("diagonal", "shift"), ("chain", "chain"))))
+    along = _chained(one).withColumn("way", F.explode(ways)).groupBy("doc_id", "item_id", "item_windows", "way").agg(
+        F.size(F.collect_set(F.when(F.col("evidence") == 1, F.col("item_at")))).alias("n"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")
     )
     distinct = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
     consistent = (distinct("item") == F.size("pairs")) & (distinct("doc") == F.size("pairs") - _shared_figures())
