@@ -5,8 +5,9 @@ placeholders, so a question asked again with other figures keeps its template.
 Windows of template words are hashed on both sides and joined. Matches of a
 document and an item are gathered on one diagonal, and on chains of diagonals a
 few words apart, as words put in or left out move the rest; what stands in the
-placeholders is compared: each value of the item must go with one value of the
-document and the reverse, wherever it occurs. A document with windows that cover
+placeholders is compared: each name of the item must go with one name of the
+document and the reverse, wherever it occurs. Figures and units may differ each
+for itself, as two that agree by chance do when they change. A document with windows that cover
 enough of an item in a consistent way holds it, verbatim or re-parameterised.
 
 DataFrame functions only. Documents never move: their windows are made and
@@ -135,21 +136,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, stride: i
     along = _chained(one).withColumn("way", F.explode(ways)).groupBy("doc_id", "item_id", "item_windows", "way").agg(
         F.size(F.collect_set(F.when(F.col("evidence") == 1, F.col("item_at")))).alias("n"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")
     )
-    distinct = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    consistent = (distinct("item") == F.size("pairs")) & (distinct("doc") == F.size("pairs") - _shared_figures())
+    named = F.filter("pairs", lambda p: F.startswith(p["item"], F.lit(NAME)))
+    distinct = lambda side: F.size(F.array_distinct(F.transform(named, lambda p: p[side])))
+    consistent = (distinct("item") == F.size(named)) & (distinct("doc") == F.size(named))
     share = F.col("n") / F.col("item_windows")
     good = along.where(consistent & (share >= coverage))
     changed = F.exists("pairs", lambda p: p["item"] != p["doc"])
     return good.groupBy("doc_id", "item_id").agg(F.max(share).alias("coverage"), F.min(changed).alias("reparameterised"))
 
 
-def _shared_figures() -> Column:
-    """How many pairs repeat a number or unit of the document: two figures may become equal, two people may not."""
-    of = lambda p: p["doc"]
-    figures = F.transform(F.filter("pairs", lambda p: ~F.startswith(p["doc"], F.lit(NAME))), of)
-    return F.size(figures) - F.size(F.array_distinct(figures))
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """``docs`` without those that hold an item."""
     found = materialize(find_leaks(docs, benchmark, **how).select(F.col("doc_id").alias("found_id")).distinct(), "leaks")

@@ -14,3 +14,9 @@ def test_words_put_in_or_left_out(spark):
     apart = [*words[:12], *(f"far{chr(97 + i)}" for i in range(20)), *words[12:]]
     got = _found(spark, [(1, " ".join(one)), (2, " ".join(out)), (3, " ".join(apart)), (4, " ".join(words))], [(7, " ".join(words))])
     assert got[4, 7] == 1 and got[1, 7] == 0.8 and (2, 7) in got and (3, 7) not in got
+
+
+def test_equal_figures_may_become_different(spark):
+    item = "The farmer keeps 2 apples in the cellar for 2 days and then sells the rest at the market, as Maria and Peter do."
+    docs = [(1, item.replace("2 apples", "3 apples").replace("2 days", "5 days")), (2, item.replace("Peter", "Maria"))]
+    assert set(_found(spark, docs, [(7, item)])) == {(1, 7)}
