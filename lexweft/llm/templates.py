@@ -16,11 +16,13 @@ broadcast below ``SMALL_WINDOWS`` of them and joined by a shuffle beyond that.
 Within an item, windows start every ``stride`` words, which spares matches but
 no finding: any run of window + stride - 1 words holds one of them.
 
-Names are title-case words behind a word, comma or semicolon and a blank, so not
-at the start of a sentence or a line; words all in capitals are words. Only
-windows of which half the words are literal count as evidence. Those with fewer,
-but at least LITERAL, are matched too, for what stands in their placeholders;
-others would match whatever is asked.
+Names are title-case words behind a word, comma or semicolon and a blank. At the
+start of a sentence or a line a title-case word may be a name or not, so windows
+with such starts are hashed both ways on both sides, with the starts as words
+and as names. Words all in capitals are words. Only windows of which half the
+words are literal count as evidence. Those with fewer, but at least LITERAL, are
+matched too, for what stands in their placeholders; others would match whatever
+is asked.
 
 Defined results for odd input: null and empty texts have no windows and hold
 nothing. An item with fewer words than a window is too short to tell and is
@@ -75,49 +77,71 @@ def _template(word: Column) -> Column:
     return F.when(is_slot(word), F.substring(word, 1, 1)).otherwise(F.lower(word))
 
 
-def window_hashes(raw: Column, window: int) -> Column:
-    """A hash for each run of ``window`` template words, by its first word."""
+def is_start(word: Column) -> Column:
+    """Whether a word is in title case but no name by its place: it starts a sentence, line or quotation."""
+    return ~is_slot(word) & (word != F.lower(word)) & F.regexp_like(word, F.lit(r"^\p{Lu}\p{Ll}"))
+
+
+def _runs(hashed: Column, window: int) -> Column:
+    """A hash for each run of ``window`` word hashes, by its first word."""
 
     def joined(hashes, apart):
         """Hashes of each element with the one ``apart`` places on; the last ones, without a partner, are cut off in the end."""
         return bind(hashes, lambda h: F.zip_with(h, F.slice(h, F.lit(apart + 1), F.greatest(F.size(h) - apart, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
 
     # Runs of 2, 4, 8 ... words from two of half the length; the last step overlaps if window is no power of two.
-    hashed, width = F.transform(raw, lambda w: F.xxhash64(_template(w))), 1
+    width = 1
     while width < window:
         step = min(width, window - width)
         hashed, width = joined(hashed, step), width + step
     return bind(hashed, lambda h: F.slice(h, F.lit(1), F.greatest(F.size(h) - (window - 1), F.lit(0))))
 
 
-def _slots(raw: Column, at: Column, window: int) -> Column:
+def window_hashes(raw: Column, window: int) -> Column:
+    """Hashes of all runs of ``window`` template words by first word, then those with starts as names, null where no start is in."""
+
+    def both(plain):
+        named = F.zip_with(raw, plain, lambda w, h: F.when(is_start(w), F.xxhash64(F.lit(NAME))).otherwise(h))
+        return bind(_runs(plain, window), lambda a: F.concat(a, F.zip_with(_runs(named, window), a, lambda y, x: F.when(y != x, y))))
+
+    return bind(F.transform(raw, lambda w: F.xxhash64(_template(w))), both)
+
+
+def _windows(texts: DataFrame, key: str, window: int) -> DataFrame:
+    """``(key, raw, n, at, started, hash)`` for each window of ``texts`` (key, raw); started if its starts are names."""
+    hashed = texts.select(key, "raw", window_hashes(F.col("raw"), window).alias("hashes"))
+    each = hashed.select(key, "raw", F.shiftright(F.size("hashes"), 1).alias("n"), F.posexplode("hashes").alias("pos", "hash"))
+    return each.where("hash IS NOT NULL").select(key, "raw", "n", (F.col("pos") % F.col("n")).alias("at"), (F.col("pos") >= F.col("n")).alias("started"), "hash")
+
+
+def _slots(raw: Column, at: Column, started: Column, window: int) -> Column:
     """Values of the placeholders in a window, in order and lower-cased."""
-    return F.transform(F.filter(F.slice(raw, at + 1, window), is_slot), F.lower)
+    own = F.filter(F.slice(raw, at + 1, window), lambda w: is_slot(w) | (started & is_start(w)))
+    return F.transform(own, lambda w: F.when(is_slot(w), F.lower(w)).otherwise(F.concat(F.lit(NAME), F.lower(w))))
 
 
 def item_windows(benchmark: DataFrame, window: int, stride: int) -> DataFrame:
-    """``(item_id, hash, item_at, item_slots, evidence, item_windows)``; the last window of an item is always among them."""
+    """``(item_id, hash, item_at, item_started, item_slots, evidence, item_windows)``; the last window of an item is always among them."""
     raw = benchmark.select("item_id", words(F.col("text")).alias("raw")).distinct()
-    hashed = raw.select("item_id", "raw", window_hashes(F.col("raw"), window).alias("hashes"))
-    each = hashed.select("item_id", "raw", F.size("hashes").alias("n"), F.posexplode("hashes").alias("item_at", "hash"))
+    each = _windows(raw, "item_id", window).withColumnsRenamed({"at": "item_at", "started": "item_started"})
     some = each.where((F.col("item_at") % stride == 0) | (F.col("item_at") == F.col("n") - 1))
-    slots = some.withColumn("item_slots", _slots(F.col("raw"), F.col("item_at"), window)).where(F.size("item_slots") <= window - LITERAL)
+    slots = some.withColumn("item_slots", _slots(F.col("raw"), F.col("item_at"), F.col("item_started"), window)).where(F.size("item_slots") <= window - LITERAL)
     slots = slots.withColumn("evidence", F.when(F.size("item_slots") * 2 <= window, 1).otherwise(0))
-    held = slots.groupBy("item_id").agg(F.sum("evidence").alias("item_windows")).where("item_windows > 0")
-    return slots.join(held, "item_id").select("item_id", "hash", "item_at", "item_slots", "evidence", "item_windows")
+    held = slots.where("evidence = 1").groupBy("item_id").agg(F.count_distinct("item_at").alias("item_windows"))
+    return slots.join(held, "item_id").select("item_id", "hash", "item_at", "item_started", "item_slots", "evidence", "item_windows")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, stride: int = 4) -> DataFrame:
-    """Each document window that is an item window: ``(doc_id, item_id, item_windows, evidence, shift, item_at, pairs)``."""
+    """Each document window that is an item window: ``(doc_id, item_id, item_windows, evidence, shift, item_at, started, pairs)``."""
     items = materialize(item_windows(benchmark, window, stride), "items")
     if items.count() <= SMALL_WINDOWS:
         items = F.broadcast(items)
     raw = docs.select("doc_id", words(F.col("text")).alias("raw"))
-    hashed = raw.select("doc_id", "raw", window_hashes(F.col("raw"), window).alias("hashes"))
-    each = hashed.select("doc_id", "raw", F.posexplode("hashes").alias("at", "hash"))
-    found = each.join(items, "hash")
-    pairs = F.zip_with("item_slots", _slots(F.col("raw"), F.col("at"), window), lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
-    return found.select("doc_id", "item_id", "item_windows", "evidence", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", pairs.alias("pairs"))
+    found = _windows(raw, "doc_id", window).join(items, "hash")
+    doc_slots = _slots(F.col("raw"), F.col("at"), F.col("started"), window)
+    pairs = F.zip_with("item_slots", doc_slots, lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
+    started = F.col("started") | F.col("item_started")
+    return found.select("doc_id", "item_id", "item_windows", "evidence", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", started.alias("started"), pairs.alias("pairs"))
 
 
 def _chained(met: DataFrame) -> DataFrame:
@@ -131,8 +155,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, stride: i
     """``(doc_id, item_id, coverage, reparameterised)``: items that documents hold in a consistent way."""
     met = matches(docs, benchmark, window, stride)
     # A window found again at the same shift (repeated rows) counts once; a diagonal has at most the item's windows.
-    one = met.groupBy("doc_id", "item_id", "item_windows", "shift", "item_at", "evidence").agg(F.min("pairs").alias("pairs"))
-    ways = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("at")) for k, c in (("diagonal", "shift"), ("chain", "chain"))))
+    one = met.groupBy("doc_id", "item_id", "item_windows", "shift", "item_at", "evidence", "started").agg(F.min("pairs").alias("pairs"))
+    # With and without windows that take starts for names, as other words than names open sentences too.
+    kinds = [(k, c, s) for k, c in (("diagonal", "shift"), ("chain", "chain")) for s in (F.lit(True), F.col("started"))]
+    ways = F.array_distinct(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("at"), s.alias("starts")) for k, c, s in kinds)))
     along = _chained(one).withColumn("way", F.explode(ways)).groupBy("doc_id", "item_id", "item_windows", "way").agg(
         F.size(F.collect_set(F.when(F.col("evidence") == 1, F.col("item_at")))).alias("n"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")
     )

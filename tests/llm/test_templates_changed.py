@@ -20,3 +20,10 @@ def test_equal_figures_may_become_different(spark):
     item = "The farmer keeps 2 apples in the cellar for 2 days and then sells the rest at the market, as Maria and Peter do."
     docs = [(1, item.replace("2 apples", "3 apples").replace("2 days", "5 days")), (2, item.replace("Peter", "Maria"))]
     assert set(_found(spark, docs, [(7, item)])) == {(1, 7)}
+
+
+def test_names_at_the_start_of_sentences(spark):
+    item = "Tom has 5 red apples. Tom buys 3 more. How many apples does Tom have now?"
+    swap = item.replace("Tom", "Ann").replace("5", "9").replace("3", "4")
+    docs = [(1, item), (2, f"Some text before. {swap} And more."), (3, swap.replace("Ann buys", "Eva buys")), (4, item.lower())]
+    assert set(_found(spark, docs, [(7, item)])) == {(1, 7), (2, 7), (4, 7)}
