@@ -1,6 +1,7 @@
 """Retrieval: prompts, hints, top-k by cosine similarity, answers and their citations."""
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,6 +134,29 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "vec
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def top_k_blocks(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", most: int = 10_000) -> DataFrame:
+    """``top_k`` for any number of queries, at most ``most`` of them broadcast at a time.
+
+    Blocks are by a hash of the id. Where there is more than one, each is searched
+    and written to the shared folder before the next is broadcast.
+    """
+    block = lambda n: F.pmod(F.xxhash64(id_col), F.lit(n))
+    found, n = queries.limit(most + 1).count(), 1
+    if found <= most:
+        return top_k(queries, vectors, k, id_col, vec_col)
+    while queries.groupBy(block(n)).count().agg(F.max("count")).first()[0] > most:
+        n *= 2
+        if n > 1 << 40:
+            raise ValueError(f"more than {most} queries share an id")
+    spark = queries.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    path = f"{base.rstrip('/')}/lexweft-{uuid.uuid4().hex}/topk"
+    for i in range(n):
+        part = top_k(check_bounded(queries.where(block(n) == i), most), vectors, k, id_col, vec_col)
+        part.write.mode("append").parquet(path)
+    return spark.read.schema(part.schema).parquet(path)
+
+
 def citation_fields(title: Column, body: Column, metadata: Column) -> list[Column]:
     """file_id, file_name, snippet and file_url of a retrieved chunk; ``metadata`` is a map."""
     get = lambda k: F.nullif(text.clean_text(F.try_element_at(metadata, F.lit(k))), F.lit(""))

@@ -463,8 +463,7 @@ SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (
   FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0) WHERE rank <= 5""")
 def retrieve_topk(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
-    asked = retrieval.check_bounded(e.where("vec_id % 100 = 0"))
-    return retrieval.top_k(asked, e, 5).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    return retrieval.top_k_blocks(e.where("vec_id % 100 = 0"), e, 5).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 # --- the whole path for documents ---
