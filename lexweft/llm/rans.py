@@ -28,8 +28,8 @@ import numpy as np
 BITS = 18
 TOTAL = 1 << BITS
 LOW = np.uint64(1 << 31)
-LANES = 64
-BLOCK_IDS = 1 << 15
+LANES = 256
+BLOCK_IDS = 1 << 16
 _HEAD = struct.Struct("<4sBHIQIIII")
 _CHECK = np.dtype([("ids", "<u4"), ("words", "<u4"), ("at", "<u8"), ("crc", "<u4")])
 
@@ -76,8 +76,9 @@ def encode_segment(ids: np.ndarray, doc_ids: list, lengths: np.ndarray, lanes: i
         out.append(state[:, ::-1][spill[:, ::-1]].astype(np.uint32))
         emitted.append(spill.sum(1))
         state = np.where(spill, state >> np.uint64(32), state)
-        q, r = np.divmod(state, f)
-        state = np.where(on, (q << np.uint64(BITS)) + r + of_start[s], state)
+        q = state // f
+        # q * TOTAL + (state - q * f), with one division
+        state = np.where(on, q * (np.uint64(TOTAL) - f) + state + of_start[s], state)
     words = np.concatenate(out) if out else np.zeros(0, np.uint32)
     per = np.array(emitted, np.int64).reshape(len(emitted), blocks)
     # Steps came out back to front, blocks within a step; a block's words must stand together in reading order.

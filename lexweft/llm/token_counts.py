@@ -23,16 +23,16 @@ than ``doc_id`` and ``text`` are ignored; repeated rows stay repeated; an empty
 table gives an empty result.
 """
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweft.llm.common import table
-from lexweft.llm.pieces import shared_encoder
+from lexweft.llm.pieces import byte_slices, shared_encoder
 
 MARGIN = 32
-#: Documents that a task encodes at a time.
-AT_ONCE = 256
 
 
 class Chunk:
@@ -41,26 +41,32 @@ class Chunk:
     def __init__(self, tokenizer, text, begin, end):
         self.begin, self.end = begin, end
         encoding = tokenizer.encode(text[begin:end], add_special_tokens=False)
-        self.ids, words = encoding.ids, encoding.word_ids
-        self.starts = [a + begin for a, _ in encoding.offsets]
-        self.boundaries = {s for i, s in enumerate(self.starts) if i == 0 or words[i] != words[i - 1]}
+        self.ids, self.words = np.array(encoding.ids, np.uint32), encoding.word_ids
+        self.starts = np.fromiter((a for a, _ in encoding.offsets), np.int64, len(self.ids)) + begin
 
     def span(self, low, high):
-        return [(s, x) for s, x in zip(self.starts, self.ids) if low <= s < high]
+        """Starts and ids of the tokens that start in [low, high)."""
+        i, j = np.searchsorted(self.starts, (low, high))
+        return self.starts[i:j], self.ids[i:j]
+
+    def boundaries(self, low, high):
+        """Starts of pre-tokens in [low, high]."""
+        i, j = np.searchsorted(self.starts, (low, high + 1)).tolist()
+        return {int(self.starts[k]) for k in range(i, j) if not k or self.words[k] != self.words[k - 1]}
 
 
 def _splice(text, left, right):
     """The first proven common boundary of two neighbouring chunks, None if there is none."""
     low, high = right.begin + MARGIN, left.end - MARGIN
-    for p in sorted(b for b in left.boundaries & right.boundaries if low <= b <= high):
-        if (text[p] < "\x80" or text[p - 1].isspace()) and left.span(p, high) == right.span(p, high):
+    for p in sorted(left.boundaries(low, high) & right.boundaries(low, high)):
+        if (text[p] < "\x80" or text[p - 1].isspace()) and all(map(np.array_equal, left.span(p, high), right.span(p, high))):
             return p
     return None
 
 
-def resynchronised_ids(tokenizer, text: str, chunk_chars: int = 16384, overlap_chars: int = 512) -> list[int]:
+def resynchronised_ids(tokenizer, text: str, chunk_chars: int = 8192, overlap_chars: int = 256) -> np.ndarray:
     """Ids of ``text`` from overlapping chunks, equal to those of the whole text encoded at once."""
-    out: list[int] = []
+    out = []
     n, kept_from = len(text), 0
     left = Chunk(tokenizer, text, 0, min(n, chunk_chars))
     while left.end < n:
@@ -73,37 +79,32 @@ def resynchronised_ids(tokenizer, text: str, chunk_chars: int = 16384, overlap_c
                 break
             p = _splice(text, left, right)
             if p is not None and p > kept_from:
-                out += [x for _, x in left.span(kept_from, p)]
+                out.append(left.span(kept_from, p)[1])
                 left, kept_from = right, p
                 break
             overlap *= 2
-    return out + [x for _, x in left.span(kept_from, n + 1)]
+    return np.concatenate([*out, left.span(kept_from, n + 1)[1]])
 
 
 def count_tokens(
-    docs: DataFrame, tokenizer_path: str, huge_chars: int = 32768, chunk_chars: int = 16384, overlap_chars: int = 512
+    docs: DataFrame, tokenizer_path: str, huge_chars: int = 8192, chunk_chars: int = 8192, overlap_chars: int = 256
 ) -> DataFrame:
-    """``(doc_id, n_tokens)`` for each row of ``docs``; the tokenizer must drop white space."""
+    """``(doc_id, n_tokens, n_bytes)`` for each row of ``docs``; the tokenizer must drop white space."""
 
     def run(batches):
-        coder = shared_encoder(tokenizer_path, False, "count")
+        coder = shared_encoder(tokenizer_path, False)
         for batch in batches:
-            for at in range(0, batch.num_rows, AT_ONCE):
-                some = batch.slice(at, AT_ONCE)
-                texts = [x or "" for x in some.column(1).to_pylist()]
-                huge = {
-                    i: len(resynchronised_ids(coder.tokenizer, t, chunk_chars, overlap_chars))
-                    for i, t in enumerate(texts)
-                    if len(t) > huge_chars
-                }
-                each = coder.encode(["" if i in huge else t for i, t in enumerate(texts)])
-                counts = [huge.get(i, sum(v)) for i, v in enumerate(each)]
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(counts, pa.int64()), some.column(2)], names=["doc_id", "n_tokens", "n_bytes"]
-                )
-
-    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
-    own = docs.select(F.col("doc_id").cast("long"), "text", n_bytes)
+            for some in byte_slices(batch, 1):
+                texts = some.column(1)
+                huge = pc.greater(pc.utf8_length(texts), huge_chars)
+                counts = coder.counts(pc.if_else(huge, "", texts))
+                at = pc.indices_nonzero(huge)
+                for i, t in zip(at.to_pylist(), texts.take(at).to_pylist()):
+                    counts[i] = len(resynchronised_ids(coder.tokenizer, t, chunk_chars, overlap_chars))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(counts, pa.int64()), some.column(2)], names=["doc_id", "n_tokens", "n_bytes"])
+
+    text = F.coalesce("text", F.lit(""))
+    own = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     return own.mapInArrow(run, "doc_id long, n_tokens long, n_bytes long")
 
 

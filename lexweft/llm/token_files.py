@@ -24,12 +24,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweft.llm.common import shared_path, table
-from lexweft.llm.pieces import shared_encoder
+from lexweft.llm.pieces import byte_slices, shared_encoder
 from lexweft.llm.rans import Segment, encode_segment
 
 SCHEMA = "part int, seq int, n_docs long, n_ids long, segment binary"
-#: Documents that a task tokenises at a time.
-AT_ONCE = 256
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, segment_ids: int = 1 << 20) -> DataFrame:
@@ -39,14 +37,13 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, segment_
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        coder = shared_encoder(tokenizer_path, True, "ids16")
-        tail = np.array([end_id], "<u2").tobytes()
+        coder = shared_encoder(tokenizer_path, True)
         held, doc_ids, lengths, n = [], [], [], 0
 
         def close():
             nonlocal seq, held, doc_ids, lengths, n
-            ids = np.frombuffer(b"".join(held), "<u2")
-            row = [part, seq, len(doc_ids), n, encode_segment(ids, doc_ids, np.array(lengths, np.int64))]
+            each = np.concatenate(lengths)
+            row = [part, seq, len(each), n, encode_segment(np.concatenate(held), pa.chunked_array(doc_ids).to_pylist(), each)]
             seq, held, doc_ids, lengths, n = seq + 1, [], [], [], 0
             types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays(
@@ -54,21 +51,19 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, segment_
             )
 
         for batch in batches:
-            for at in range(0, batch.num_rows, AT_ONCE):
-                some = batch.slice(at, AT_ONCE)
-                texts = [x or "" for x in some.column(1).to_pylist()]
-                for doc_id, values in zip(some.column(0).to_pylist(), coder.encode(texts)):
-                    ids = b"".join(values) + tail
-                    held.append(ids)
-                    doc_ids.append(doc_id)
-                    lengths.append(len(ids) // 2)
-                    n += lengths[-1]
-                    if n >= segment_ids:
-                        yield close()
-        if doc_ids:
+            for some in byte_slices(batch, 1):
+                ids, sizes = coder.encode(some.column(1))
+                ends = np.cumsum(sizes)
+                held.append(np.insert(ids, ends, np.uint16(end_id)))
+                doc_ids.append(some.column(0))
+                lengths.append(sizes + 1)
+                n += len(held[-1])
+                if n >= segment_ids:
+                    yield close()
+        if n:
             yield close()
 
-    own = docs.select(F.col("doc_id").cast("long"), "text")
+    own = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = own.withColumn("th", F.xxhash64("text")).repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th")
     return dealt.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
