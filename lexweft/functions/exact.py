@@ -1,7 +1,7 @@
 """Unicode normalisation that Spark has no function for, as Arrow UDFs.
 
-Meant for distinct labels, or for the rows that need it: split a table by
-``needs_exact`` first, as a UDF within a CASE runs for all rows.
+Meant for distinct labels, or for the values that need it: a UDF within a CASE
+runs for all rows, so others are passed to it as null.
 """
 
 import unicodedata
@@ -14,6 +14,17 @@ from pyspark.sql.types import StringType
 from lexweft.functions import text
 
 
+def _composed_away() -> str:
+    """A class of what canonical composition can change or join to the character before: marks, Hangul vowels and finals, signs that stand for others."""
+    kept = [c for a, z in _BLOCKS for c in map(chr, range(a, z)) if unicodedata.normalize("NFC", c) != c]
+    return r"[\p{M}\x{1160}-\x{11FF}" + "".join(rf"\x{{{ord(c):x}}}" for c in kept) + "]"
+
+
+#: Blocks that hold all characters whose canonical composition is another one.
+_BLOCKS = ((0x300, 0x3000), (0xF900, 0xFB50), (0x1D100, 0x1D200), (0x2F800, 0x2FA20))
+_COMPOSED_AWAY = _composed_away()
+
+
 def needs_exact(c: Column) -> Column:
     return F.regexp_like(F.coalesce(c, F.lit("")), F.lit(r"[^\x00-\x7F]"))
 
@@ -34,14 +45,30 @@ def fold_exact(values: pa.Array) -> pa.Array:
 @F.arrow_udf(StringType())
 def compose(values: pa.Array) -> pa.Array:
     """Canonical composition (NFC)."""
+    if values.null_count == len(values):
+        return values
     return pa.array([None if v is None else unicodedata.normalize("NFC", v) for v in values.to_pylist()], pa.string())
 
 
+def needs_composing(c: Column) -> Column:
+    """Whether canonical composition may change a string: it holds a mark, a Hangul letter or a sign that stands for another."""
+    return F.regexp_like(F.coalesce(c, F.lit("")), F.lit(_COMPOSED_AWAY))
+
+
+def clean_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` with each of ``names`` cleaned as by ``text.clean_text``, canonically composed between repair and tidying.
+
+    Python sees null but for values that composition may change. Each step is a
+    projection of its own: within a higher-order function the UDF couldn't run.
+    """
+    repaired = df.withColumns({n: text.repair_mojibake(F.coalesce(n, F.lit(""))) for n in names})
+    odd = repaired.withColumns({f"_odd_{n}": compose(F.when(needs_composing(F.col(n)), F.col(n))) for n in names})
+    return odd.withColumns({n: text.tidy_text(F.coalesce(f"_odd_{n}", n)) for n in names}).drop(*(f"_odd_{n}" for n in names))
+
+
 def clean_exact(df: DataFrame, column: str, out: str) -> DataFrame:
-    """``text.clean_text`` with canonical composition; only rows beyond ASCII pass through Python."""
-    plain = df.where(~needs_exact(F.col(column))).withColumn(out, text.clean_text(F.col(column)))
-    rest = df.where(needs_exact(F.col(column))).withColumn(out, text.clean_text(compose(text.repair_mojibake(F.col(column)))))
-    return plain.unionByName(rest)
+    """``df`` with ``out``, the clean text of ``column``."""
+    return clean_columns(df.withColumn(out, F.col(column)), [out])
 
 
 def label_keys_exact(labels: DataFrame, column: str, out: str) -> DataFrame:

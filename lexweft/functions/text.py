@@ -91,41 +91,50 @@ def safe_filename(name: Column) -> Column:
     return F.concat(F.regexp_replace(F.coalesce(F.nullif(name, F.lit("")), F.lit("unknown.pdf")), F.lit(r"[^a-zA-Z0-9_.-]+"), F.lit("-")), F.lit(".error.json"))
 
 
-def repair_mojibake(c: Column) -> Column:
-    """Undoes UTF-8 that was read as Latin-1, for strings as a whole, and what is left of usual quotes and dashes."""
-    return bind(c, _repaired)
+#: What is left of usual quotes and dashes after a wrong decoding, and what they read.
+_BROKEN = (("\ufffd", ""), ("â€œ", '"'), ("â€\x9d", '"'), ("â€˜", "'"), ("â€™", "'"), ("â€“", "-"), ("â€”", "-"))
+
 
+def repair_mojibake(c: Column) -> Column:
+    """Undoes UTF-8 that was read as Latin-1, for strings as a whole, and what is left of usual quotes and dashes.
 
-def _repaired(c: Column) -> Column:
+    ``c`` stands in it several times and is meant to be a column, not a long expression.
+    """
     # Strings with other characters than Latin-1 can't be encoded back; the guard keeps encode from raising.
     latin = F.regexp_like(c, F.lit(r"\A[\x{00}-\x{FF}]*\z"))
     as_text = F.encode(F.when(latin, c).otherwise(F.lit("")), "ISO-8859-1").cast("string")
-    repaired = bind(as_text, lambda t: F.when(latin & F.is_valid_utf8(t), t).otherwise(c))
-    for broken, sign in (("�", ""), ("â€œ", '"'), ("â€\x9d", '"'), ("â€˜", "'"), ("â€™", "'"), ("â€“", "-"), ("â€”", "-")):
+    repaired = F.when(latin & F.is_valid_utf8(as_text), as_text).otherwise(c)
+    for broken, sign in _BROKEN:
         repaired = F.replace(repaired, F.lit(broken), F.lit(sign))
     return F.when(F.regexp_like(c, F.lit("[ÃÂâ]")), repaired).otherwise(c)
 
 
+def tidy_text(c: Column) -> Column:
+    """Text without no-break blanks and control characters, white space collapsed."""
+    out = F.replace(c, F.lit("\u00a0"), F.lit(" "))
+    out = F.regexp_replace(out, F.lit(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"), F.lit(""))
+    return ws_strip(ws_collapse(out))
+
+
 def clean_text(c: Column) -> Column:
     """Text for people: repaired, without control characters, white space collapsed, null as empty.
 
-    Canonical composition of combining marks needs ``exact.clean_exact``.
+    For text without combining marks; ``exact.clean_columns`` composes them too.
     """
-    out = F.replace(repair_mojibake(F.coalesce(c, F.lit(""))), F.lit(" "), F.lit(" "))
-    out = F.regexp_replace(out, F.lit(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"), F.lit(""))
-    return ws_strip(ws_collapse(out))
+    return tidy_text(repair_mojibake(F.coalesce(c, F.lit(""))))
 
 
 def fit_value(c: Column, most: int = MAX_VALUE) -> Column:
     """At most ``most`` characters: as it is, else the first sentence, else clipped with dots."""
+    return bind(ws_strip(ws_collapse(c)), lambda compact: fit_tidy(compact, most))
 
-    def fitted(compact):
-        stop = F.instr(compact, F.lit(". "))
-        clipped = F.concat(ws_rstrip(F.substring(compact, 1, most - 3)), F.lit("..."))
-        sentence = F.when(stop.between(1, most), F.substring(compact, F.lit(1), stop)).otherwise(clipped)
-        return F.when(F.char_length(compact) <= most, compact).otherwise(sentence)
 
-    return bind(ws_strip(ws_collapse(c)), fitted)
+def fit_tidy(compact: Column, most: int = MAX_VALUE) -> Column:
+    """``fit_value`` of a column whose white space is collapsed already."""
+    stop = F.instr(compact, F.lit(". "))
+    clipped = F.concat(ws_rstrip(F.substring(compact, 1, most - 3)), F.lit("..."))
+    sentence = F.when(stop.between(1, most), F.substring(compact, F.lit(1), stop)).otherwise(clipped)
+    return F.when(F.char_length(compact) <= most, compact).otherwise(sentence)
 
 
 def strip_code_fence(c: Column) -> Column:

@@ -11,7 +11,7 @@ A JSON text with a repeated key counts as invalid.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweft.functions import taxonomy, text
+from lexweft.functions import exact, taxonomy, text
 
 #: The string fields in their order.
 STRING_FIELDS = ("titulo", "identificador", "entidad", "fecha", "materia", "expediente", "articulo", "norma", "pleno", "protocolo", "fuente")
@@ -200,17 +200,20 @@ def category_pairs(groups: Column) -> Column:
     return F.when(F.size(entries) > 0, F.concat(count, chunks)).otherwise(none)
 
 
-def custom_metadata(df: DataFrame) -> Column:
-    """All key/value pairs of a document in field order, values clean and at most 256 characters."""
+def custom_metadata(df: DataFrame, out: str = "custom_metadata") -> DataFrame:
+    """``df`` with ``out``: all key/value pairs of a document in field order, values clean and at most 256 characters."""
+    keys = {f: f for f in STRING_FIELDS} | {"observaciones_resumen": NOTES}
+    given = df.withColumns({f"_{key}": F.col(name) for key, name in keys.items()})
+    clean = exact.clean_columns(given, [f"_{key}" for key in keys])
+    none = F.expr("cast(array() AS array<struct<key: string, string_value: string>>)")
 
-    def pair(key, value):
-        cleaned = text.fit_value(text.clean_text(value))
-        return F.when(value.isNotNull() & (value != ""), F.array(F.struct(F.lit(key).alias("key"), cleaned.alias("string_value"))))
+    def pair(key, value, there):
+        return F.when(there, F.array(F.struct(F.lit(key).alias("key"), value.alias("string_value")))).otherwise(none)
 
-    none = F.expr("cast(array() AS array<struct<key: string, string_value: string>>)")
-    parts = [pair(f, df[f]) for f in STRING_FIELDS]
-    parts += [category_pairs(df["categorias"]), pair("confidence", text.float_text(df["confidence"])), pair("observaciones_resumen", df[NOTES])]
-    return F.concat(*[F.coalesce(p, none) for p in parts])
+    fitted = {key: pair(key, text.fit_tidy(F.col(f"_{key}")), F.coalesce(F.col(name) != "", F.lit(False))) for key, name in keys.items()}
+    number = text.float_text(F.col("confidence"))
+    parts = [*(fitted[f] for f in STRING_FIELDS), F.coalesce(category_pairs(F.col("categorias")), none), pair("confidence", number, number.isNotNull()), fitted["observaciones_resumen"]]
+    return clean.withColumn(out, F.concat(*parts)).drop(*(f"_{key}" for key in keys))
 
 
 def oversized(pairs: Column, most: int = text.MAX_VALUE) -> Column:

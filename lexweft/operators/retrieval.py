@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweft.functions import taxonomy, text
+from lexweft.functions import exact, taxonomy, text
 from lexweft.operators.documents import source_hint
 
 CLIP = 180_000
@@ -157,16 +157,19 @@ def top_k_blocks(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str
     return spark.read.schema(part.schema).parquet(path)
 
 
-def citation_fields(title: Column, body: Column, metadata: Column) -> list[Column]:
-    """file_id, file_name, snippet and file_url of a retrieved chunk; ``metadata`` is a map."""
-    get = lambda k: F.nullif(text.clean_text(F.try_element_at(metadata, F.lit(k))), F.lit(""))
-    heading = F.nullif(text.clean_text(title), F.lit(""))
-    return [
-        F.coalesce(get("identificador"), heading, F.lit("")).alias("file_id"),
-        F.coalesce(get("titulo"), heading, F.lit("Fuente legal")).alias("file_name"),
-        text.clean_text(body).alias("snippet"),
-        F.coalesce(get("fuente"), F.lit("")).alias("file_url"),
-    ]
+def citation_fields(chunks: DataFrame) -> DataFrame:
+    """``chunks`` (title, text, ``_m``: a map of its metadata) with file_id, file_name, snippet and file_url, all clean."""
+    get = lambda k: F.try_element_at("_m", F.lit(k))
+    raw = {"_id": get("identificador"), "_titulo": get("titulo"), "_title": F.col("title"), "_text": F.col("text"), "_url": get("fuente")}
+    clean = exact.clean_columns(chunks.withColumns(raw), list(raw))
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    named = {
+        "file_id": F.coalesce(some("_id"), some("_title"), F.lit("")),
+        "file_name": F.coalesce(some("_titulo"), some("_title"), F.lit("Fuente legal")),
+        "snippet": F.col("_text"),
+        "file_url": F.col("_url"),
+    }
+    return clean.withColumns(named).drop(*raw)
 
 
 def metadata_map(entries: Column) -> Column:
@@ -186,7 +189,7 @@ def citations(chunks: DataFrame) -> DataFrame:
     there = chunks.where("title IS NOT NULL OR text IS NOT NULL OR custom_metadata IS NOT NULL")
     none = F.expr("cast(array() AS array<struct<key: string, string_value: string>>)")
     mapped = there.withColumn("_m", metadata_map(F.coalesce("custom_metadata", none)))
-    fields = mapped.select("resp_id", "cand_pos", "chunk_pos", *citation_fields(F.col("title"), F.col("text"), F.col("_m")))
+    fields = citation_fields(mapped).select("resp_id", "cand_pos", "chunk_pos", "file_id", "file_name", "snippet", "file_url")
     key = F.concat_ws("|", "file_name", "file_url", F.substring("snippet", 1, 120))
     first = F.row_number().over(Window.partitionBy("resp_id", key).orderBy("cand_pos", "chunk_pos"))
     return fields.withColumn("_n", first).where("_n = 1").drop("_n")

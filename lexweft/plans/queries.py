@@ -264,7 +264,7 @@ def validate_metadata(spark, sf_dir):
 @query()
 def custom_metadata(spark, sf_dir):
     found = metadata.extract(view(spark, sf_dir, OUTPUTS, "documents")).where("size(errors) = 0")
-    pairs = found.select("doc_id", metadata.custom_metadata(found).alias("p"))
+    pairs = metadata.custom_metadata(found, "p")
     return pairs.select("doc_id", F.array_join(F.transform("p", lambda x: F.concat_ws("=", x["key"], x["string_value"])), ";").alias("pairs"), F.size(metadata.oversized(F.col("p"))).alias("oversized"))
 
 

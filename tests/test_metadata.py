@@ -63,7 +63,7 @@ def test_packing(spark):
 
 def test_custom_metadata(spark):
     df = _extract(spark, {"titulo": "A  b", "categorias": G, "confidence": 0.9, "observaciones": "o" * 300, "fuente": "u"})
-    pairs = df.select(metadata.custom_metadata(df).alias("p")).first().p
+    pairs = metadata.custom_metadata(df, "p").first().p
     assert [(p.key, p.string_value) for p in pairs] == [
         ("titulo", "A b"), ("fuente", "u"), ("categorias_count", "1"), ("categorias_compact", "gen:otros"), ("confidence", "0.9"), ("observaciones_resumen", "o" * 253 + "..."),
     ]
