@@ -175,8 +175,9 @@ def ocr_markdown(full: Column, pages: Column) -> Column:
     return F.when(F.size(pages) > 0, ws_strip(F.array_join(page, "\n"))).otherwise(full)
 
 
-def warning_text(stage: Column, kind: Column, message: Column) -> Column:
-    return F.concat(stage, F.lit(": "), kind, F.lit(": "), message)
+def warning(stage: str, error: Exception) -> str:
+    """What a stage's failure leaves among a document's warnings."""
+    return f"{stage}: {type(error).__name__}: {error}"
 
 
 def float_text(c: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweft.functions import text
+from lexweft.sources.shared import materialize
 
 MAX_UPLOAD_MB = 75
 MIN_NATIVE_CHARS = 800
@@ -39,7 +40,7 @@ def _stage(df: DataFrame, converter: Converter, name: str) -> DataFrame:
                 try:
                     rows.append((*converter(filename, bytes(content)), None))
                 except Exception as e:  # noqa: BLE001  a document's failure is a warning, not the job's
-                    rows.append((None, None, f"{name}: {type(e).__name__}: {e}"))
+                    rows.append((None, None, text.warning(name, e)))
             out = pd.DataFrame(rows, columns=["markdown", "pages", "warning"]).astype({"pages": "Int32"})
             yield pd.concat([pdf.reset_index(drop=True), out], axis=1)
 
@@ -48,21 +49,24 @@ def _stage(df: DataFrame, converter: Converter, name: str) -> DataFrame:
 
 
 def convert(
-    files: DataFrame, primary: Converter, fallback: Converter, ocr: Converter, least: int = MIN_NATIVE_CHARS, keep_native: bool = False
+    files: DataFrame, primary: Converter, fallback: Converter, ocr: Converter, least: int = MIN_NATIVE_CHARS, keep_native: bool = False, carry: list[str] | None = None
 ) -> DataFrame:
-    """``(filename, document_id, markdown, plain_text, pages, ocr_used, warnings, error)`` for ``files`` (filename, content).
+    """``(filename, document_id, markdown, plain_text, pages, ocr_used, warnings, error)`` for ``files`` (filename, content, and columns to ``carry``).
 
     Each stage runs only for the rows that need it, so rows are split before it
-    and not within a CASE. With ``keep_native``, OCR that yields less than the
-    native text had doesn't replace it.
+    and not within a CASE, and is written to the shared folder before they are
+    split again, so no converter runs twice for a document. With
+    ``keep_native``, OCR that yields less than the native text had doesn't
+    replace it.
     """
-    named = files.select("filename", "content", text.document_id(F.col("filename"), F.col("content")).alias("document_id"))
-    first = _stage(named, primary, "docling_failed")
+    carry = carry or []
+    named = files.select(*carry, "filename", "content", text.document_id(F.col("filename"), F.col("content")).alias("document_id"))
+    first = materialize(_stage(named, primary, "docling_failed"), "primary")
     ok = first.where("warning IS NULL").withColumn("warnings", F.expr("cast(array() as array<string>)"))
-    failed = first.where("warning IS NOT NULL").select("filename", "content", "document_id", F.col("warning").alias("w1"))
+    failed = first.where("warning IS NOT NULL").select(*carry, "filename", "content", "document_id", F.col("warning").alias("w1"))
     second = _stage(failed, fallback, "pymupdf4llm_failed").withColumn("warnings", F.array_compact(F.array("w1", "warning")))
     native = ok.drop("warning").unionByName(second.drop("warning", "w1").withColumn("pages", F.lit(None).cast("int")))
-    shaped = _shape(native)
+    shaped = materialize(_shape(native), "native")
     long_enough = shaped.where(~needs_ocr(F.col("plain_text"), least)).withColumn("ocr_used", F.lit(False))
     short = shaped.where(needs_ocr(F.col("plain_text"), least)).withColumnRenamed("markdown", "native").withColumnRenamed("plain_text", "native_plain")
     kept_pages = short.withColumnRenamed("pages", "native_pages")
@@ -72,15 +76,16 @@ def convert(
     if keep_native:
         use = use & (F.char_length("plain_text") >= F.char_length("native_plain"))
     seen = seen.select(
-        "filename", "content", "document_id", "pages",
+        *carry, "filename", "document_id", "pages",
         F.array_compact(F.concat("warnings", F.array("warning"))).alias("warnings"),
         F.when(use, F.col("markdown")).otherwise(F.col("native")).alias("markdown"),
         F.when(use, F.col("plain_text")).otherwise(F.col("native_plain")).alias("plain_text"),
         F.col("warning").isNull().alias("ocr_used"),
     )
     error = F.when(F.col("markdown") == "", F.lit("ValueError: No se pudo extraer contenido Markdown del PDF"))
-    columns = ("filename", "document_id", "markdown", "plain_text", "pages", "ocr_used", "warnings")
-    return long_enough.unionByName(seen).select(*columns, error.alias("error"))
+    columns = (*carry, "filename", "document_id", "markdown", "plain_text", "pages", "ocr_used", "warnings")
+    # Written as well: a reader that asks twice must not run OCR twice.
+    return materialize(long_enough.select(*columns).unionByName(seen.select(*columns)).select("*", error.alias("error")), "converted")
 
 
 def _shape(df: DataFrame) -> DataFrame:

@@ -67,10 +67,6 @@ def find_jobs(wanted: DataFrame, jobs: DataFrame) -> DataFrame:
     return found.select("job_id", "status", F.when(missing, 404).otherwise(200).alias("http"), F.when(missing, F.lit("JOB_NOT_FOUND")).alias("code"))
 
 
-def failure_text(kind: Column, message: Column) -> Column:
-    return F.concat(kind, F.lit(": "), message)
-
-
 def error_records(items: DataFrame, filename: str = "filename") -> DataFrame:
     """The record and file name of each failed item; the time is the query's."""
     item = F.to_json(F.struct(*items.columns))

@@ -5,7 +5,7 @@ errors, grouping by array functions (a document has a handful of categories, so
 no shuffle is needed), and packing as a fold. Rows are split into valid and
 rejected ones by ``errors``.
 
-A JSON text with a repeated key counts as invalid.
+Of a key that a JSON object repeats, the last counts.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -113,8 +113,16 @@ def valid_group(g: Column) -> Column:
     return F.when(F.size(g["subcategorias"]) == 0, taxonomy.valid_pair(g["categoria"], none)).otherwise(F.coalesce(all_, F.lit(False)))
 
 
+def assignment(group: Column) -> Column:
+    """A group as one pair, ``struct<categoria, subcategoria, valid>``: its first subcategory or null, valid if both are spelt exactly as in the catalog."""
+    category, first = group["categoria"], F.get(group["subcategorias"], F.lit(0))
+    return F.struct(category.alias("categoria"), first.alias("subcategoria"), F.coalesce(taxonomy.valid_pair(category, first), F.lit(False)).alias("valid"))
+
+
 def extract(df: DataFrame, raw: str = "raw") -> DataFrame:
     """``df`` with the metadata fields, ``categorias``, ``confidence`` and ``errors`` (empty: valid)."""
+    # Read when the expression is made: the last of repeated keys counts instead of an error.
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     # Materialised between steps by distinct projections; each is used more than once.
     v = df.withColumn("_v", parse_json(F.col(raw))).withColumn("_entries", _entries(F.col("_v")))
     fields, errors = [], []

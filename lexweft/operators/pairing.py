@@ -35,10 +35,10 @@ def pending(sources: DataFrame, reviews: DataFrame) -> DataFrame:
     return sources.join(reviews.select("filename"), "filename", "left_anti")
 
 
-def resolve_stores(requests: DataFrame, registry: DataFrame, listed: DataFrame, save_name_hits: bool = False) -> DataFrame:
+def resolve_stores(requests: DataFrame, registry: DataFrame, listed: DataFrame, save_name_hits: bool = False, bypass: bool = True) -> DataFrame:
     """``requests`` (requested) with ``store``, ``how`` and ``save``.
 
-    A full store name stands for itself; then the registry (display_name,
+    A full store name stands for itself if ``bypass``; then the registry (display_name,
     store) counts, then the listing (pos, display_name, name) by either of its
     names, first match; else it has to be created. A theta join by either name
     would be a nested loop, so it is two equi-joins. ``save`` tells whether the
@@ -51,7 +51,7 @@ def resolve_stores(requests: DataFrame, registry: DataFrame, listed: DataFrame,
     )
     best = both.where("requested IS NOT NULL").groupBy("requested").agg(F.min_by(F.struct("name", "shown"), F.struct("pos", ~F.col("shown"))).alias("_hit"))
     joined = requests.join(known, "requested", "left").join(best, "requested", "left")
-    full = F.startswith("requested", F.lit("fileSearchStores/"))
+    full = F.startswith("requested", F.lit("fileSearchStores/")) & F.lit(bypass)
     how = (
         F.when(full, F.lit("given")).when(F.col("_reg").isNotNull(), F.lit("registry")).when(F.col("_hit").isNotNull(), F.lit("listed")).otherwise(F.lit("create"))
     )

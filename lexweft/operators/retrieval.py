@@ -1,13 +1,15 @@
 """Retrieval: prompts, hints, top-k by cosine similarity, answers and their citations."""
 
 import math
-import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweft.functions import exact, taxonomy, text
 from lexweft.operators.documents import source_hint
+from lexweft.sources.shared import shared_path
 
 CLIP = 180_000
 #: What an invalid response is answered with.
@@ -78,6 +80,7 @@ def _or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+#: Fixed values in the two prompts below: the labels of their lines.
 def search_prompt(query: Column, message: Column, legal: Column, category: Column, subs: Column, hints: Column, terms: Column) -> Column:
     parts = [
         F.lit("Consulta del usuario: "), F.coalesce(F.nullif(message, F.lit("")), query), F.lit("\nConsulta de busqueda: "), query,
@@ -118,41 +121,73 @@ def retrieval_hints(questions: DataFrame, label: str) -> DataFrame:
     )
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``(query_id, vec_id, score, rank)``: exact nearest vectors by cosine similarity, ties by id.
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", most: int = 10_000) -> DataFrame:
+    """``(query_id, vec_id, score, rank)``: exact nearest vectors by cosine similarity, ties by id, a vector not its own.
 
-    ``queries`` is a stated, bounded set, checked by the caller, and is broadcast
-    against all vectors; ranks are limited per task before they are shuffled.
+    For at most ``most`` queries (more are an error; see ``top_k_blocks``). They go
+    to every task as one matrix, and each Arrow batch of vectors is scored by one
+    matrix product, of which only the best k a query leave the batch. Vectors that
+    are null, of no length, or not as long as the queries have no score.
     """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda c: F.sqrt(dot(c, c))
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("q"), norm(F.col(vec_col)).alias("qn"))
-    v = vectors.select(id_col, F.col(vec_col).alias("v"), norm(F.col(vec_col)).alias("vn"))
-    score = dot(F.col("q"), F.col("v")) / (F.col("qn") * F.col("vn"))
-    scored = v.join(F.broadcast(q), F.col("query_id") != F.col(id_col)).select("query_id", id_col, score.alias("score"))
+    q = check_bounded(queries.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>")), most).toArrow()
+    asked, matrix = _matrix(q)
+    vectors = vectors.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>"))
+    shape = f"query_id long, `{id_col}` long, score double"
+    if not len(asked):
+        return vectors.sparkSession.createDataFrame([], f"{shape}, rank int")
+
+    def score(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, VECTORS_AT_ONCE):
+                ids, own = _matrix(batch.slice(at, VECTORS_AT_ONCE))
+                if not len(ids) or own.shape[1] != matrix.shape[1]:
+                    continue
+                for first in range(0, len(asked), QUERIES_AT_ONCE):
+                    some = asked[first : first + QUERIES_AT_ONCE]
+                    scores = matrix[first : first + QUERIES_AT_ONCE] @ own.T
+                    scores[some[:, None] == ids[None, :]] = -np.inf
+                    least = np.partition(scores, -k, axis=1)[:, -k, None] if k < len(ids) else np.full((len(some), 1), -np.inf)
+                    row, col = np.nonzero((scores >= least) & (scores > -np.inf))  # ties at the last place all go on
+                    columns = [pa.array(some[row]), pa.array(ids[col]), pa.array(scores[row, col])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", id_col, "score"])
+
+    scored = vectors.mapInArrow(score, shape)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Rows of the two sides of a matrix product.
+VECTORS_AT_ONCE, QUERIES_AT_ONCE = 4096, 256
+
+
+def _matrix(batch) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of the rows that have one of the usual length, that of the first."""
+    rows = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if v and None not in v]
+    rows = [(i, v) for i, v in rows if len(v) == len(rows[0][1])]
+    ids, own = np.array([i for i, _ in rows], np.int64), np.array([v for _, v in rows], float).reshape(len(rows), -1 if rows else 0)
+    norm = np.sqrt((own * own).sum(1))
+    there = norm > 0
+    return ids[there], own[there] / norm[there, None]
+
+
 def top_k_blocks(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", most: int = 10_000) -> DataFrame:
-    """``top_k`` for any number of queries, at most ``most`` of them broadcast at a time.
+    """``top_k`` for any number of queries, at most ``most`` of them at a time.
 
     Blocks are by a hash of the id. Where there is more than one, each is searched
-    and written to the shared folder before the next is broadcast.
+    and written to the shared folder before the next is sent out.
     """
     block = lambda n: F.pmod(F.xxhash64(id_col), F.lit(n))
     found, n = queries.limit(most + 1).count(), 1
     if found <= most:
-        return top_k(queries, vectors, k, id_col, vec_col)
+        return top_k(queries, vectors, k, id_col, vec_col, most)
     while queries.groupBy(block(n)).count().agg(F.max("count")).first()[0] > most:
         n *= 2
         if n > 1 << 40:
             raise ValueError(f"more than {most} queries share an id")
     spark = queries.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{base.rstrip('/')}/lexweft-{uuid.uuid4().hex}/topk"
+    path = shared_path(spark, "topk")
     for i in range(n):
-        part = top_k(check_bounded(queries.where(block(n) == i), most), vectors, k, id_col, vec_col)
+        part = top_k(queries.where(block(n) == i), vectors, k, id_col, vec_col, most)
         part.write.mode("append").parquet(path)
     return spark.read.schema(part.schema).parquet(path)
 

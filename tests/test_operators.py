@@ -30,6 +30,18 @@ def test_conversion_chain(spark):
     assert got["worse.pdf"].ocr_used and len(got["worse.pdf"].warnings) == 2 and got["worse.pdf"].markdown == "seen\n"
     assert got["short.pdf"].ocr_used and got["none.pdf"].warnings == ["ocr_skipped_or_failed: RuntimeError: no esta configurado"]
     assert got["none.pdf"].markdown == "noocr\n" and not got["none.pdf"].ocr_used and got["empty.pdf"].markdown == "seen\n"
+    calls = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(k, converter):
+        def call(name, content):
+            calls[k].add(1)
+            return converter(name, content)
+
+        return call
+
+    once = documents.convert(df, counted(0, primary), counted(1, fallback), counted(2, ocr))
+    assert once.count() == once.where("markdown IS NOT NULL").count() == len(rows)
+    assert [c.value for c in calls] == [6, 2, 4]
     assert documents.convert(df.where("filename = 'short.pdf'"), primary, fallback, lambda n, c: ("", None)).first().error.startswith("ValueError")
     assert documents.convert(df.where("filename = 'short.pdf'"), primary, fallback, lambda n, c: ("", None), keep_native=True).first().markdown == "tiny\n"
 
@@ -108,20 +120,32 @@ def test_sources_and_sinks(spark, tmp_path):
     assert {r.display_name: r.store for r in files.read_registry(spark, reg).collect()} == {"ñ": "s", "b": "t"}
     (tmp_path / "broken.json").write_text("{nope")
     assert files.read_registry(spark, str(tmp_path / "broken.json")).count() == 0
-    assert files.Settings.from_env({"MAX_UPLOAD_MB": "5", "OTHER": "x"}) == files.Settings(max_upload_mb=5)
+    (tmp_path / "env").write_text("# no\nexport GEMINI_API_KEY='k'\nMAX_UPLOAD_MB=9\nENABLE_GEMINI_FILE_SEARCH_UPLOAD=true # yes\nEXTRA=1\n")
+    got = files.Settings.from_env({"max_upload_mb": "5", "OTHER": "x"}, str(tmp_path / "env"))
+    assert got == files.Settings(max_upload_mb=5, gemini_api_key="k", enable_gemini_file_search_upload=True) and not got.ocr_ready()
+    many = spark.range(120_000).selectExpr("concat('s\"', id) AS display_name", "string(id) AS store")
+    sinks.write_registry(many, reg)
+    assert files.read_registry(spark, reg).count() == 120_000
+    sinks.write_registry(many.limit(0), reg)
+    assert files.read_registry(spark, reg).count() == 0
     docs = spark.createDataFrame(
         [("a", "md", [("k", "v")], "st"), ("b", "md", [("k", "x" * 300)], "st")], "filename string, markdown string, custom_metadata array<struct<key: string, string_value: string>>, store string"
     )
-    logs = sinks.upload(docs, str(tmp_path))
+    logs = sinks.upload(docs, str(tmp_path), 1)
     assert {r.filename: r.status for r in logs.collect()} == {"a": "uploaded", "b": "error"}
-    sinks.write_logs(logs, str(tmp_path))
+    sinks.upload(docs, str(tmp_path), 1)  # again, which replaces
+    sinks.write_logs(logs, str(tmp_path), 1)
+    sinks.write_logs(logs, str(tmp_path), 1)
+    sinks.write_errors(logs, str(tmp_path), 1)
+    assert {r.status for r in sinks.upload(docs, str(tmp_path), 2, enabled=False).collect()} == {"skipped", "error"}
     assert spark.read.parquet(str(tmp_path / "store")).count() == 1 and spark.read.parquet(str(tmp_path / "logs")).count() == 2
     conv = spark.createDataFrame([("a.pdf", "a-1", "m", None, False, [])], "filename string, document_id string, markdown string, pages int, ocr_used boolean, warnings array<string>")
     meta = spark.createDataFrame([("a-1", "t", 0.5)], "document_id string, titulo string, confidence double")
     package = documents.review_package(conv, meta)
     row = package.first()
     assert row.review_name == "a-1.review.json" and '"titulo" : "t"' in row.review_json and '"pages" : null' in row.review_json
-    sinks.write_outputs(package, str(tmp_path / "out"))
+    for _ in range(2):
+        sinks.write_outputs(package, str(tmp_path / "out"), "b")
     assert spark.read.parquet(str(tmp_path / "out" / "review")).count() == 1
 
 
