@@ -64,7 +64,7 @@ FROM documents"""
 
 RESPONSES = """
 SELECT doc_id % 97 AS resp_id, cast(doc_id % 3 AS int) AS cand_pos, cast(doc_id AS int) AS chunk_pos,
-  concat('Titulo ', lang) AS title, substring(text, 1, 40 + cast(doc_id % 2 AS int) * 200) AS body, source
+  concat('Titulo ', lang) AS title, text AS body, source
 FROM documents"""
 
 

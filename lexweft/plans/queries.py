@@ -1,13 +1,13 @@
 """The registered queries of the library's own operators, each with SQL for DuckDB where SQL can express it."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexweft.functions import taxonomy, text
+from lexweft.functions import exact, taxonomy, text
 from lexweft.operators import documents as docs_ops
-from lexweft.operators import jobs, metadata, pairing, retrieval
+from lexweft.operators import jobs, metadata, pairing, retrieval, services
 from lexweft.plans.fixtures import DIRTY, JOB_EVENTS, LABELS, OUTPUTS, PAIRS, RESPONSES, view
-from lexweft.sources.files import read_table
+from lexweft.sources.files import Settings, read_table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -89,10 +89,10 @@ def fit_value(spark, sf_dir):
 
 @query(
     "SELECT doc_id, coalesce(nullif(trim(regexp_replace(replace(lower(strip_accents(t)), 'ß', 'ss'), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unknown') AS code"
-    " FROM (SELECT doc_id, substring(text, 1, 60) AS t FROM documents)"
+    " FROM (SELECT doc_id, text AS t FROM documents)"
 )
 def metadata_code(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select("doc_id", text.metadata_code(F.substring("text", 1, 60)).alias("code"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", text.metadata_code(F.col("text")).alias("code"))
 
 
 @query("SELECT page_id, regexp_replace(url, '[^a-zA-Z0-9_.-]+', '-', 'g') || '.error.json' AS record_name FROM pages")
@@ -234,9 +234,22 @@ def compact_metadata(spark, sf_dir):
     return pairs.select("doc_id", F.col("p")[0]["string_value"].alias("categorias_count"), F.array_join(F.transform(chunks, lambda x: x["string_value"]), "|").alias("categorias_compact"))
 
 
-@query()
+#: A document's whole catalog, an entry a category, packed greedily into chunks of at most 256 characters.
+_PACKED = f"""
+WITH RECURSIVE e AS (SELECT cat_ord, cat_code || coalesce(':' || string_agg(sub_code, ',' ORDER BY sub_ord), '') AS entry FROM ({PAIRS}) GROUP BY cat_ord, cat_code),
+o AS (SELECT row_number() OVER (ORDER BY cat_ord) AS i, entry FROM e),
+p(i, chunk, now) AS (
+  SELECT 0::BIGINT, 0, '' UNION ALL
+  SELECT o.i, CASE WHEN p.now = '' OR length(p.now || '|' || o.entry) <= 256 THEN p.chunk ELSE p.chunk + 1 END,
+    CASE WHEN p.now = '' THEN o.entry WHEN length(p.now || '|' || o.entry) <= 256 THEN p.now || '|' || o.entry ELSE o.entry END
+  FROM p JOIN o ON o.i = p.i + 1),
+c AS (SELECT chunk AS pos, arg_max(now, i) AS chunk FROM p WHERE i > 0 GROUP BY chunk)
+SELECT doc_id, pos, chunk FROM documents CROSS JOIN c"""
+
+
+@query(_PACKED)
 def pack_entries(spark, sf_dir):
-    """Every category with every subcategory needs more than one chunk; greedy packing has no plain SQL."""
+    """Every category with every subcategory needs more than one chunk."""
     everything = [(c, [s for s, _ in subs]) for c, _, subs in taxonomy.CATEGORIES]
     groups = spark.createDataFrame([(everything,)], f"categorias array<{metadata.GROUP}>")
     d = read_table(spark, sf_dir, "documents").select("doc_id")
@@ -261,7 +274,12 @@ def validate_metadata(spark, sf_dir):
     return found.select("doc_id", "titulo", "materia", "confidence", F.array_join("errors", ",").alias("errors"))
 
 
-@query()
+@query(f"""
+SELECT doc_id, CASE doc_id % 7
+  WHEN 0 THEN 'titulo=T ' || source || ';categorias_count=1;categorias_compact=gen:otros;confidence=0.9'
+  WHEN 1 THEN 'materia=' || lang || ';categorias_count=1;categorias_compact=gen:otros;confidence=0.5'
+  ELSE 'categorias_count=1;categorias_compact=sh;confidence=1.0' END AS pairs, 0 AS oversized
+FROM documents WHERE doc_id % 7 IN (0, 1, 6)""")
 def custom_metadata(spark, sf_dir):
     found = metadata.extract(view(spark, sf_dir, OUTPUTS, "documents")).where("size(errors) = 0")
     pairs = metadata.custom_metadata(found, "p")
@@ -487,21 +505,197 @@ def document_overview(spark, sf_dir):
     return made.join(compact_metadata(spark, sf_dir), "doc_id", "left")
 
 
-@query()
+_CONVERTED = f"""
+WITH n AS (SELECT doc_id, text, {_NORMALIZED.replace('md', 'text')} AS native FROM documents),
+p AS (SELECT *, length({_plain('native')}) < 800 AS short, doc_id % 10 = 7 AS odd, doc_id % 10 = 3 AS blind FROM n),
+d AS (SELECT *, CASE WHEN short AND NOT blind THEN {_NORMALIZED.replace('md', "('OCR ' || text)")} ELSE native END AS markdown FROM p)
+SELECT 'd' || doc_id || '.pdf' AS filename, 'd' || doc_id || '-' || substring(sha256(text), 1, 12) AS document_id,
+  CASE WHEN odd THEN NULL ELSE 1 END AS pages, short AND NOT blind AS ocr_used,
+  concat_ws(';', CASE WHEN odd THEN 'docling_failed: ValueError: no layout' END, CASE WHEN short AND blind THEN 'ocr_skipped_or_failed: RuntimeError: OCR no esta configurado' END) AS warnings,
+  CASE WHEN markdown = '' THEN 'ValueError: No se pudo extraer contenido Markdown del PDF' END AS error, sha256(markdown) AS markdown_sha256
+FROM d"""
+
+
+@query(_CONVERTED)
 def convert_documents(spark, sf_dir):
-    """The conversion chain with stand-ins: UTF-8 text, fallback for some names, OCR that reverses nothing."""
+    """The conversion chain with stand-ins: UTF-8 text, a fallback for some names, OCR that says so."""
 
     def primary(name, content):
         if name.endswith("7.pdf"):
             raise ValueError("no layout")
         return content.decode(), 1
 
+    def fallback(name, content):
+        return content.decode(), 9
+
     def ocr(name, content):
         if name.endswith("3.pdf"):
             raise RuntimeError("OCR no esta configurado")
-        return content.decode().upper(), None
+        return "OCR " + content.decode(), None
 
     d = read_table(spark, sf_dir, "documents")
     files = d.select(F.concat(F.lit("d"), "doc_id", F.lit(".pdf")).alias("filename"), F.col("text").cast("binary").alias("content"))
-    out = docs_ops.convert(files, primary, primary, ocr)
+    out = docs_ops.convert(files, primary, fallback, ocr)
     return out.select("filename", "document_id", "pages", "ocr_used", F.array_join("warnings", ";").alias("warnings"), "error", F.sha2("markdown", 256).alias("markdown_sha256"))
+
+
+# --- the service's routes, with stand-ins for what they call ---
+
+CONFIGURED = Settings(gemini_api_key="key", gemini_file_search_store="main")
+
+
+@query("SELECT 'ok' AS status")
+def health(spark, sf_dir):
+    return services.health(spark)
+
+
+_MARKED = """SELECT doc_id, source, CASE doc_id % 4 WHEN 0 THEN concat('e\u0301', ' ', source) WHEN 1 THEN concat('Ã', chr(177), ' ', source)
+  WHEN 2 THEN concat('a', chr(160), chr(7), 'n\u0303', source) ELSE concat(' ', text, ' ') END AS raw FROM documents"""
+
+
+@query(f"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'é ' || source WHEN 1 THEN 'ñ ' || source WHEN 2 THEN 'a ñ' || source
+  ELSE {_strip(_collapse('raw'))} END AS cleaned FROM ({_MARKED})""")
+def clean_exact(spark, sf_dir):
+    """Cleaning of combining marks, mojibake, control characters and odd blanks."""
+    return exact.clean_exact(view(spark, sf_dir, _MARKED, "documents"), "raw", "cleaned").select("doc_id", "cleaned")
+
+
+@query(f"""
+SELECT doc_id, ok AND json_type(j) = 'OBJECT' AS is_object, json_type(j, '$.articulo') = 'UBIGINT' AS number_for_text, nullif(trim(j->>'$.titulo'), '') AS titulo
+FROM (SELECT doc_id, json_valid(b) AS ok, CASE WHEN json_valid(b) THEN b::JSON END AS j
+  FROM (SELECT doc_id, trim(replace(replace(raw, '```json', ''), '```', ''), ' ' || chr(10)) AS b FROM ({OUTPUTS})))""")
+def parse_metadata_json(spark, sf_dir):
+    v = view(spark, sf_dir, OUTPUTS, "documents").select("doc_id", metadata.parse_json(F.col("raw")).alias("v"))
+    kind = lambda path: F.regexp_extract(F.schema_of_variant(F.try_variant_get("v", path, "variant")), "^[A-Z]+", 0)
+    title = F.nullif(text.ws_strip(F.try_variant_get("v", "$.titulo", "string")), F.lit(""))
+    return v.select("doc_id", F.coalesce(kind("$") == "OBJECT", F.lit(False)).alias("is_object"), (kind("$.articulo") == "BIGINT").alias("number_for_text"), title.alias("titulo"))
+
+
+@query(f"""SELECT doc_id, pos, categoria, coalesce(p.k IS NOT NULL OR (c.childless IS NOT NULL AND subcategoria IS NULL AND c.childless), false) AS valid
+FROM (SELECT * REPLACE (CASE WHEN (doc_id * 3 + pos) % 8 = 2 AND subcategoria = ' ' THEN NULL ELSE subcategoria END AS subcategoria) FROM ({LABELS})) l
+LEFT JOIN (SELECT DISTINCT category, childless FROM ({PAIRS})) c ON c.category = l.categoria
+LEFT JOIN ({PAIRS}) p ON p.category = l.categoria AND p.subcategory = l.subcategoria""")
+def exact_assignment(spark, sf_dir):
+    """Groups of one subcategory as pairs, valid only where spelt as in the catalog."""
+    labels = view(spark, sf_dir, LABELS, "documents")
+    group = F.struct("categoria", F.when(F.col("subcategoria").isNull(), F.expr("cast(array() AS array<string>)")).otherwise(F.array("subcategoria")).alias("subcategorias"))
+    return labels.select("doc_id", "pos", metadata.assignment(group).alias("a")).select("doc_id", "pos", "a.categoria", "a.valid")
+
+
+def _requests(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents").select(F.concat("doc_id", F.lit(".pdf")).alias("filename"), F.col("text").alias("markdown"), F.lit(None).cast("string").alias("fuente"))
+
+
+def _extracted(spark, sf_dir):
+    good = '{"titulo": "T", "categorias": [{"categoria": "Generales", "subcategorias": ["Otros"]}], "confidence": 1}'
+
+    def extractor(prompt):
+        doc_id = int(prompt.rpartition("\nArchivo: ")[2].partition(".pdf")[0])
+        if doc_id % 5 == 4:
+            raise TimeoutError("late")
+        return (good, "{}", "no json", f"```json\n{good}\n```")[doc_id % 5]
+
+    return services.extract_route(_requests(spark, sf_dir), extractor, CONFIGURED, pause=0.0)
+
+
+@query("""
+SELECT doc_id || '.pdf' AS filename, CASE doc_id % 5 WHEN 4 THEN 504 WHEN 0 THEN 200 WHEN 3 THEN 200 ELSE 422 END AS status,
+  CASE doc_id % 5 WHEN 4 THEN 'UPSTREAM_TIMEOUT' WHEN 0 THEN NULL WHEN 3 THEN NULL ELSE 'AGENT_VALIDATION_FAILED' END AS code,
+  CASE WHEN doc_id % 5 IN (0, 3) THEN 'T' END AS titulo, CASE WHEN doc_id % 5 = 4 THEN 5 ELSE 1 END AS tries FROM documents""")
+def extract_route(spark, sf_dir):
+    """Extraction with retries: valid answers, answers that are none, and calls that fail each time."""
+    return _extracted(spark, sf_dir).select("filename", "status", "code", "titulo", "tries")
+
+
+@query("""
+SELECT c_custkey AS req, CASE c_custkey % 4 WHEN 0 THEN 'reg-' || (c_custkey % 20) WHEN 1 THEN 'fileSearchStores/n' || (c_custkey % 20) WHEN 2 THEN 'made/new ' || (c_custkey % 30) END AS name,
+  c_custkey % 4 = 2 AS created, c_custkey % 4 <> 3 AS saved, CASE WHEN c_custkey % 4 = 3 THEN 503 ELSE 200 END AS status FROM customer""")
+def resolve_route(spark, sf_dir):
+    """Store names by registry, listing, creation (once a name), or refusal."""
+    k = F.col("c_custkey")
+    name = F.when(k % 4 == 0, F.concat(F.lit("known "), k % 20)).when(k % 4 == 1, F.concat(F.lit("shown "), k % 20)).when(k % 4 == 2, F.concat(F.lit("new "), k % 30)).otherwise(F.concat(F.lit("none "), k))
+    asked = read_table(spark, sf_dir, "customer").select(k.alias("req"), name.alias("display_name"), (k % 4 == 2).alias("create_if_missing"))
+    i = spark.range(20).select("id")
+    registry = i.select(F.concat(F.lit("known "), "id").alias("display_name"), F.concat(F.lit("reg-"), "id").alias("store"))
+    listed = i.select(F.col("id").alias("pos"), F.concat(F.lit("shown "), "id").alias("display_name"), F.concat(F.lit("fileSearchStores/n"), "id").alias("name"))
+    names = asked.select("display_name", "create_if_missing").distinct()
+    found = services.resolve_route(names, registry, listed, lambda n: f"made/{n}", CONFIGURED)
+    return asked.join(found, "display_name").select("req", "name", "created", "saved", "status")
+
+
+@query("""
+SELECT doc_id || '.md' AS filename, CASE WHEN doc_id % 3 = 0 THEN 's' || doc_id % 7 ELSE 'main' END AS store, doc_id % 4 < 2 AS uploaded,
+  CASE doc_id % 4 WHEN 0 THEN 200 WHEN 1 THEN 200 WHEN 2 THEN 503 ELSE 422 END AS status,
+  CASE doc_id % 4 WHEN 2 THEN 'gemini; custom_metadata_sent=[{"index":0,"key":"fuente","length":' || length(source) || ',"value":"' || source || '"}]'
+    WHEN 3 THEN 'custom_metadata contiene string_value mayor a 256 caracteres: [{"index":0,"key":"fuente","length":257,"value":"' || repeat('x', 257) || '"}]' END AS error_message
+FROM documents""")
+def upload_route(spark, sf_dir):
+    """Uploads that are done at once, need a second look, fail with what was sent, or are refused for a long value."""
+    k = F.col("doc_id")
+
+    def upload(store, name, markdown, pairs):
+        if int(name.partition(".")[0]) % 4 == 2:
+            raise RuntimeError("gemini")
+        return f"op/{name}", int(name.partition(".")[0]) % 4 == 0
+
+    meta = F.array(F.struct(F.lit("fuente").alias("key"), F.when(k % 4 == 3, F.repeat(F.lit("x"), 257)).otherwise(F.col("source")).alias("string_value")))
+    d = read_table(spark, sf_dir, "documents")
+    asked = d.select(F.concat(k, F.lit(".md")).alias("filename"), F.col("text").alias("markdown"), F.when(k % 3 == 0, F.concat(F.lit("s"), k % 7)).alias("store"), meta.alias("custom_metadata"))
+    return services.upload_route(asked, upload, lambda operation: True, CONFIGURED, every=0.0).select("filename", "store", "uploaded", "status", "error_message")
+
+
+@query(f"""
+SELECT conv_id AS resp_id, CASE WHEN n % 3 = 2 THEN NULL WHEN n % 3 = 1 THEN '{retrieval.NO_ANSWER}' ELSE 'about ' || first END AS answer,
+  CASE WHEN n % 3 = 0 THEN 'cite ' || first END AS snippet, CASE WHEN n % 3 < 2 THEN n % 3 = 0 END AS valid, CASE WHEN n % 3 = 2 THEN 504 ELSE 200 END AS status
+FROM (SELECT conv_id, conv_id AS n, 'q' || conv_id AS first FROM conversations GROUP BY conv_id)""")
+def rag_search(spark, sf_dir):
+    """Searches that answer with a citation, answer nothing, or time out."""
+
+    def retriever(prompt, store):
+        asked = prompt.partition("Consulta del usuario: ")[2].partition("\n")[0]
+        kind = int(asked[1:]) % 3
+        if kind == 2:
+            raise TimeoutError("late")
+        return ("about " + asked, [], [("T", "cite  " + asked, [("fuente", store)])] * 2) if kind == 0 else (" ", [], [])
+
+    c = read_table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    none = F.lit(None).cast("string")
+    lists = [F.expr("cast(array() AS array<string>)").alias(n) for n in ("canonical_subcategories", "metadata_hints", "search_terms")]
+    asked = c.select(F.col("conv_id").alias("resp_id"), F.concat(F.lit("q"), "conv_id").alias("query"), *(none.alias(n) for n in ("original_message", "legal_category", "canonical_category")), *lists, none.alias("store"))
+    found = services.rag_search(asked, retriever, CONFIGURED)
+    return found.select("resp_id", "answer", F.get("citations", F.lit(0))["snippet"].alias("snippet"), "valid", "status")
+
+
+@query(f"""
+SELECT page_id || '' AS item, 'start' AS stage FROM pages WHERE page_id % 3 = 2
+UNION ALL SELECT 'job-' || c_custkey, 'poll' FROM customer WHERE 'job-' || c_custkey NOT IN (SELECT job_id FROM ({JOB_EVENTS}))
+UNION ALL SELECT job_id, 'conversion' FROM (SELECT job_id, arg_max(status, seq) AS status FROM ({JOB_EVENTS}) GROUP BY job_id)
+  WHERE status = 'failed' AND job_id IN (SELECT 'job-' || c_custkey FROM customer)
+UNION ALL SELECT doc_id || '.pdf', 'extraction' FROM documents WHERE doc_id % 5 IN (1, 2, 4)""")
+def failure_records(spark, sf_dir):
+    """Failed starts, polls, conversions and extractions as one table of error records."""
+    p = read_table(spark, sf_dir, "pages")
+    end = F.when(F.col("page_id") % 3 == 2, F.lit("")).otherwise(F.lit(".pdf"))
+    started = services.gate(p.select(F.concat(F.col("page_id").cast("string"), end).alias("filename"), F.lit(b"x").alias("content")))
+    polled = find_jobs(spark, sf_dir).select(F.col("job_id").alias("filename"), "http", "code", "status", F.lit("E: x").alias("error"))
+    extracted = _extracted(spark, sf_dir).select("filename", "status", "code")
+    return services.failures(started.select("filename", "status", "code"), polled, extracted).select(F.col("filename").alias("item"), "stage")
+
+
+@query("""
+SELECT 'doc-' || d.doc_id AS document_id, CASE WHEN l.doc_id IS NULL THEN 'waiting' WHEN l.quality = 1 THEN 'approved' ELSE 'rejected' END AS review
+FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def review_state(spark, sf_dir):
+    """Which documents wait for their reviewer, and the last decision on others."""
+    name = F.concat(F.lit("doc-"), F.col("doc_id")).alias("document_id")
+    reviews = read_table(spark, sf_dir, "labels").select(name, F.when(F.col("quality") == 1, F.lit("approved")).otherwise(F.lit("rejected")).alias("decision"), F.lit(2).alias("seq"))
+    earlier = reviews.withColumns({"decision": F.lit("changes"), "seq": F.lit(1)})
+    return services.review_state(read_table(spark, sf_dir, "documents").select(name), reviews.unionByName(earlier))
+
+
+@query("SELECT job_id, row_number() OVER (ORDER BY seq, job_id) AS place FROM (SELECT job_id, min(seq) AS seq FROM (" + JOB_EVENTS + ") GROUP BY job_id)")
+def job_queue(spark, sf_dir):
+    """Jobs in the order in which they came."""
+    first = view(spark, sf_dir, JOB_EVENTS, "events").groupBy("job_id").agg(F.min("seq").alias("created_at"))
+    order = Window.orderBy("created_at", "job_id")  # of jobs, not of their events
+    return jobs.fifo(first).withColumn("place", F.row_number().over(order).cast("long")).select("job_id", "place")
