@@ -1,11 +1,12 @@
 """Helpers that the operators of this subpackage share."""
 
 import string
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweft.sources.shared import materialize, shared_path  # noqa: F401  for the operators
+
 #: ASCII blanks: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -14,26 +15,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the folder that the driver and all executors share.
+#: Bytes of an Arrow batch, of which the JVM and a Python worker hold a few at a time.
+BATCH_BYTES = 8 << 20
 
-    The folder is the session's spark.checkpoint.dir; a folder of our own is
-    used only where that is unset, which is the case in local tests.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/lexweft-{uuid.uuid4().hex}/{label}"
+
+def bound_batches(spark: SparkSession) -> None:
+    """Makes the session's Arrow batches no larger than BATCH_BYTES (a larger row is alone)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "64m").rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Returns free memory of a Python worker, which lives on after its task, to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def packed(docs: DataFrame, *but: str) -> Column:
+    """The columns of ``docs``, without those named, as one struct, ``row``, beside which no column of ours can clash with them."""
+    return F.struct(*(docs[c] for c in docs.columns if c not in but)).alias("row")
+
+
+def unpacked(df: DataFrame, *but: str) -> list[Column]:
+    """The columns of ``row``, without those named."""
+    return [F.col("row").getField(c).alias(c) for c in df.schema["row"].dataType.names if c not in but]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
+#: The most keys that are broadcast as hot ones, and the least number of rows of a hot key.
+HOT_KEYS, HOT_ROWS = 100_000, 100
 
-    A lost executor then costs a re-read and not a recomputation of all that
-    came before.
+
+def join_by_key(rows: DataFrame, values: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
+    """``rows`` with what ``values`` (one row for each key; ``n``: rows that have it) has for their long ``key``; others go.
+
+    Keys that more than a HOT_KEYS-th of all ``total`` rows have, HOT_KEYS of them
+    at most, meet their rows by broadcast. Their rows are then dealt out by a hash
+    of their own place instead of the key, so that no task gets a hot key's rows.
+    ``rows`` should be a written table: a place is its row's.
     """
-    spark = df.sparkSession
-    path = shared_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    names = [c for c in values.columns if c not in (key, n)]
+    some = F.struct(*names)
+    hot = F.col(n) > max(HOT_ROWS, total // HOT_KEYS)
+    few = values.where(hot).select(F.col(key).alias("_hot_key"), some.alias("_hot"))
+    rest = values.where(~hot).select(F.col(key).alias("_rest_key"), some.alias("_rest"))
+    flagged = rows.join(F.broadcast(few), F.col(key) == F.col("_hot_key"), "left")
+    spread = F.xxhash64(F.lit("spread"), F.monotonically_increasing_id())
+    dealt = flagged.withColumn("_dealt", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(spread))
+    found = dealt.join(rest, F.col("_dealt") == F.col("_rest_key"), "left").withColumn("_met", F.coalesce("_hot", "_rest"))
+    return found.where("_met IS NOT NULL").select(*rows.columns, *(F.col(f"_met.{c}").alias(c) for c in names))
 
 
 def ascii_lower(c: Column) -> Column:
@@ -53,3 +91,27 @@ def bind(value: Column, body) -> Column:
     each element of another lambda that uses it.
     """
     return F.transform(F.array(value), body)[0]
+
+
+def scanned(values: Column, zero: Column, combine, block: int = 256) -> Column:
+    """For each element of ``values`` what ``combine`` makes of ``zero`` and all before it; ``combine`` is associative, ``zero`` neutral.
+
+    A fold that appends to an array copies it each time, which is quadratic; here
+    it does so within blocks, and once more over the blocks.
+    """
+
+    def scan(xs):
+        start = F.struct(zero.alias("now"), F.slice(F.array(zero), 1, 0).alias("out"))
+        step = lambda acc, x: F.struct(combine(acc["now"], x).alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out"))
+        return F.aggregate(xs, start, step, lambda acc: acc["out"])
+
+    def of(xs):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int")), lambda b: F.slice(xs, b * block + 1, F.lit(block)))
+
+        def joined(parts):
+            heads = scan(F.transform(parts, lambda x: F.aggregate(x, zero, combine)))
+            return F.flatten(F.zip_with(F.transform(parts, scan), heads, lambda x, h: F.transform(x, lambda v: combine(h, v))))
+
+        return F.when(F.size(xs) > block, bind(blocks, joined)).otherwise(scan(xs))
+
+    return bind(values, of)

@@ -1,25 +1,26 @@
 """Connected components by alternating large-star and small-star steps.
 
 Links never reach the driver; each round is written to the shared folder, so
-lineage stays short and a lost executor costs one round at most.
+lineage stays short and a lost executor costs one round at most. A node that many
+others point to is a hot key of the joins, which ``join_by_key`` spreads.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweft.llm.common import materialize
+from lexweft.llm.common import join_by_key, materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+    return join_by_key(both.where("v > u"), least, "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    others = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    others = join_by_key(down, least, "u", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.union(least.select("u", F.col("m").alias("v")))
 
 
@@ -36,7 +37,8 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     state, step = _state(now), 0
     while state[0]:
         step += 1
-        now = materialize(_small_star(_large_star(now).distinct()).distinct(), f"{label}-{step}")
+        large = materialize(_large_star(now, state[0]).distinct(), f"{label}-{step}-large")
+        now = materialize(_small_star(large, state[0]).distinct(), f"{label}-{step}")
         before, state = state, _state(now)
         if state == before:
             break

@@ -10,14 +10,23 @@ four bytes. Others show form in whatever the language and have a table of their
 own: unigrams and bigrams of word shapes (runs of lower-case letters, capitals
 and digits are one sign each, other signs stand as they are), and whether a word
 repeats one of the eight words before it. Bytes are hashed for whole batches at
-once. Target text is labelled good and, where labels tell, not toxic.
-
-k is the number of documents whose log weight is at least ``least_log_weight``
-(or given), so noise decides among documents about as likely to be target as
-raw text, while those far below are rejected.
-
-The raw model counts all documents. The target model is fitted on at most
-``fit_rows`` labelled rows, a documented bound, chosen by a hash of the doc_id;
+once. Target text is labelled good and, where labels tell, not toxic. N-grams
+overlap, so log weights are tempered by OVERLAP, and a long text counts for
+MOST_GRAMS of its n-grams, by their mean over all of them.
+
+Toxic text is good text but for some words, so a third model, of text labelled
+good and toxic, is set against that of target text. N-grams that are far likelier in toxic
+text are evidence; what a document has above TOXIC_FREE, and above some times
+what target text of its length has, counts against it.
+
+k is given, or the expected number of documents that are like target text: the
+sum of the chances that their weights and ``prior_log_odds`` make. Noise decides
+among documents about as likely to be target as raw text, while those far below
+are rejected. Each text is hashed twice, for the raw model and for its weight;
+what is carried along is written with the weight.
+
+The raw model counts all documents. The target and toxic models are fitted on at most
+``fit_rows`` labelled rows each, a documented bound, chosen by a hash of the doc_id;
 the bound is what makes their ids safe to broadcast.
 
 The k-th largest key is found exactly by refining histograms; no sort of all
@@ -25,17 +34,22 @@ documents, nothing of them on the driver.
 
 Defined results for odd input: a null, empty or blank text has no n-grams and a
 log weight of minus infinity, so it is rejected. Null labels are ignored.
-Without any good label all weights are 1. Rows that tie at the last key are all
-kept. Repeated rows get equal weights and equal noise. Columns named as ours are
-replaced. An empty table gives an empty result.
+Without any good label all weights are 1 and no text is rejected. Rows that tie at the last key are all
+kept. Repeated rows get equal weights and equal noise. Very long texts are hashed
+in parts, to the same n-grams. Other columns are kept, whatever their names, but
+for ``log_weight`` and ``sample_key``, which are replaced (the pipeline's stage
+keeps those too). An empty table gives an empty result.
 """
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweft.llm.common import materialize, table
+from lexweft.llm.common import bound_batches, give_back, materialize, packed, table, unpacked
+from lexweft.llm.pieces import forget
 
 BUCKET_BITS = 14
 #: For the n-grams of the text itself.
@@ -178,32 +192,49 @@ def content_features(texts: list[bytes]):
 #: Words are rarer than shapes; a smaller prior than 500 takes few labels' own words for quality.
 KINDS = ((features, 0, 1 << BUCKET_BITS, 50.0), (content_features, 1 << BUCKET_BITS, 1 << CONTENT_BITS, 500.0))
 BUCKETS = (1 << BUCKET_BITS) + (1 << CONTENT_BITS)
+#: N-grams that overlap tell the same several times: a word stands in about that many.
+OVERLAP = 10.0
+#: The n-grams that a long text counts for; more of the same say little new.
+MOST_GRAMS = 2000
+#: Toxic text: the prior in n-grams, the least log ratio that counts, what clean text may gather, and how much more weighs.
+TOXIC_PRIOR, TOXIC_LEAST, TOXIC_FREE, TOXIC_WEIGHT = 2.0, 2.0, 20.0, 5.0
+
 
+class Model(NamedTuple):
+    """Log ratios per bucket of target to raw text; evidence per bucket of toxic text, and how much of it an n-gram of target text has."""
 
-def ngram_counts(docs: DataFrame, good_ids: DataFrame) -> np.ndarray:
-    """Raw and target counts per bucket of all tables, an array of shape (2, BUCKETS)."""
+    ratios: np.ndarray
+    toxic: np.ndarray
+    rate: float
+
+
+def ngram_counts(docs: DataFrame, known: DataFrame) -> np.ndarray:
+    """Raw, target and toxic counts per bucket of all tables, an array of shape (3, BUCKETS); ``known`` (doc_id, kind): 1 target, 2 toxic."""
 
     def count(batches):
-        total = np.zeros((2, BUCKETS), np.int64)
+        forget()
+        total = np.zeros((3, BUCKETS), np.int64)
         for batch in batches:
-            good = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            of_kind = batch.column(1).to_numpy(zero_copy_only=False)
             texts = [x or b"" for x in batch.column(0).to_pylist()]
             for kind, first, n, _ in KINDS:
                 part = total[:, first : first + n]
                 for of, bucket in kind(texts):
                     part[0] += np.bincount(bucket, minlength=n)
-                    part[1] += np.bincount(bucket[good[of]], minlength=n)
+                    for k in (1, 2):
+                        part[k] += np.bincount(bucket[of_kind[of] == k], minlength=n)
         some = np.flatnonzero(total[0])
-        columns = [pa.array(x.astype(np.int64)) for x in (some, total[0][some], total[1][some])]
-        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "raw", "target"])
-
-    marked = docs.join(F.broadcast(good_ids.select("doc_id", F.lit(True).alias("good"))), "doc_id", "left")
-    own = marked.select(F.col("text").cast("binary"), F.coalesce("good", F.lit(False)).alias("good"))
-    summed = own.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
-    out = np.zeros((2, BUCKETS), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(t[some]) for t in total)], names=["bucket", "raw", "target", "toxic"])
+        give_back()
+
+    marks = F.broadcast(known.select(F.col("doc_id").alias("known_id"), F.col("kind").cast("int").alias("known_kind")))
+    marked = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("known_id"), "left")
+    own = marked.select(F.col("text").cast("binary"), F.coalesce("known_kind", F.lit(0)).alias("kind"))
+    summed = own.mapInArrow(count, "bucket long, raw long, target long, toxic long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"), F.sum("toxic"))
+    out = np.zeros((3, BUCKETS), np.int64)
     rows = summed.toArrow()  # as many rows as buckets at most
-    bucket, raw, target = (c.to_numpy() for c in rows.columns)
-    out[:, bucket] = raw, target
+    bucket, *counts = (c.to_numpy() for c in rows.columns)
+    out[:, bucket] = counts
     return out
 
 
@@ -215,29 +246,48 @@ def log_ratios(counts: np.ndarray, prior: float = 50.0) -> np.ndarray:
     return np.log((target + prior) / (raw * (target.sum() / max(raw.sum(), 1)) + prior))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> np.ndarray:
-    """Log ratios per bucket from all of ``docs`` and at most ``fit_rows`` rows labelled good."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL")
-    if "toxic" in labels.columns:
-        good = good.where("toxic = 0")
-    good = good.select("doc_id").distinct()
-    sample = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    counts = ngram_counts(docs, sample)
-    return np.concatenate([log_ratios(counts[:, first : first + n], prior) for _, first, n, prior in KINDS])
+def toxic_evidence(target: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float]:
+    """Log ratios per bucket of toxic to target text where they are large, else 0, and their mean over the n-grams of target text."""
+    if not toxic.sum() or not target.sum():
+        return np.zeros(len(toxic)), 0.0
+    ratio = np.log((toxic + TOXIC_PRIOR) / (target * (toxic.sum() / target.sum()) + TOXIC_PRIOR))
+    ratio[ratio <= TOXIC_LEAST] = 0
+    return ratio, float(target @ ratio / target.sum())
 
 
-def with_weights(docs: DataFrame, ratios: np.ndarray, seed: int = 7) -> DataFrame:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> Model:
+    """The models, from all of ``docs`` and at most ``fit_rows`` rows each labelled good and toxic."""
+    toxic = F.coalesce(F.col("toxic"), F.lit(0)) if "toxic" in labels.columns else F.lit(0)
+    # Text labelled bad would tell the toxic model what junk looks like. A doc_id that is labelled twice and differently is toxic.
+    kind = F.when(toxic == 1, 2).otherwise(1)
+    said = labels.where("doc_id IS NOT NULL AND quality = 1").groupBy("doc_id").agg(F.max(kind).alias("kind"))
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    known = [said.where(F.col("kind") == k).orderBy(*order).limit(fit_rows) for k in (1, 2)]
+    counts = ngram_counts(docs, known[0].unionByName(known[1]))
+    ratios = np.concatenate([log_ratios(counts[:2, first : first + n], prior) for _, first, n, prior in KINDS])
+    _, first, n, _ = KINDS[1]
+    return Model(ratios, *toxic_evidence(counts[1, first:], counts[2, first:]))
+
+
+def with_weights(docs: DataFrame, model: Model, seed: int = 7) -> DataFrame:
     """``docs`` with ``log_weight`` and ``sample_key`` (the log weight plus Gumbel noise)."""
+    content = KINDS[1][0]
 
     @F.arrow_udf("double")
     def weigh(texts: pa.Array) -> pa.Array:
-        total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        total, n, toxic, m = (np.zeros(len(texts)) for _ in range(4))
         own = [x or b"" for x in texts.to_pylist()]
         for kind, first, _, _ in KINDS:
             for of, bucket in kind(own):
-                total += np.bincount(of, weights=ratios[first + bucket], minlength=len(texts))
+                total += np.bincount(of, weights=model.ratios[first + bucket], minlength=len(texts))
                 n += np.bincount(of, minlength=len(texts))
+                if kind is content:
+                    toxic += np.bincount(of, weights=model.toxic[bucket], minlength=len(texts))
+                    m += np.bincount(of, minlength=len(texts))
+        # Long clean text gathers some evidence of toxic text by chance, a few times the mean at most.
+        total = total / OVERLAP * np.minimum(1, MOST_GRAMS / np.maximum(n, 1)) - TOXIC_WEIGHT * np.maximum(0, toxic - 4 * model.rate * m - TOXIC_FREE)
         total[n == 0] = -np.inf
+        give_back()
         return pa.array(total)
 
     # From a hash of the doc_id, so that a task that runs again draws the same.
@@ -270,32 +320,50 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 2000, few: int = 10_000) ->
     return [r[0] for r in rest.select("sample_key").collect()][k - above - 1]
 
 
-def threshold(scored: DataFrame, least_log_weight: float = -3.0, k: int | None = None) -> float:
+def sample_size(scored: DataFrame, prior_log_odds: float = 6.0) -> int:
+    """The expected number of documents that are like target text: the sum of their odds turned into chances."""
+    chance = 1 / (1 + F.exp(-(F.col("log_weight") + prior_log_odds)))
+    # As decimals, whose sum doesn't depend on the order.
+    return int(scored.agg(F.coalesce(F.round(F.sum(chance.cast("decimal(20, 12)"))), F.lit(0))).first()[0])
+
+
+def threshold(scored: DataFrame, k: int | None = None, prior_log_odds: float = 6.0) -> float:
     """The key from which on documents are sampled; infinity if none is."""
     if k is None:
-        k = scored.where(F.col("log_weight") >= least_log_weight).count()
+        k = sample_size(scored, prior_log_odds)
     found = kth_largest(scored, k)
     if found is None:
         return float("inf") if not k else float("-1e308")
     return found
 
 
-def resample(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, least_log_weight: float = -3.0, k: int | None = None, seed: int = 7) -> DataFrame:
-    """The sampled rows of ``docs``, with all their columns, ``log_weight`` and ``sample_key``."""
-    ratios = fit(docs, labels, fit_rows)
-    scored = with_weights(docs, ratios, seed)
-    keys = materialize(scored.select("log_weight", "sample_key"), "weights")
-    return scored.where(F.col("sample_key") >= threshold(keys, least_log_weight, k))
+def resample(
+    docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, k: int | None = None, prior_log_odds: float = 6.0, seed: int = 7, carry: list[str] | None = None
+) -> DataFrame:
+    """The sampled rows of ``docs`` with all their columns (or those of ``carry``), ``log_weight`` and ``sample_key``."""
+    rows = _sampled(docs, labels, fit_rows, k, prior_log_odds, seed, carry)
+    return rows.select(*unpacked(rows, "log_weight", "sample_key"), "log_weight", "sample_key")
+
+
+def _sampled(docs, labels, fit_rows=20_000, k=None, prior_log_odds=6.0, seed=7, carry=None) -> DataFrame:
+    """``(row, log_weight, sample_key)`` of the sampled rows; what is carried is written once, with the weights, and not hashed again."""
+    bound_batches(docs.sparkSession)
+    own = docs.select("doc_id", "text", packed(docs if carry is None else docs.select(*carry)))
+    model = fit(own, labels, fit_rows)
+    scored = materialize(with_weights(own, model, seed).select("row", "log_weight", "sample_key"), "weights")
+    if not model.ratios.any():  # nothing is known against any
+        prior_log_odds = 1e3
+    return scored.where(F.col("sample_key") >= threshold(scored.select("log_weight", "sample_key"), k, prior_log_odds))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return resample(docs.select("doc_id", "text"), labels).select("doc_id", "log_weight", "sample_key")
+    return resample(docs, labels, carry=["doc_id"])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return resample(docs, table(spark, sf_dir, "labels")).select(*docs.columns)
+    return _sampled(docs, table(spark, sf_dir, "labels")).select("row.*")
 
 
 QUERIES = {"op10_quality": op10_quality}

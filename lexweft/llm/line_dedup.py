@@ -9,15 +9,16 @@ text itself moves once, when the dropped positions are joined back to it.
 
 Defined results for odd input: a null or empty text is one empty line. Null
 doc_ids count as one document that is below all others. Rows that repeat a
-doc_id count as one document. Columns of the input other than ``doc_id`` and
-``text`` are kept unless they clash with ``n_lines``, ``n_dropped`` or the
-text itself, which are replaced. An empty table gives an empty result.
+doc_id count as one document. Other columns are kept, whatever their names, but
+for ``n_lines`` and ``n_dropped``, which are replaced. Very long texts are split
+within their row. A line that a third of all documents hold is a hot key, which
+``join_by_key`` spreads. An empty table gives an empty result.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweft.llm.common import BLANKS, ascii_lower, bind, materialize, table
+from lexweft.llm.common import BLANKS, ascii_lower, bind, join_by_key, materialize, packed, table, unpacked
 
 
 def line_hashes(docs: DataFrame, min_chars: int = 40) -> DataFrame:
@@ -37,28 +38,29 @@ def line_hashes(docs: DataFrame, min_chars: int = 40) -> DataFrame:
 
 
 def repeated_lines(hashes: DataFrame, min_docs: int = 5) -> DataFrame:
-    """``(h1, h2, n_docs, keeper)`` for hashes that at least ``min_docs`` documents hold."""
-    per_doc = hashes.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
-    counted = per_doc.groupBy("h1", "h2").agg(F.count("one").alias("n_docs"), F.max("doc_id").alias("keeper"))
+    """``(h1, h2, n_docs, keeper, n)`` for hashes that at least ``min_docs`` documents hold, in n lines."""
+    per_doc = hashes.groupBy("h1", "h2", "doc_id").agg(F.count("*").alias("lines"))
+    counted = per_doc.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"), F.sum("lines").alias("n"))
     return counted.where(F.col("n_docs") >= min_docs)
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> DataFrame:
     """``docs`` with ``text`` rid of repeated lines, and ``n_lines`` and ``n_dropped``."""
     hashes = materialize(line_hashes(docs, min_chars), "lines")
+    # Joined by one of the two hashes; lines that agree in it alone would be told apart by the other.
+    repeated = repeated_lines(hashes, min_docs).groupBy("h1").agg(F.collect_list(F.struct("h2", "keeper")).alias("kept"), F.sum("n").alias("n"))
+    met = join_by_key(hashes, repeated, "h1", hashes.count())
     drops = (
-        hashes.join(repeated_lines(hashes, min_docs), ["h1", "h2"])
-        .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+        met.where(F.exists("kept", lambda k: (k["h2"] == F.col("h2")) & ~k["keeper"].eqNullSafe(F.col("doc_id"))))
         .groupBy(F.col("doc_id").alias("drop_id"), F.col("th").alias("drop_th"))
         .agg(F.collect_set("pos").alias("drop_pos"))
     )
-    text = F.coalesce("text", F.lit(""))
-    joined = docs.join(
-        drops, docs["doc_id"].eqNullSafe(drops["drop_id"]) & (F.xxhash64(text) == drops["drop_th"]), "left"
-    )
-    kept = F.when(F.col("drop_pos").isNull(), text).otherwise(
+    whole = F.coalesce("text", F.lit(""))
+    own = docs.select(packed(docs, "text", "n_lines", "n_dropped"), F.col("doc_id").alias("own_id"), whole.alias("own_text"), F.xxhash64(whole).alias("own_th"))
+    joined = own.join(drops, F.col("own_id").eqNullSafe(F.col("drop_id")) & (F.col("own_th") == F.col("drop_th")), "left")
+    kept = F.when(F.col("drop_pos").isNull(), F.col("own_text")).otherwise(
         bind(
-            F.split(text, "\n"),
+            F.split("own_text", "\n"),
             lambda lines: F.array_join(
                 F.transform(
                     F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop_pos")), lambda i: lines[i]
@@ -67,11 +69,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> Data
             ),
         )
     )
-    rest = [docs[c] for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     return joined.select(
-        *rest,
+        *unpacked(joined),
         kept.alias("text"),
-        (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
+        (F.char_length("own_text") - F.char_length(F.replace("own_text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
         F.coalesce(F.size("drop_pos"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 

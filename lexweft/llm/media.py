@@ -8,10 +8,16 @@ media, which can be carved out by offset and length.
 
 Defined results for odd input: a null value has no type and no embedded media.
 An empty one has type ``application/x-empty``. A value without a valid format
-at offset 0 keeps its declared type, else ``application/octet-stream``.
+at offset 0 keeps its declared type, else ``application/octet-stream``. Null ids
+and repeated rows are kept as they are. A very long value is held in memory
+whole, and signs that end formats are looked for once in it. Other columns are
+kept, whatever their names, but for those that ``sniff`` adds, which are replaced.
+An empty table gives an empty result.
 """
 
+import bisect
 import hashlib
+import re
 import struct
 import zlib
 
@@ -20,12 +26,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweft.llm.common import table
+from lexweft.llm.common import bound_batches, packed, table, unpacked
 
-# --- validators: (data, offset) -> length, or 0 if the structure doesn't hold ---
 
 
-def _png(d, at):
+class Marks:
+    """Where some byte strings stand in a value, each looked for once however many claims ask for it."""
+
+    def __init__(self, data: bytes):
+        self.data, self.known = data, {}
+
+    def of(self, sign: bytes) -> list[int]:
+        if sign not in self.known:
+            self.known[sign] = [m.start() for m in re.finditer(re.escape(sign), self.data)]
+        return self.known[sign]
+
+    def zip_ends(self) -> dict[int, int]:
+        """End of each archive by where it starts, as its end record says."""
+        if "zip" not in self.known:
+            self.known["zip"] = found = {}
+            for end in self.of(b"PK\x05\x06"):
+                if end + 22 <= len(self.data):
+                    size, offset, comment = struct.unpack_from("<IIH", self.data, end + 12)
+                    first = end - size
+                    if first >= offset and self.data[first : first + 4] in (b"PK\x01\x02", b"PK\x05\x06"):
+                        found.setdefault(first - offset, min(len(self.data), end + 22 + comment))
+        return self.known["zip"]
+
+
+# --- validators: (data, offset, marks) -> length, or 0 if the structure doesn't hold ---
+
+
+def _png(d, at, marks):
     p = at + 8
     while p + 12 <= len(d):
         n = int.from_bytes(d[p : p + 4], "big")
@@ -40,7 +72,7 @@ def _png(d, at):
     return 0
 
 
-def _jpeg(d, at):
+def _jpeg(d, at, marks):
     p = at + 2
     while p + 4 <= len(d):
         if d[p] != 0xFF:
@@ -67,7 +99,7 @@ def _jpeg(d, at):
     return p + 2 - at if d[p : p + 2] == b"\xff\xd9" else 0
 
 
-def _gif(d, at):
+def _gif(d, at, marks):
     if at + 13 > len(d):
         return 0
     p = at + 13 + (3 << ((d[at + 10] & 7) + 1) if d[at + 10] & 0x80 else 0)
@@ -89,7 +121,7 @@ def _gif(d, at):
     return 0
 
 
-def _riff(d, at):
+def _riff(d, at, marks):
     if at + 12 > len(d):
         return 0
     n = 8 + int.from_bytes(d[at + 4 : at + 8], "little")
@@ -104,38 +136,43 @@ def _riff(d, at):
     return n if need is not None and kinds and need <= set(kinds) else 0
 
 
-def _gzip(d, at):
-    if at + 18 > len(d):
-        return 0
-    un, p = zlib.decompressobj(31), at
-    try:
-        while p < len(d) and not un.eof:
-            un.decompress(d[p : p + 65536])
-            p += 65536
-    except zlib.error:
-        return 0
-    return min(p, len(d)) - len(un.unused_data) - at if un.eof else 0
+def _gzip(d, at, marks):
+    """All members that follow one another."""
+    end = at
+    while d[end : end + 3] == b"\x1f\x8b\x08" and end + 18 <= len(d):
+        un, p = zlib.decompressobj(31), end
+        try:
+            while p < len(d) and not un.eof:
+                un.decompress(d[p : p + 65536])
+                p += 65536
+        except zlib.error:
+            break
+        if not un.eof:
+            break
+        end = min(p, len(d)) - len(un.unused_data)
+    return end - at
 
 
-def _zip(d, at):
-    end = d.find(b"PK\x05\x06", at)
-    while end >= 0:
-        if end + 22 <= len(d):
-            size, offset, comment = struct.unpack_from("<IIH", d, end + 12)
-            if at + offset + size == end and d[at + offset : at + offset + 4] in (b"PK\x01\x02", b"PK\x05\x06"):
-                return min(len(d), end + 22 + comment) - at
-        end = d.find(b"PK\x05\x06", end + 4)
-    return 0
+def _zip(d, at, marks):
+    return marks.zip_ends().get(at, at) - at
 
 
-def _pdf(d, at):
-    end = d.find(b"%%EOF", at)
-    if end < 0 or d.find(b"startxref", at, end) < 0:
-        return 0
-    return end + 5 - at
+_STARTXREF = re.compile(rb"startxref\s+([0-9]+)\s+\Z")
 
 
-def _ogg(d, at):
+def _pdf(d, at, marks):
+    """To the last end before the next header that a cross reference within leads to: updates and linearised files have several."""
+    heads, ends = marks.of(b"%PDF-"), marks.of(b"%%EOF")
+    k = bisect.bisect_right(heads, at)
+    stop = heads[k] if k < len(heads) else len(d)
+    for end in reversed(ends[bisect.bisect_left(ends, at) : bisect.bisect_left(ends, stop)]):
+        found = _STARTXREF.search(d[max(at, end - 64) : end])
+        if found and re.match(rb"xref|\s*[0-9]+\s+[0-9]+\s+obj", d[at + int(found[1]) : at + int(found[1]) + 40]):
+            return end + 5 - at
+    return 0
+
+
+def _ogg(d, at, marks):
     p = at
     while d[p : p + 4] == b"OggS" and p + 27 <= len(d) and d[p + 4] == 0:
         k = d[p + 26]
@@ -149,7 +186,7 @@ def _ogg(d, at):
     return 0
 
 
-def _midi(d, at):
+def _midi(d, at, marks):
     if at + 14 > len(d) or int.from_bytes(d[at + 4 : at + 8], "big") != 6:
         return 0
     p = at + 14
@@ -160,20 +197,24 @@ def _midi(d, at):
     return p - at if p <= len(d) else 0
 
 
-def _bmff(d, at):
+def _bmff(d, at, marks):
     """Boxes of an ISO base media file; the signature stands 4 bytes in."""
     p, kinds = at, []
     while p + 8 <= len(d):
-        n = int.from_bytes(d[p : p + 4], "big")
+        n, head = int.from_bytes(d[p : p + 4], "big"), 8
         kind = bytes(d[p + 4 : p + 8])
-        if n < 8 or p + n > len(d) or not all(32 <= c < 127 for c in kind):
+        if n == 1:  # the size stands behind the type
+            n, head = int.from_bytes(d[p + 8 : p + 16], "big"), 16
+        elif n == 0:  # to the end
+            n = len(d) - p
+        if n < head or p + n > len(d) or not all(32 <= c < 127 for c in kind):
             break
         kinds.append(kind)
         p += n
     return p - at if kinds[:1] == [b"ftyp"] and len(kinds) > 1 else 0
 
 
-def _flac(d, at):
+def _flac(d, at, marks):
     p, first = at + 4, True
     while p + 4 <= len(d):
         kind, n = d[p] & 0x7F, int.from_bytes(d[p + 1 : p + 4], "big")
@@ -186,7 +227,7 @@ def _flac(d, at):
     return 0
 
 
-def _bmp(d, at):
+def _bmp(d, at, marks):
     if at + 26 > len(d):
         return 0
     n, _, start, head = struct.unpack_from("<IIII", d, at + 2)
@@ -228,13 +269,13 @@ def find_media(data: bytes, signatures) -> tuple[list[tuple[int, int, str]], int
 
     The format at offset 0 holds the others; they are looked for inside it too.
     """
-    valid, claims, inside = [], 0, 0
+    valid, claims, inside, marks = [], 0, 0, Marks(data)
     for end, (kind, back, check) in signatures.iter(data.decode("latin-1")):
         claims += 1
         at = end - back
         if at < 0 or (0 < at < inside):
             continue
-        n = check(data, at)
+        n = check(data, at, marks)
         if n:
             valid.append((at, n, RIFF_TYPES[bytes(data[at + 8 : at + 12])] if kind == "riff" else kind))
             if at:
@@ -281,18 +322,17 @@ def sniff(df: DataFrame, content: str, declared: str | None = None, carve: bool
     ``payload`` has digests of the samples if ``digest`` and the value is a whole
     sound file.
     """
+    bound_batches(df.sparkSession)
     said = F.col(declared) if declared else F.lit(None).cast("string")
-    found = df.withColumn("_found", _look(carve, digest)(F.col(content)))
-    kind = F.coalesce("_found.type", said, F.lit("application/octet-stream"))
-    return found.select(
-        *[df[c] for c in df.columns],
-        F.when(F.col("_found").isNotNull(), kind).alias("media_type"),
-        F.col("_found.length").alias("media_length"),
-        (F.col("_found.type").isNotNull() & ~F.col("_found.type").eqNullSafe(said)).alias("type_corrected"),
-        F.col("_found.hits").alias("magic_hits"),
-        F.col("_found.embedded").alias("embedded"),
-        *([F.col("_found.payload").alias("payload")] if digest else []),
-    )
+    found = df.select(packed(df), said.alias("said"), _look(carve, digest)(F.col(content)).alias("found"))
+    own = {
+        "media_type": F.when(F.col("found").isNotNull(), F.coalesce("found.type", "said", F.lit("application/octet-stream"))),
+        "media_length": F.col("found.length"),
+        "type_corrected": F.col("found.type").isNotNull() & ~F.col("found.type").eqNullSafe(F.col("said")),
+        "magic_hits": F.col("found.hits"),
+        "embedded": F.col("found.embedded"),
+    } | ({"payload": F.col("found.payload")} if digest else {})
+    return found.select(*unpacked(found, *own), *(c.alias(name) for name, c in own.items()))
 
 
 # --- payloads stored as 8-bit mono sound ---

@@ -1,78 +1,76 @@
 """Mixing sources to target weights, in blocks.
 
 The words of a source, document after document, are packed into blocks of
-``block_words``. The mix has as many slots per source as its target asks for;
-they are dealt to output shards by multinomial draws whose weights are what each
-source still has to give, so the shards are random and the totals exact. The
-i-th slot of a source takes block perm(i mod blocks), a pseudorandom permutation
-of the source's block indices that changes with each round through them, so a
-block comes again only when all have come. Blocks are joined by their index.
+``block_words``. The mix has as many slots per source as its target asks for.
+They are dealt to output shards by multinomial draws: each source draws how many
+of its slots each shard gets, all shards being as likely, so a shard's counts of
+sources are multinomial given its size, and the totals are exact. Which block
+fills a slot follows from the shard: a source's slots are numbered shard by
+shard, and the i-th takes block perm(i mod blocks), a pseudorandom permutation of
+the source's block indices that changes with each round through them, so a block
+comes again only when all have come. Within a shard slots stand in pseudorandom
+order. Blocks are joined by their index.
 
 Targets share the size of the whole corpus by weight; none goes above
 ``max_repeats`` times its source's size, and the excess is shared anew.
 
 Word positions come from prefix sums in two steps, over buckets of a source and
 within a bucket, so that a source with a third of all rows is never in one task.
-Texts are not moved for that: only ids, sizes and positions. Per-source figures
-are on the driver, one row for each source.
+Texts are not moved for that: only ids, sizes and positions. Sources are a table,
+as there may be one for each host; each draws on its own, in an executor.
 
 Defined results for odd input: a null, empty or blank text has size 0 and none
 taken. The null source is one like any other, the last. Rows that repeat are
-separate documents. Null doc_ids are kept. Other columns are kept where texts
-are returned. An empty table gives an empty result.
+separate documents. Null doc_ids are kept. A very long text is cut within its
+row, into as many blocks as it reaches. Other columns are kept where texts are
+returned, whatever their names. An empty table gives an empty result.
 """
 
 import math
-from itertools import cycle
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexweft.llm.common import BLANKS, bind, materialize, table
+from lexweft.llm.common import BLANKS, bind, join_by_key, materialize, packed, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: The most sources whose plan is broadcast.
 SMALL_PLAN = 100_000
+SLOTS_PER_SHARD = 1 << 14
+#: Counts and slots made at a time.
+AT_ONCE = 1 << 16
 
 
-class Share(NamedTuple):
-    """What the plan has for a source."""
+def shares(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
+    """``(source, no, n, docs, target)`` for ``sizes`` (source, n, docs): sources by code point, null last; ``weights`` repeat.
 
-    no: int
-    source: str | None
-    size: int
-    target: float
-    blocks: int
-    slots: int
-
-
-def targets(sizes: list[int], weights: list[float], max_repeats: float = 3.0) -> list[float]:
-    """Shares of the sum of ``sizes`` by weight, none above ``max_repeats`` times its size."""
-    total, capped = float(sum(sizes)), set()
-    while True:
-        free = [i for i in range(len(sizes)) if i not in capped]
-        rest = total - sum(max_repeats * sizes[i] for i in capped)
-        weight = sum(weights[i] for i in free)
-        share = {i: rest * weights[i] / weight for i in free}
-        over = {i for i in free if share[i] > max_repeats * sizes[i]}
-        if not over:
-            return [share.get(i, float(max_repeats * sizes[i])) for i in range(len(sizes))]
-        capped |= over
-
-
-def mix_plan(sizes: list[tuple[str | None, int]], block_words: int, weights=(1.0, 2.0, 3.0), max_repeats: int = 3) -> list[Share]:
-    """One Share for each source, by code point, null last; ``weights`` repeat."""
-    ordered = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    cyclic = cycle(weights)
-    goal = targets([n for _, n in ordered], [next(cyclic) for _ in ordered], max_repeats)
-    out = []
-    for i, ((source, n), t) in enumerate(zip(ordered, goal)):
-        blocks = -(-n // block_words)
-        out.append(Share(i, source, n, t, blocks, min(max_repeats * blocks, round(t * blocks / n)) if n else 0))
-    return out
+    Sources that would get more than ``max_repeats`` times their size get that,
+    and the rest is shared anew until none is above.
+    """
+    order = Window.orderBy(F.col("source").isNull(), "source")  # of sources only, a few bytes each
+    numbered = sizes.select("source", "n", "docs", (F.row_number().over(order) - 1).alias("no"))
+    weight = F.get(F.array(*(F.lit(float(w)) for w in weights)), F.col("no") % len(weights))
+    plan = materialize(numbered.withColumn("weight", weight), "sources")
+    rest, free = plan.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    total, most = rest, F.col("n") * max_repeats
+    while free:
+        share = F.lit(float(rest)) * F.col("weight") / F.lit(free)
+        # Whole numbers and small weights: the sums are exact, whatever their order.
+        capped, left = plan.agg(F.coalesce(F.sum(F.when(share > most, most)), F.lit(0)), F.coalesce(F.sum(F.when(share <= most, F.col("weight"))), F.lit(0.0))).first()
+        if left == free:
+            return plan.select("source", "no", "n", "docs", F.when(share > most, most.cast("double")).otherwise(share).alias("target"))
+        rest, free = total - capped, left
+    return plan.select("source", "no", "n", "docs", most.cast("double").alias("target"))
+
+
+def mix_plan(sizes: DataFrame, block_words: int, weights=(1, 2, 3), max_repeats: int = 3) -> DataFrame:
+    """``shares`` with ``blocks`` and ``slots`` of each source."""
+    blocks = F.expr(f"(n + {block_words - 1}) div {block_words}")
+    wanted = F.rint(F.col("target") * F.col("blocks") / F.col("n")).cast("long")
+    slots = F.when(F.col("n") > 0, F.least(F.col("blocks") * max_repeats, wanted)).otherwise(0)
+    return shares(sizes, weights, max_repeats).withColumn("blocks", blocks).withColumn("slots", slots)
 
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -94,48 +92,57 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return x.astype(np.int64)
 
 
-def draw_shards(plan: list[Share], seed: int, slots_per_shard: int = 1 << 14, most_shards: int = 4096) -> list[tuple[int, int, int, int, int, int]]:
-    """``(shard, at, source, first, count, shard size)``: multinomial counts by what each source still has to give."""
-    rng, left = np.random.default_rng(seed), np.array([p.slots for p in plan], np.int64)
-    per = max(slots_per_shard, -(-int(left.sum()) // most_shards))
-    given, out, shard = np.zeros(len(plan), np.int64), [], 0
-    while left.sum():
-        m = int(min(per, left.sum()))
-        drawn = np.zeros(len(plan), np.int64)
-        while (short := m - int(drawn.sum())) > 0:
-            weight = (left - drawn).astype(float)
-            drawn = np.minimum(left, drawn + rng.multinomial(short, weight / weight.sum()))
-        at = 0
-        for i in np.flatnonzero(drawn).tolist():
-            out.append((shard, at, i, int(given[i]), int(drawn[i]), m))
-            at += int(drawn[i])
-        given, left, shard = given + drawn, left - drawn, shard + 1
-    return out
-
-
-def slots(spark: SparkSession, plan: list[Share], seed: int) -> DataFrame:
-    """``(shard, slot, source_no, round, block)`` for each slot of the mix."""
-    blocks = np.array([p.blocks for p in plan], np.int64)
+def shard_counts(slots: int, shards: int, seed: int, no: int):
+    """``(shards, first, count)`` arrays of one source, some at a time: a multinomial draw of its slots, and how many went before."""
+    rng, left, done = np.random.default_rng((seed, no)), slots, 0
+    for at in range(0, shards, AT_ONCE):
+        some = min(AT_ONCE, shards - at)
+        here = int(rng.binomial(left, min(1.0, some / (shards - at)))) if at + some < shards else left
+        count = np.bincount(rng.integers(0, some, here), minlength=some) if here < some else rng.multinomial(here, np.full(some, 1 / some))
+        first = done + np.cumsum(count) - count
+        held = np.flatnonzero(count)
+        yield at + held, first[held], count[held]
+        left, done = left - here, done + here
+
+
+def draw_shards(plan: DataFrame, shards: int, seed: int) -> DataFrame:
+    """``(shard, source_no, first, count, blocks)``: how many slots of each source each shard gets."""
+
+    def draw(batches):
+        for batch in batches:
+            for no, slots, blocks in zip(*(c.to_pylist() for c in batch.columns)):
+                for shard, first, count in shard_counts(slots, shards, seed, no):
+                    columns = [shard, np.full(len(shard), no, np.int32), first, count.astype(np.int64), np.full(len(shard), blocks)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shard", "source_no", "first", "count", "blocks"])
+
+    own = plan.where("slots > 0").select("no", "slots", "blocks")
+    return own.mapInArrow(draw, "shard long, source_no int, first long, count long, blocks long")
+
+
+def slots(drawn: DataFrame, seed: int) -> DataFrame:
+    """``(shard, place, source_no, round, block)`` for each slot; ``place`` orders the slots of a shard."""
 
     def fill(batches):
         for batch in batches:
-            for shard, at, no, first, count, m in zip(*(c.to_pylist() for c in batch.columns)):
-                for a in range(0, count, 1 << 16):
-                    i = np.arange(first + a, first + min(count, a + (1 << 16)))
-                    turn, n = i // blocks[no], np.full(len(i), blocks[no])
-                    key = (np.uint64(seed) << np.uint64(40)) + (np.uint64(no) << np.uint64(8)) + turn.astype(np.uint64)
-                    block = permuted(i % blocks[no], n, key)
-                    place = np.arange(at + a, at + a + len(i))
-                    slot = permuted(place, np.full(len(i), m), np.full(len(i), (seed << 20) + shard, np.uint64))
-                    columns = [np.full(len(i), shard), slot, np.full(len(i), no, np.int32), turn.astype(np.int32), block]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shard", "slot", "source_no", "round", "block"])
-
-    drawn = draw_shards(plan, seed)
-    schema = "shard long, at long, no int, first long, count long, m long"
-    return spark.createDataFrame(drawn, schema).mapInArrow(fill, "shard long, slot long, source_no int, round int, block long")
-
-
-def positions(docs: DataFrame, seed_columns: list[str], bucket_docs: int = 20_000) -> DataFrame:
+            shard, no, first, count, blocks = (c.to_numpy() for c in batch.columns)
+            ends = np.cumsum(count)
+            for at in range(0, int(ends[-1]) if len(ends) else 0, AT_ONCE):
+                slot = np.arange(at, min(at + AT_ONCE, int(ends[-1])))
+                row = np.searchsorted(ends, slot, "right")
+                i, n, source = first[row] + slot - (ends - count)[row], blocks[row], no[row]
+                turn = i // n
+                key = (np.uint64(seed) << np.uint64(40)) + (source.astype(np.uint64) << np.uint64(8)) + turn.astype(np.uint64)
+                block = permuted(i % n, n, key)
+                place = (i.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (source.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(seed))
+                place = ((place ^ (place >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+                columns = [shard[row], place, source, turn.astype(np.int32), block]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shard", "place", "source_no", "round", "block"])
+
+    dealt = drawn.repartition("shard", "source_no")
+    return dealt.mapInArrow(fill, "shard long, place long, source_no int, round int, block long")
+
+
+def positions(docs: DataFrame, seed_columns: list[str], bucket_docs: int = 1000) -> DataFrame:
     """``(doc_id, row_hash, copy, source, size, start)``: where each document's words begin in its source.
 
     ``row_hash`` and ``copy`` tell apart rows that share a doc_id, or all they have.
@@ -163,17 +170,22 @@ def positions(docs: DataFrame, seed_columns: list[str], bucket_docs: int = 20_00
 class Mix:
     """A mix of ``docs`` (doc_id, text, source and any other columns)."""
 
-    def __init__(self, docs: DataFrame, block_words: int = 64, weights=(1.0, 2.0, 3.0), max_repeats: int = 3, seed: int = 11):
-        self.docs, self.block_words = docs, block_words
+    def __init__(self, docs: DataFrame, block_words: int = 64, weights=(1, 2, 3), max_repeats: int = 3, seed: int = 11, slots_per_shard: int = SLOTS_PER_SHARD):
+        self.docs, self.block_words, self.seed = docs, block_words, seed
         placed = materialize(positions(docs, docs.columns), "positions")
-        sizes = [(r.source, r.n) for r in placed.groupBy("source").agg(F.sum("size").alias("n")).collect()]
-        self.plan = mix_plan(sizes, block_words, weights, max_repeats)
-        rows = docs.sparkSession.createDataFrame(
-            [(p.no, p.source, p.size, p.target) for p in self.plan], "source_no int, source_name string, source_size long, target double"
-        )
-        rows = F.broadcast(rows) if len(self.plan) <= SMALL_PLAN else rows
-        self.placed = placed.join(rows, F.col("source").eqNullSafe(F.col("source_name"))).drop("source_name")
-        self.seed = seed
+        sizes = placed.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs"))
+        self.plan = materialize(mix_plan(sizes, block_words, weights, max_repeats), "plan")
+        n_sources, n_docs, n_slots = self.plan.agg(F.count("*"), F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("slots"), F.lit(0))).first()
+        self.shards = max(1, -(-n_slots // slots_per_shard))
+        rows = self.plan.select(F.col("source").alias("source_name"), F.col("no").alias("source_no"), F.col("n").alias("source_size"), "target", "docs")
+        if n_sources <= SMALL_PLAN:
+            self.placed = placed.join(F.broadcast(rows.drop("docs")), F.col("source").eqNullSafe(F.col("source_name"))).drop("source_name")
+        else:
+            # By a hash, within which sources are told apart; those of very many documents meet them by broadcast.
+            named = rows.groupBy(F.xxhash64("source_name").alias("source_key")).agg(F.collect_list(F.struct(*rows.columns)).alias("sources"), F.sum("docs").alias("n"))
+            met = join_by_key(placed.withColumn("source_key", F.xxhash64("source")), named, "source_key", n_docs)
+            own = F.filter("sources", lambda s: s["source_name"].eqNullSafe(F.col("source")))[0]
+            self.placed = met.withColumn("own", own).select(*placed.columns, "own.source_no", "own.source_size", "own.target")
 
     def pieces(self) -> DataFrame:
         """``(source_no, block, start, first_word, n_words)``: the part of each document in each block it reaches."""
@@ -186,37 +198,56 @@ class Mix:
 
     def blocks(self) -> DataFrame:
         """Each slot of the mix with the pieces of documents that fill it."""
-        return slots(self.docs.sparkSession, self.plan, self.seed).join(self.pieces(), ["source_no", "block"])
+        return slots(draw_shards(self.plan, self.shards, self.seed), self.seed).join(self.pieces(), ["source_no", "block"])
 
     def taken(self) -> DataFrame:
         """Each document with ``size``, ``source_size``, ``target`` and ``taken`` (words, repeats counted)."""
         got = self.blocks().groupBy("source_no", "start").agg(F.sum("n_words").alias("got"))
-        key = F.when(F.col("size") > 0, F.col("start"))
+        key = F.when(F.col("size") > 0, F.col("start")).otherwise(-1 - F.pmod(F.xxhash64("doc_id", "row_hash", "copy"), F.lit(1 << 40)))
         named = got.select(F.col("source_no").alias("g_no"), F.col("start").alias("g_start"), "got")
         joined = self.placed.join(named, (F.col("source_no") == F.col("g_no")) & (key == F.col("g_start")), "left")
         return joined.select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).alias("taken"))
 
-    def texts(self) -> DataFrame:
-        """The mix as documents: rows with any words taken, ``text`` the taken words, round by round and in order."""
-        part = F.struct("round", "first_word", "n_words")
-        got = self.blocks().groupBy("source_no", "start").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    def _with_parts(self, part: list[str]) -> DataFrame:
+        """``(row, text_words, parts)`` for each document of which any words are taken; parts in order of shards and places."""
+        got = self.blocks().groupBy("source_no", "start").agg(F.array_sort(F.collect_list(F.struct(*part))).alias("parts"))
         found = self.placed.where("size > 0").join(got, ["source_no", "start"])
-        keyed = found.select(F.col("doc_id").alias("k_id"), F.col("row_hash").alias("k_hash"), F.col("copy").alias("k_copy"), "parts")
+        keyed = found.select(F.col("doc_id").alias("k_id"), F.col("row_hash").alias("k_hash"), F.col("copy").alias("k_copy"), "source_no", "parts")
         columns = self.docs.columns
-        own = self.docs.withColumn("_hash", F.xxhash64(*columns))
-        nth = F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy("_hash")) - 1
-        own = own.withColumn("_copy", nth)
-        same = own["doc_id"].eqNullSafe(keyed["k_id"]) & (own["_hash"] == keyed["k_hash"]) & (own["_copy"] == keyed["k_copy"])
-        joined = own.join(keyed, same)
-        words = F.regexp_extract_all(F.concat("text", F.lit("\n")), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+        own = self.docs.select(packed(self.docs, "text"), F.col("text").alias("own_text"), F.col("doc_id").alias("own_id"), F.xxhash64(*columns).alias("own_hash"))
+        nth = F.row_number().over(Window.partitionBy("own_id", "own_hash").orderBy("own_hash")) - 1
+        own = own.withColumn("own_copy", nth)
+        same = F.col("own_id").eqNullSafe(F.col("k_id")) & (F.col("own_hash") == F.col("k_hash")) & (F.col("own_copy") == F.col("k_copy"))
+        return own.join(keyed, same)
+
+    def texts(self) -> DataFrame:
+        """The mix as documents: rows with any words taken, ``text`` the taken words in the order of shards and slots."""
+        joined = self._with_parts(["shard", "place", "first_word", "n_words"])
         # Bound once: within the transform, an inlined split would run again for each part.
-        text = bind(
-            words,
-            lambda w: F.array_join(
-                F.transform("parts", lambda p: F.array_join(F.slice(w, p["first_word"].cast("int") + 1, p["n_words"].cast("int")), "")), ""
-            ),
+        text = bind(_words(), lambda w: F.array_join(F.transform("parts", lambda p: _slice(w, p)), ""))
+        return joined.select(*[F.rtrim(text, F.lit(BLANKS)).alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in self.docs.columns])
+
+    def output(self) -> DataFrame:
+        """The mix as shards: ``(shard, slot, source_no, round, block, text)``, a row for each slot, text the block's words."""
+        joined = self._with_parts(["shard", "place", "first_word", "n_words", "round", "block"]).select(
+            "source_no", F.explode(bind(_words(), lambda w: F.transform("parts", lambda p: F.struct(p["shard"], p["place"], p["round"], p["block"], _slice(w, p).alias("words"))))).alias("p"), "k_id", "k_hash", "k_copy"
         )
-        return joined.select(*[F.rtrim(text, F.lit(BLANKS)).alias("text") if c == "text" else F.col(c) for c in columns])
+        # A block's pieces in the order of positions: that of bucket and document, which the words' own start tells.
+        placed = self.placed.select(F.col("doc_id").alias("o_id"), F.col("row_hash").alias("o_hash"), F.col("copy").alias("o_copy"), "start")
+        same = F.col("k_id").eqNullSafe(F.col("o_id")) & (F.col("k_hash") == F.col("o_hash")) & (F.col("k_copy") == F.col("o_copy"))
+        ordered = joined.join(placed, same).groupBy("p.shard", "p.place", "source_no", "p.round", "p.block").agg(
+            F.array_sort(F.collect_list(F.struct("start", F.rtrim("p.words", F.lit(BLANKS)).alias("words")))).alias("all")
+        )
+        slot = F.row_number().over(Window.partitionBy("shard").orderBy("place", "source_no", "round", "block")) - 1
+        return ordered.select("shard", slot.alias("slot"), "source_no", "round", "block", F.array_join(F.transform("all", lambda x: x["words"]), " ").alias("text"))
+
+
+def _words():
+    return F.regexp_extract_all(F.concat("own_text", F.lit("\n")), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+
+
+def _slice(words, part):
+    return F.array_join(F.slice(words, part["first_word"].cast("int") + 1, part["n_words"].cast("int")), "")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -276,3 +276,8 @@ def shared_encoder(path: str, leading: bool) -> PieceEncoder:
         _ENCODERS.clear()
         _ENCODERS[key] = PieceEncoder(path, leading)
     return _ENCODERS[key]
+
+
+def forget() -> None:
+    """Drops this worker's encoder; for tasks that need none."""
+    _ENCODERS.clear()

@@ -2,10 +2,13 @@
 
 Each rule's regex yields a Boolean query over trigrams (see ``trigrams``). The
 index has postings for the trigrams that any query names: one row for each of
-them that a document contains. Queries are answered by intersecting postings,
+them that a document contains. A document that holds no clause's anchor, its
+rarest trigram, satisfies no query and has no postings, so most texts are only
+asked for some twenty anchors. Queries are answered by intersecting postings,
 the documents that have all trigrams of some clause are the rule's candidates,
 and only those are matched against the regex. Rules without mandatory trigrams
-scan all documents.
+scan all documents. Candidates meet their documents by broadcast up to
+SMALL_FOUND of them; beyond that the texts with anchors are shuffled.
 
 DataFrame functions only. Spans come from splitting a text at a rule's matches:
 the lengths of the parts between give the offsets, in code points.
@@ -17,8 +20,9 @@ clauses are broadcast, a table as small as the rules.
 
 Defined results for odd input: a null text is empty, and an empty text has no
 spans. Null doc_ids are kept, repeated rows stay repeated, other columns are
-kept unless they clash with ``spans``, which is replaced. An empty table gives
-an empty result.
+kept, whatever their names, but for ``spans``, which is replaced. A very long text
+is matched whole in its row, and its spans are made in time nearly in proportion
+to their number. An empty table gives an empty result.
 """
 
 from typing import NamedTuple
@@ -26,7 +30,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweft.llm.common import bind, table
+from lexweft.llm.common import bind, materialize, packed, scanned, table
 from lexweft.llm.trigrams import trigram_query
 
 
@@ -50,22 +54,42 @@ RULES = (
     Rule("maps_key", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("pay_key", r"[sr]k_live_[A-Za-z0-9]{16,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_password", r"://[A-Za-z0-9._~-]{1,64}:[^\s@/]{3,64}@"),
+    Rule("url_password", r"://[A-Za-z0-9._~-]+:[^\s@/]{3,}@"),
 )
 BASE_KINDS = ("assign", "access", "hex")
 
 
+#: The most candidates that are broadcast to their documents, a hash and some numbers each.
+SMALL_FOUND = 1_000_000
+
+#: Letters from the most frequent in English text on.
+_FREQUENT = "etaoinshrdlcumwfgypbvkjxqz"
+
+
+def anchor(clause: frozenset[str]) -> str:
+    """The trigram of a clause that natural text is least likely to hold; any would be right."""
+    rank = lambda c: _FREQUENT.index(c) if c in _FREQUENT else 15 if c in " -/:." else 30
+    return max(sorted(clause), key=lambda t: sum(map(rank, t)))
+
+
 def _key(text: Column) -> Column:
     return F.xxhash64("doc_id", text)
 
 
-def build_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """Postings ``(trigram, key)`` for the documents that contain each of ``trigrams`` in any case."""
+def _anchored(folded: Column, anchors: list[str]) -> Column:
+    """Whether a folded text holds an anchor, without which it satisfies no clause."""
+    return F.exists(F.array(*map(F.lit, anchors)), lambda t: F.contains(folded, t))
+
+
+def build_index(docs: DataFrame, queries: list[tuple[int, frozenset[str]]]) -> DataFrame:
+    """Postings ``(trigram, key)`` of the queries' trigrams, in any case, for the documents that hold an anchor of any clause."""
     text = F.coalesce("text", F.lit(""))
-    wanted = F.array(*[F.lit(t) for t in trigrams])
+    wanted = F.array(*[F.lit(t) for t in sorted({t for _, clause in queries for t in clause})])
+    anchors = sorted({anchor(clause) for _, clause in queries})
     # Bound once: within the filter, an inlined lower() would run again for each trigram.
-    held = bind(F.lower(text), lambda folded: F.filter(wanted, lambda t: F.contains(folded, t)))
-    return docs.select(_key(text).alias("key"), held.alias("held")).select("key", F.explode("held").alias("trigram")).select("trigram", "key")
+    held = bind(F.lower(text), lambda folded: F.when(_anchored(folded, anchors), F.filter(wanted, lambda t: F.contains(folded, t))))
+    some = docs.select(_key(text).alias("key"), held.alias("held")).where("held IS NOT NULL")
+    return some.select("key", F.explode("held").alias("trigram")).select("trigram", "key")
 
 
 def candidates(index: DataFrame, queries: list[tuple[int, frozenset[str]]]) -> DataFrame:
@@ -81,24 +105,28 @@ def rule_spans(text: Column, rule: Rule) -> Column:
     """Leftmost non-overlapping matches as ``array<struct<kind, start, end>>``, in code points."""
     pattern = F.lit(rule.pattern)
     empty = F.expr("cast(array() AS array<struct<kind: string, start: int, end: int>>)")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-
-    def step(acc, part):
-        begin = acc["at"] + F.char_length(part["gap"])
-        end = begin + F.char_length(part["match"])
-        span = F.struct(F.lit(rule.kind).alias("kind"), begin.alias("start"), end.alias("end"))
-        long_enough = F.char_length(part["measured"]) >= rule.least
-        return F.struct(end.alias("at"), F.when(long_enough, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    # The part behind the last match has no match beside it; zipping to it gives a null, which slicing drops.
-    parts = F.arrays_zip(
-        F.split(text, rule.pattern).alias("gap"),
-        matches.alias("match"),
-        F.regexp_extract_all(text, pattern, F.lit(rule.measured)).alias("measured"),
+    # The part behind the last match has no match beside it; zipping to it gives a null, which filtering drops.
+    parts = F.filter(
+        F.arrays_zip(
+            F.split(text, rule.pattern).alias("gap"),
+            matches.alias("match"),
+            F.regexp_extract_all(text, pattern, F.lit(rule.measured)).alias("measured"),
+        ),
+        lambda p: p["match"].isNotNull(),
     )
-    found = F.aggregate(F.filter(parts, lambda p: p["match"].isNotNull()), start, step, lambda acc: acc["spans"])
-    return F.when(F.regexp_like(text, pattern), found).otherwise(empty)
+
+    def spans(parts):
+        before = scanned(F.transform(parts, lambda p: F.char_length(p["gap"]) + F.char_length(p["match"])), F.lit(0), lambda a, b: a + b)
+
+        def span(p, at):
+            begin = at + F.char_length(p["gap"])
+            end = begin + F.char_length(p["match"])
+            return F.when(F.char_length(p["measured"]) >= rule.least, F.struct(F.lit(rule.kind).alias("kind"), begin.alias("start"), end.alias("end")))
+
+        return F.array_compact(F.zip_with(parts, before, span))
+
+    return F.when(F.regexp_like(text, pattern), bind(parts, spans)).otherwise(empty)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -106,22 +134,29 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     known = {i: trigram_query(rule.pattern) for i, rule in enumerate(rules)}
     queries = [(i, clause) for i, clauses in known.items() for clause in clauses or ()]
     text = F.coalesce("text", F.lit(""))
-    columns = [c for c in docs.columns if c != "spans"]
+    own = docs.select(packed(docs, "spans", "text"), text.alias("own_text"), F.col("text").alias("raw_text"), _key(text).alias("own_key"))
+    none = F.lit(None).cast("array<int>")
     if queries:
-        index = build_index(docs, sorted({t for _, clause in queries for t in clause}))
-        found = candidates(index, queries).select(F.col("key").alias("c_key"), F.col("rules").alias("c_rules"))
-        joined = docs.select(*columns, _key(text).alias("c_own")).join(found, F.col("c_own") == F.col("c_key"), "left")
+        found = materialize(candidates(build_index(docs, queries), queries), "candidates")
+        if found.count() <= SMALL_FOUND:
+            parts = [own.join(F.broadcast(found), F.col("own_key") == F.col("key"), "left")]
+        else:
+            # Only texts that hold an anchor can be candidates, and move to meet their rules.
+            held = bind(F.lower("own_text"), lambda folded: _anchored(folded, sorted({anchor(clause) for _, clause in queries})))
+            parts = [own.where(held).join(found, F.col("own_key") == F.col("key"), "left"), own.where(~held).withColumn("key", F.lit(None).cast("long")).withColumn("rules", none)]
     else:
-        joined = docs.select(*columns).withColumn("c_rules", F.lit(None).cast("array<int>"))
-    none = F.expr("cast(array() AS array<struct<start: int, rule: int, kind: string, end: int>>)")
+        parts = [own.withColumn("rules", none)]
+    empty = F.expr("cast(array() AS array<struct<start: int, rule: int, kind: string, end: int>>)")
 
     def numbered(i, rule):
         order = lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("rule"), s["kind"].alias("kind"), s["end"].alias("end"))
-        spans = F.transform(rule_spans(text, rule), order)
-        return spans if known[i] is None else F.when(F.array_contains("c_rules", i), spans).otherwise(none)
+        spans = F.transform(rule_spans(F.col("own_text"), rule), order)
+        return spans if known[i] is None else F.when(F.array_contains("rules", i), spans).otherwise(empty)
 
     each = [numbered(i, rule) for i, rule in enumerate(rules)]
-    return joined.select(*columns, F.array_sort(F.concat(*each)).alias("spans"))
+    columns = [F.col("raw_text").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c != "spans"]
+    done = [p.select(*columns, F.array_sort(F.concat(*each)).alias("spans")) for p in parts]
+    return done[0] if len(done) == 1 else done[0].unionByName(done[1])
 
 
 def _listed(spans: Column) -> Column:

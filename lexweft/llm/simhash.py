@@ -17,12 +17,14 @@ those that meet there are all within 2 bits of each other, at most 65 of them,
 and a star links them.
 
 Copies share a fingerprint and are one node from the start, so a group of any
-size costs one node.
+size costs one node. Fingerprints of very many documents, and cells of very many
+fingerprints, meet their rows by broadcast (``join_by_key``).
 
 Defined results for odd input: a null, empty or blank text has fingerprint
 zero, and zero links like any other. Null doc_ids are kept; they never become
 a component_id unless a whole component has none. Repeated rows stay repeated.
-Other columns are ignored. An empty table gives an empty result.
+Other columns are ignored, whatever their names. Very long texts are hashed whole,
+some shingles at a time. An empty table gives an empty result.
 """
 
 from itertools import repeat
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweft.llm.common import materialize, table
+from lexweft.llm.common import bound_batches, give_back, join_by_key, materialize, table
 from lexweft.llm.components import connected_components
 
 #: Shingles whose bits are counted at a time, which bounds memory for any text.
@@ -75,7 +77,9 @@ def fingerprints(docs: DataFrame, words_each: int = 3) -> DataFrame:
             fps = np.fromiter((fingerprint(x or b"", words_each) for x in batch.column(2).to_pylist()), np.uint64, batch.num_rows)
             columns = [batch.column(0), batch.column(1), pa.array(fps.view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "fp"])
+        give_back()
 
+    bound_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").cast("binary"))
     return own.mapInArrow(run, "doc_id long, th long, fp long")
 
@@ -105,8 +109,8 @@ def _one_bit_stars(members: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, cell_limit: int = 64) -> DataFrame:
     """``(u, v)``: links among distinct fingerprints that connect all those within 2 bits of each other."""
     cells = _cells(nodes)
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialize(cells.join(sizes, "cell"), "cells")
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n"))
+    met = materialize(join_by_key(cells, sizes, "cell", 33 * nodes.count()), "cells").withColumnRenamed("size", "n")
     few = met.where(F.col("n") <= cell_limit).groupBy("cell").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
     pairs = few.select(
         F.explode(
@@ -121,22 +125,23 @@ def links(nodes: DataFrame, cell_limit: int = 64) -> DataFrame:
 
 
 def components(fps: DataFrame, cell_limit: int = 64) -> DataFrame:
-    """``(fp, root, component_id)`` for each distinct fingerprint of ``fps`` (doc_id, fp)."""
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
+    """``(fp, root, component_id, n)`` for each distinct fingerprint of ``fps`` (doc_id, fp); n: rows that have it."""
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "nodes")
     star = connected_components(links(nodes, cell_limit), "simhash")
     own = star.select(F.col("u").alias("fp"), F.col("v").alias("root")).union(star.select("v", "v").distinct())
-    member = own.join(nodes, "fp")
-    least = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    linked = member.join(least, "root").select("fp", "root", "component_id")
+    member = materialize(own.join(nodes, "fp"), "members").drop("n")
+    least = member.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))
+    linked = join_by_key(member, least, "root", member.count()).select("fp", "root", "component_id")
     return nodes.join(linked, "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least_id").alias("component_id")
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least_id").alias("component_id"), "n"
     )
 
 
 def near_duplicates(docs: DataFrame, words_each: int = 3, cell_limit: int = 64) -> DataFrame:
     """``(doc_id, th, fp, root, component_id)`` for each row of ``docs``; root is the component's least fingerprint."""
     fps = materialize(fingerprints(docs, words_each), "fingerprints")
-    return fps.join(components(fps, cell_limit), "fp").select("doc_id", "th", "fp", "root", "component_id")
+    found = join_by_key(fps, components(fps, cell_limit), "fp", fps.count())
+    return found.select("doc_id", "th", "fp", "root", "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

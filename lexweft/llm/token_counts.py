@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweft.llm.common import table
+from lexweft.llm.common import bound_batches, give_back, table
 from lexweft.llm.pieces import byte_slices, shared_encoder
 
 MARGIN = 32
@@ -102,7 +102,9 @@ def count_tokens(
                 for i, t in zip(at.to_pylist(), texts.take(at).to_pylist()):
                     counts[i] = len(resynchronised_ids(coder.tokenizer, t, chunk_chars, overlap_chars))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(counts, pa.int64()), some.column(2)], names=["doc_id", "n_tokens", "n_bytes"])
+        give_back()
 
+    bound_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     own = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     return own.mapInArrow(run, "doc_id long, n_tokens long, n_bytes long")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexweft.llm.common import shared_path, table
+from lexweft.llm.common import bound_batches, give_back, shared_path, table
 from lexweft.llm.pieces import byte_slices, shared_encoder
 from lexweft.llm.rans import Segment, encode_segment
 
@@ -62,7 +62,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, segment_
                     yield close()
         if n:
             yield close()
+        give_back()
 
+    bound_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = own.withColumn("th", F.xxhash64("text")).repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th")
     return dealt.select("doc_id", "text").mapInArrow(run, SCHEMA)
@@ -102,6 +104,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                     pa.array(each if with_ids else [None] * k, pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "seq", "inner", "n_tokens", "ids_crc32", "ids"])
+        give_back()
 
     schema = "doc_id long, part int, seq int, inner long, n_tokens long, ids_crc32 long, ids binary"
     read = files.select("segment", "part", "seq").mapInArrow(run, schema)

@@ -1,7 +1,9 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 
-from lexweft.llm.importance import AT_ONCE, BUCKET_BITS, features, kth_largest, log_ratios, resample
+from lexweft.llm.importance import AT_ONCE, BUCKET_BITS, MOST_GRAMS, OVERLAP, features, kth_largest, log_ratios, resample
 
 
 def test_features_do_not_depend_on_the_batch():
@@ -57,3 +59,75 @@ def test_ratios():
     counts = np.array([[100, 100, 0], [90, 0, 0]])
     r = log_ratios(counts, 10)
     assert r[0] > 0 > r[1] and r[2] == pytest.approx(0)
+
+
+def _grams(text):
+    """All n-grams of a text as (table, key), in plain Python."""
+    import re
+
+    words = text.lower().split()
+    data = text.lower().encode()
+    shapes = [re.sub(r"(a|A|0)\1+", r"\1", re.sub("[a-z]|[^\x00-\x7f]", "a", re.sub("[0-9]", "0", re.sub("[A-Z]", "A", w)))) for w in text.split()]
+    out = [(0, "s", s) for s in shapes] + [(0, "ss", *p) for p in zip(shapes, shapes[1:])]
+    for lag in range(1, 9):
+        out += [(0, "r", lag, a == b) for a, b in zip(words, words[lag:])]
+    out += [(1, "w", w) for w in words] + [(1, "ww", *p) for p in zip(words, words[1:])]
+    return out + [(1, "c", data[i : i + 4]) for i in range(len(data) - 3)]
+
+
+def test_weights_and_sample_are_brute_force(spark):
+    """Against dictionaries of whole n-grams; hashing into buckets may move a weight a little."""
+    rng = np.random.default_rng(8)
+    words = ["ali", "bero", "Cado", "dune", "EMI", "f0r0", "g%%%", "hula", "iso7"]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 40))) for _ in range(80)]
+    good = set(range(0, 40, 2))
+    raw, target = [Counter(), Counter()], [Counter(), Counter()]
+    for i, t in enumerate(texts):
+        for g in _grams(t):
+            raw[g[0]][g] += 1
+            target[g[0]][g] += i in good
+    weights = []
+    for t in texts:
+        total = 0.0
+        for g in _grams(t):
+            k, prior = g[0], (50.0, 500.0)[g[0]]
+            total += np.log((target[k][g] + prior) / (raw[k][g] * target[k].total() / raw[k].total() + prior))
+        weights.append(total / OVERLAP * min(1, MOST_GRAMS / len(_grams(t))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in good], "doc_id long, quality int")
+    rows = {r.doc_id: r for r in resample(docs, labels, k=80).collect()}
+    assert len(rows) == 80
+    got = np.array([rows[i].log_weight for i in range(80)])
+    assert np.abs(got - weights).max() < 0.25 * np.abs(weights).max()
+    noise = np.array([rows[i].sample_key - rows[i].log_weight for i in range(80)])
+    assert -2.5 < noise.min() and 0 < noise.mean() < 1.2 and noise.std() > 0.8  # Gumbel: mean 0.58, deviation 1.28
+    for k in (1, 17, 50):
+        best = {int(i) for i in np.argsort(-(got + noise))[:k]}
+        assert {r.doc_id for r in resample(docs, labels, k=k).collect()} == best
+    chance = 1 / (1 + np.exp(-(got + 6)))
+    assert len(resample(docs, labels).collect()) == round(chance.sum())
+
+
+def test_held_out_labels(spark):
+    """Fitted on every other label of the test tables, judged on the rest."""
+    import os
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test data")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    half = labels.where("pmod(xxhash64(doc_id), 2) = 0")
+    kept = {r.doc_id for r in resample(docs, half, carry=["doc_id"]).collect()}
+    rest = labels.where("pmod(xxhash64(doc_id), 2) = 1").collect()
+    clean = [r.doc_id in kept for r in rest if r.quality == 1 and r.toxic == 0]
+    bad = [r.doc_id in kept for r in rest if r.quality == 0]
+    toxic = [r.doc_id in kept for r in rest if r.toxic == 1]
+    print(f"held out: clean kept {sum(clean)} of {len(clean)}, bad kept {sum(bad)} of {len(bad)}, toxic kept {sum(toxic)} of {len(toxic)}")
+    assert sum(clean) >= 0.99 * len(clean) and sum(bad) <= 0.02 * len(bad) and sum(toxic) <= 0.7 * len(toxic)
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "ali bero", 5, 6, 7, 8)], "doc_id long, text string, good int, good_id int, row int, sample_key int")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    out = resample(docs, labels)
+    assert sorted(out.columns) == sorted([*docs.columns, "log_weight"]) and out.first()["row"] == 7 and isinstance(out.first().sample_key, float)

@@ -49,3 +49,46 @@ def test_gate_lets_every_rule_through():
     for r in rules():
         sample = " ".join(w.strip() for w in r.words) + (" license" if r.anchor == "licen" else "")
         assert shut.search(sample), r
+
+
+BODIES = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that",
+    "bsd-3": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived",
+    "gpl-3": "under the terms of the license, either version 3 of the License, or (at your option) any later version.",
+    "agpl-3": "GNU Affero General Public License as published by",
+    "eupl": "European Union Public Licence",
+    "cc0": "To the extent possible under law, Jo Doe has waived all copyright and related or neighboring rights",
+    "postgresql": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted",
+}
+
+
+def test_bodies_and_names_without_version(spark):
+    more = {"agpl-3": ["the GNU AGPL applies", "GNU AGPL v3"], "mit": ["see opensource.org/license/mit", "opensource.org/licenses/mit"], "gpl-2": ["GPL v2"], "lgpl-3": ["gnu lesser general public license v3"]}
+    rows = [*BODIES.items(), *((k, t) for k, ts in more.items() for t in ts)]
+    df = spark.createDataFrame(rows, "label string, text string")
+    for r in scan(df).collect():
+        assert r.label in {s.label for s in r.detections}, r.text
+
+
+def test_each_name_is_found_with_and_without_optional_words(spark):
+    from lexweft.llm.licenses import LICENSES
+
+    simple = lambda w: w.replace("[cs]", "s").replace("(?:data|database)", "data").replace("(?:lesser|library)", "lesser")
+    rows = []
+    for label, names, _, _ in LICENSES:
+        for name in names:
+            parts = [simple(w) for w in name.split(" ")]
+            plain = lambda w: re.sub(r"\[(.)[^]]*\]", r"\1", re.sub(r"(.)\?", r"\1", w.removeprefix("~")))
+            rows += [(label, " ".join(map(plain, parts))), (label, " ".join(plain(w) for w in parts if w[0] != "~"))]
+    df = spark.createDataFrame(rows, "label string, text string")
+    for r in scan(df, [x for x in rules() if x.confidence == 0.6]).collect():
+        assert r.label in {s.label for s in r.detections}, (r.label, r.text)
+
+
+def test_many_matches_take_no_square_time(spark):
+    import time
+
+    df = spark.createDataFrame([("the mit license and so on, " * 30_000,)], "text string")
+    began = time.time()
+    assert scan(df).select(F.size("detections").alias("n")).first().n == 30_000 and time.time() - began < 60

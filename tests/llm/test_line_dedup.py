@@ -21,3 +21,13 @@ def test_rules(spark):
 def test_below_threshold(spark):
     df = spark.createDataFrame([(i, LONG) for i in range(4)] + [(9, LONG[:39])] * 5, "doc_id long, text string")
     assert {r.n_dropped for r in dedup_lines(df).collect()} == {0}
+
+
+def test_clashing_names_and_long_texts(spark):
+    rows = [(i, "\n".join([LONG, *(f"line {k} of document {i}, long enough" for k in range(3000))]), 1, 2, 3, 4) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, drop_pos int, drop_id int, own_text int, row int")
+    out = dedup_lines(df)
+    assert out.columns == ["doc_id", "drop_pos", "drop_id", "own_text", "row", "text", "n_lines", "n_dropped"]
+    for r in out.collect():
+        assert (r.n_lines, r.n_dropped, r.drop_pos, r.own_text, r["row"]) == (3001, int(r.doc_id < 5), 1, 3, 4)
+        assert r.text == rows[r.doc_id][1].removeprefix(LONG + "\n" if r.doc_id < 5 else "")

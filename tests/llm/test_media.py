@@ -2,11 +2,12 @@ import gzip
 import hashlib
 import io
 import struct
+import time
 import wave
 import zipfile
 import zlib
 
-from lexweft.llm.media import automaton, find_media, read_payloads, sniff, store_texts, to_wav
+from lexweft.llm.media import automaton, find_media, op4_media, read_payloads, sniff, store_texts, to_wav
 
 
 def _png():
@@ -26,7 +27,9 @@ def _zip():
 GIF = b"GIF89a\x01\0\x01\0\0\0\0" + b"\x2c\0\0\0\0\x01\0\x01\0\0\x02\x02\x44\x01\0" + b"\x3b"
 JPEG = b"\xff\xd8\xff\xe0\0\x04ab\xff\xda\0\x03\0\x01\xff\0\x02\xff\xd9"
 MIDI = b"MThd\0\0\0\x06\0\0\0\x01\0\x60MTrk\0\0\0\x04\0\xff\x2f\0"
-PDF = b"%PDF-1.4\nbody\nstartxref\n9\n%%EOF"
+PDF = b"%PDF-1.4\nxref\n0 1\ntrailer\nstartxref\n9\n%%EOF"
+UPDATED = PDF + b"\n5 0 obj\nmore\nxref\n0 1\ntrailer\nstartxref\n%d\n%%%%EOF" % len(PDF + b"\n5 0 obj\nmore\n")
+MP4 = struct.pack(">I4s4sI", 16, b"ftyp", b"isom", 0) + struct.pack(">I4sQ", 1, b"mdat", 24) + b"x" * 8
 
 
 def test_formats_and_lengths():
@@ -42,6 +45,50 @@ def test_formats_and_lengths():
         assert find_media(fake, signs)[0] == []
 
 
+def test_several_ends():
+    signs = automaton()
+    assert find_media(UPDATED, signs)[0] == [(0, len(UPDATED), "application/pdf")]
+    assert find_media(PDF + b" and " + UPDATED + b" tail %%EOF", signs)[0] == [(0, len(PDF), "application/pdf"), (len(PDF) + 5, len(UPDATED), "application/pdf")]
+    two = gzip.compress(b"hello") + gzip.compress(b"again")
+    assert find_media(b"x" + two + b"tail", signs)[0] == [(1, len(two), "application/gzip")]
+    assert find_media(MP4, signs)[0] == [(0, len(MP4), "video/mp4")] and find_media(b"junk" + MP4 + b"\0", signs)[0] == [(4, len(MP4), "video/mp4")]
+    to_end = MP4[:16] + struct.pack(">I4s", 0, b"mdat") + b"y" * 100
+    assert find_media(to_end, signs)[0] == [(0, len(to_end), "video/mp4")]
+
+
+def test_claims_take_no_square_time():
+    signs, began = automaton(), time.time()
+    assert find_media(b"%PDF-" * 200_000 + b"PK\x03\x04" * 200_000, signs) == ([], 400_000)
+    assert time.time() - began < 20
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(None, GIF, "a/b", "x", 1, "p")], "doc_id long, content binary, media_type string, found string, row int, said string")
+    out = sniff(df, "content", "media_type")
+    r = out.first()
+    assert sorted(out.columns) == sorted([*df.columns, "media_length", "type_corrected", "magic_hits", "embedded"])
+    assert (r.media_type, r.type_corrected, r.found, r["row"], r.said, r.doc_id) == ("image/gif", True, "x", 1, "p", None)
+
+
+def test_whole_rows_of_the_query(spark, tmp_path):
+    rows = [(1, "text"), (None, None), (3, "a " * 4000), (4, "see GIF89a"), (4, "see GIF89a"), (5, "é"), (6, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for doc_id, text in rows:
+        data = (text or "").encode()
+        payload = data + b" " * (-len(data) % 192 if data else 192)
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setparams((1, 1, 8000, 0, "NONE", ""))
+            w.writeframes(payload)
+        media = out.getvalue()
+        feature = f"type=audio/wav;corrected=true;hits={1 + data.count(b'GIF89a')};embedded=0;parts=;mean={sum(payload) / len(payload):.6f}"
+        want.append((doc_id, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+    names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    got = [tuple(r[c] for c in names) for r in op4_media(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_sniff_corrects_and_carves(spark):
     wav = to_wav(b"xx" + _png() + b"y" * (len(_png()) % 2))
     rows = [(1, _png(), "image/jpeg"), (2, wav, "audio/wav"), (3, b"text", "text/plain"), (4, None, "a/b"), (5, b"", None), (6, b"zz" + GIF, None)]

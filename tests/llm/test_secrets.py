@@ -1,6 +1,8 @@
 import random
 import re
+import time
 
+from lexweft.llm import secrets
 from lexweft.llm.secrets import BASE_KINDS, RULES, scan
 from lexweft.llm.trigrams import trigram_query
 
@@ -35,6 +37,22 @@ def test_spans_are_brute_force(spark):
     assert [len(r.spans) for r in scan(same).collect()] == [2, 2, 2]
 
 
+def test_shuffled_candidates_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "SMALL_FOUND", 0)
+    df = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in enumerate(TEXTS)], "doc_id long, text string, c_rules int, c_key int, rules int, own_text int")
+    got = scan(df)
+    assert got.columns == [*df.columns, "spans"]
+    for r in got.collect():
+        assert [tuple(s) for s in r.spans] == _slow(TEXTS[r.doc_id] or "") and r.text == TEXTS[r.doc_id] and (r.c_rules, r.c_key, r.rules, r.own_text) == (1, 2, 3, 4)
+
+
+def test_many_matches_take_no_square_time(spark):
+    df = spark.createDataFrame([(1, "token=abcdefg " * 30_000)], "doc_id long, text string")
+    began = time.time()
+    spans = scan(df).first().spans
+    assert len(spans) == 30_000 and spans[-1].start == 14 * 29_999 and time.time() - began < 60
+
+
 def test_queries():
     assert trigram_query("[a-z]+") is None and trigram_query("ab") is None and trigram_query("a*bcd?") is None
     assert trigram_query("abcd|xyz") == [frozenset({"abc", "bcd"}), frozenset({"xyz"})]

@@ -2,7 +2,9 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
+from lexweft.llm import common
 from lexweft.llm.simhash import _one_bit_stars, components, fingerprint, near_duplicates
 
 
@@ -65,7 +67,21 @@ def test_stars_stay_small(spark):
 
 def test_odd_rows(spark):
     rows = [(3, None), (1, ""), (2, " "), (9, "same text here again"), (9, "same text here again"), (None, "same text here again"), (4, "Same Text here AGAIN")]
-    df = spark.createDataFrame([(a, b, 0) for a, b in rows], "doc_id long, text string, fp int")
+    df = spark.createDataFrame([(a, b, 0, 1, 2, 3) for a, b in rows], "doc_id long, text string, fp int, th int, n int, k_id int")
     got = sorted((r.doc_id or -1, r.component_id) for r in near_duplicates(df).collect())
     assert got == [(-1, 4), (1, 1), (2, 1), (3, 1), (4, 4), (9, 4), (9, 4)]
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_hot_keys_meet_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(i, k, i) for i, k in enumerate([7] * 50 + [8] * 3 + [9] * 2 + [5, None])], "i long, k long, _hot int")
+    values = spark.createDataFrame([(7, "a", 50), (8, "b", 3), (9, "c", 2), (6, "d", 1)], "k long, v string, n long")
+    got = common.join_by_key(rows, values, "k", 57).collect()
+    assert sorted((r.i, r.v) for r in got) == [(i, "a") for i in range(50)] + [(i, "b") for i in range(50, 53)] + [(53, "c"), (54, "c")]
+
+
+def test_a_prefix_scan_of_many_elements(spark):
+    df = spark.sql("SELECT sequence(1, 1000) AS xs, cast(array() AS array<int>) AS none, array(5) AS one")
+    r = df.select(*(common.scanned(F.col(c), F.lit(0), lambda a, b: a + b, 16).alias(c) for c in df.columns)).first()
+    assert r.xs == [k * (k + 1) // 2 for k in range(1000)] and r.none == [] and r.one == [0]

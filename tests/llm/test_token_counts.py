@@ -1,6 +1,6 @@
 import pytest
 
-from lexweft.llm.token_counts import count_tokens
+from lexweft.llm.token_counts import count_tokens, op1_token_counts
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -17,3 +17,16 @@ def test_counts_equal_the_library(spark):
     assert count_tokens(df.limit(0), P.path("word_bpe_49k.json")).count() == 0
     null = spark.createDataFrame([(None, "a"), (None, "a")], "doc_id long, text string")
     assert [r.n_tokens for r in count_tokens(null, P.path("word_bpe_49k.json")).collect()] == [1, 1]
+
+
+def test_whole_rows_of_the_query(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    texts = [None, "", "word " * 2047, "word " * 2048, "word " * 2049, "Été, " * 9000, "a<|endoftext|>b" * 3000, "x" * 30_000, "字" * 9000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for i, t in enumerate(texts):
+        n = len(whole.encode(t or "", add_special_tokens=False).ids)
+        want.append((i, len((t or "").encode()), n, n > 2048))
+    assert sorted(map(tuple, op1_token_counts(spark, str(tmp_path)).collect())) == want
