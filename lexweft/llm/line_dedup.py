@@ -69,12 +69,12 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> Data
             ),
         )
     )
-    return joined.select(
-        *unpacked(joined),
-        kept.alias("text"),
-        (F.char_length("own_text") - F.char_length(F.replace("own_text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
-        F.coalesce(F.size("drop_pos"), F.lit(0)).cast("long").alias("n_dropped"),
+    n_lines = F.char_length("own_text") - F.char_length(F.replace("own_text", F.lit("\n"), F.lit(""))) + 1
+    # In two steps: a name of theirs beside an expression of ours would be taken for it.
+    done = joined.select(
+        "row", kept.alias("kept_text"), n_lines.cast("long").alias("lines"), F.coalesce(F.size("drop_pos"), F.lit(0)).cast("long").alias("dropped")
     )
+    return done.select(*unpacked(done), done["kept_text"].alias("text"), done["lines"].alias("n_lines"), done["dropped"].alias("n_dropped"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,7 +75,7 @@ def test_odd_rows(spark):
 
 def test_hot_keys_meet_their_rows(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT_ROWS", 3)
-    rows = spark.createDataFrame([(i, k, i) for i, k in enumerate([7] * 50 + [8] * 3 + [9] * 2 + [5, None])], "i long, k long, _hot int")
+    rows = spark.createDataFrame([(i, k, i) for i, k in enumerate([7] * 50 + [8] * 3 + [9] * 2 + [5, None])], "i long, k long, n int")
     values = spark.createDataFrame([(7, "a", 50), (8, "b", 3), (9, "c", 2), (6, "d", 1)], "k long, v string, n long")
     got = common.join_by_key(rows, values, "k", 57).collect()
     assert sorted((r.i, r.v) for r in got) == [(i, "a") for i in range(50)] + [(i, "b") for i in range(50, 53)] + [(53, "c"), (54, "c")]
