@@ -198,7 +198,9 @@ class Mix:
 
     def blocks(self) -> DataFrame:
         """Each slot of the mix with the pieces of documents that fill it."""
-        return slots(draw_shards(self.plan, self.shards, self.seed), self.seed).join(self.pieces(), ["source_no", "block"])
+        # The planner takes slots to be as few as the draws that they are made of, and would broadcast them.
+        made = slots(draw_shards(self.plan, self.shards, self.seed), self.seed).hint("merge")
+        return made.join(self.pieces(), ["source_no", "block"])
 
     def taken(self) -> DataFrame:
         """Each document with ``size``, ``source_size``, ``target`` and ``taken`` (words, repeats counted)."""
