@@ -28,13 +28,24 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{folder}/{label}"
 
 
+def write_shared(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``materialize`` with the path of what it wrote, for ``discard``."""
+    spark = df.sparkSession
+    path = shared_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a table that ``write_shared`` wrote, when nothing reads it any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
     A lost executor then costs a re-read and not a recomputation of all that
     came before.
     """
-    spark = df.sparkSession
-    path = shared_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return write_shared(df, label)[0]
