@@ -8,6 +8,8 @@ from lexweft.llm import (
     mixing,
     secrets,
     simhash,
+    sort_means,
+    target_sampling,
     templates,
     token_counts,
     token_files,
@@ -15,6 +17,6 @@ from lexweft.llm import (
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (token_counts, templates, mixing, media, token_files, secrets, simhash, licenses, line_dedup, importance):
+for _module in (token_counts, templates, mixing, media, token_files, secrets, simhash, licenses, line_dedup, importance, sort_means, target_sampling):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
