@@ -2,6 +2,7 @@
 
 from lexweft.llm import (
     importance,
+    language,
     licenses,
     line_dedup,
     media,
@@ -17,6 +18,6 @@ from lexweft.llm import (
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (token_counts, templates, mixing, media, token_files, secrets, simhash, licenses, line_dedup, importance, sort_means, target_sampling):
+for _module in (token_counts, templates, mixing, media, token_files, secrets, simhash, licenses, line_dedup, importance, language, sort_means, target_sampling):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
