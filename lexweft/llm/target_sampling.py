@@ -49,9 +49,9 @@ def bucket_sql(max_n: int, buckets: int) -> str:
         grams = "SELECT r, word AS gram FROM words"
         unnested = "SELECT r, unnest(own) AS word FROM split"
     else:
-        unnested = "SELECT r, unnest(own) AS word, generate_subscripts(own, 1) AS at FROM split"
+        unnested = "SELECT r, unnest(own) AS word, generate_subscripts(own, 1) AS pos FROM split"
         parts = [
-            f"SELECT r, word || {''.join(f' || chr(32) || lead(word, {k}) OVER w' for k in range(1, n)).removeprefix(' || ')} AS gram FROM words WINDOW w AS (PARTITION BY r ORDER BY at)"
+            f"SELECT r, word || {''.join(f' || chr(32) || lead(word, {k}) OVER w' for k in range(1, n)).removeprefix(' || ')} AS gram FROM words WINDOW w AS (PARTITION BY r ORDER BY pos)"
             for n in range(2, max_n + 1)
         ]
         grams = " UNION ALL ".join(["SELECT r, word AS gram FROM words", *parts])

@@ -19,4 +19,4 @@ def test_query_equals_sql(spark, name):
 
 def test_all_queries_are_registered():
     names = llm.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
