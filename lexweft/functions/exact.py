@@ -1,69 +1,21 @@
-"""Unicode normalisation that Spark has no function for, as Arrow UDFs.
+"""Cleaning of whole columns, and lookup keys of distinct labels."""
 
-Meant for distinct labels, or for the values that need it: a UDF within a CASE
-runs for all rows, so others are passed to it as null.
-"""
-
-import unicodedata
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
-from lexweft.functions import text
-
-
-def _composed_away() -> str:
-    """A class of what canonical composition can change or join to the character before: marks, Hangul vowels and finals, signs that stand for others."""
-    kept = [c for a, z in _BLOCKS for c in map(chr, range(a, z)) if unicodedata.normalize("NFC", c) != c]
-    return r"[\p{M}\x{1160}-\x{11FF}" + "".join(rf"\x{{{ord(c):x}}}" for c in kept) + "]"
-
-
-#: Blocks that hold all characters whose canonical composition is another one.
-_BLOCKS = ((0x300, 0x3000), (0xF900, 0xFB50), (0x1D100, 0x1D200), (0x2F800, 0x2FA20))
-_COMPOSED_AWAY = _composed_away()
-
-
-def needs_exact(c: Column) -> Column:
-    return F.regexp_like(F.coalesce(c, F.lit("")), F.lit(r"[^\x00-\x7F]"))
-
-
-@F.arrow_udf(StringType())
-def fold_exact(values: pa.Array) -> pa.Array:
-    """Compatibility decomposition without combining marks, case-folded, white space collapsed."""
-
-    def one(v):
-        if v is None:
-            return None
-        plain = "".join(ch for ch in unicodedata.normalize("NFKD", v) if not unicodedata.combining(ch))
-        return " ".join(plain.casefold().split())
-
-    return pa.array([one(v) for v in values.to_pylist()], pa.string())
-
-
-@F.arrow_udf(StringType())
-def compose(values: pa.Array) -> pa.Array:
-    """Canonical composition (NFC)."""
-    if values.null_count == len(values):
-        return values
-    return pa.array([None if v is None else unicodedata.normalize("NFC", v) for v in values.to_pylist()], pa.string())
-
 
-def needs_composing(c: Column) -> Column:
-    """Whether canonical composition may change a string: it holds a mark, a Hangul letter or a sign that stands for another."""
-    return F.regexp_like(F.coalesce(c, F.lit("")), F.lit(_COMPOSED_AWAY))
+from lexweft.functions import text, unicode
 
 
 def clean_columns(df: DataFrame, names: list[str]) -> DataFrame:
-    """``df`` with each of ``names`` cleaned as by ``text.clean_text``, canonically composed between repair and tidying.
+    """``df`` with each of ``names`` cleaned as by ``text.clean_text``.
 
-    Python sees null but for values that composition may change. Each step is a
-    projection of its own: within a higher-order function the UDF couldn't run.
+    Each step is a projection of its own, within whole-stage code where Spark has
+    it, as each stands several times in the next.
     """
-    repaired = df.withColumns({n: text.repair_mojibake(F.coalesce(n, F.lit(""))) for n in names})
-    odd = repaired.withColumns({f"_odd_{n}": compose(F.when(needs_composing(F.col(n)), F.col(n))) for n in names})
-    return odd.withColumns({n: text.tidy_text(F.coalesce(f"_odd_{n}", n)) for n in names}).drop(*(f"_odd_{n}" for n in names))
+    whole = df.withColumns({n: F.coalesce(n, F.lit("")) for n in names})
+    repaired = whole.withColumns({n: text.repair_mojibake(F.col(n)) for n in names})
+    composed = repaired.withColumns({n: unicode.compose(F.col(n)) for n in names})
+    return composed.withColumns({n: text.tidy_text(F.col(n)) for n in names})
 
 
 def clean_exact(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -72,6 +24,8 @@ def clean_exact(df: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def label_keys_exact(labels: DataFrame, column: str, out: str) -> DataFrame:
-    """``labels`` with exact lookup keys, worked out once for each distinct label."""
-    keys = labels.select(F.col(column).alias("_label")).distinct().withColumn(out, fold_exact("_label"))
-    return labels.join(keys, F.col(column).eqNullSafe(F.col("_label")), "left").drop("_label")
+    """``labels`` with lookup keys, worked out once for each distinct label."""
+    keys = labels.select(F.struct(F.col(column).alias("label")).alias("k")).distinct().select("k", text.label_key(F.col("k.label")).alias("key"))
+    own = labels.select(F.struct(*labels.columns).alias("row"))
+    met = own.join(keys, F.col("row").getField(column).eqNullSafe(F.col("k.label")), "left")
+    return met.select(*[F.col("row").getField(c).alias(c) for c in labels.columns if c != out], F.col("key").alias(out))

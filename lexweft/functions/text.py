@@ -4,21 +4,14 @@ White space is what Python calls so: the Unicode spaces and U+001C to U+001F.
 Java's ``(?U)\\s`` lacks the latter, so they are listed.
 """
 
-import unicodedata
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexweft.functions.columns import bind
+from lexweft.functions.unicode import compose, fold
 
 WS = r"(?U)[\s\x1C-\x1F]"
 MAX_VALUE = 256
-#: Precomposed lower-case Latin letters and what remains of them without their marks.
-_FOLDED = {
-    c: base[0]
-    for c in map(chr, [*range(0xE0, 0x250), *range(0x1E00, 0x1F00)])
-    if c == c.lower() and len(base := unicodedata.normalize("NFD", c)) > 1 and base[0].isascii()
-}
 
 
 def ws_collapse(c: Column) -> Column:
@@ -54,12 +47,6 @@ def plain_text(c: Column) -> Column:
     return ws_strip(ws_collapse(F.translate(out, "#>*_`|~-", "        ")))
 
 
-def fold(c: Column) -> Column:
-    """Lower-case letters without marks, for Latin text; ``exact.fold_exact`` covers the rest of Unicode."""
-    low = F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
-    return F.regexp_replace(F.translate(low, "".join(_FOLDED), "".join(_FOLDED.values())), F.lit(r"\p{M}+"), F.lit(""))
-
-
 def label_key(c: Column) -> Column:
     """The key under which labels are looked up."""
     return ws_strip(ws_collapse(fold(c)))
@@ -117,11 +104,8 @@ def tidy_text(c: Column) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    """Text for people: repaired, without control characters, white space collapsed, null as empty.
-
-    For text without combining marks; ``exact.clean_columns`` composes them too.
-    """
-    return tidy_text(repair_mojibake(F.coalesce(c, F.lit(""))))
+    """Text for people: repaired, composed, without control characters, white space collapsed, null as empty."""
+    return bind(F.coalesce(c, F.lit("")), lambda x: bind(repair_mojibake(x), lambda y: tidy_text(compose(y))))
 
 
 def fit_value(c: Column, most: int = MAX_VALUE) -> Column:

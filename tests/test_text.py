@@ -1,10 +1,11 @@
 import hashlib
+import random
 import re
 import unicodedata
 
 from pyspark.sql import functions as F
 
-from lexweft.functions import exact, text
+from lexweft.functions import exact, text, unicode
 
 ODD = [
     "", " ", "a", "\x1c\x1d x \x85\xa0 y　", "a\r\nb\rc", "a  \t\n\n\n\n\nb", "```x\ny``` [a](b) ![c](d) 123-2020 **z** `q", "Pensión", "ÑANDÚ ß",
@@ -44,15 +45,33 @@ def test_labels_and_cleaning(spark):
     assert all(len(r.f) <= 256 for r in got.values())
 
 
+def _plain(t):
+    return "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).casefold()
+
+
 def test_exact_unicode(spark):
-    got = _rows(spark, exact.fold_exact("t").alias("k"))
+    got = _rows(spark, text.label_key(F.col("t")).alias("k"))
     for i, t in enumerate(ODD):
-        plain = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
-        assert got[i].k == " ".join(plain.casefold().split())
-    df = spark.createDataFrame([("é",), ("plain",), (None,)], "t string")
+        assert got[i].k == " ".join(_plain(t).split())
+    df = spark.createDataFrame([("é",), ("plain",), (None,)], "t string")
     assert sorted(r.c for r in exact.clean_exact(df, "t", "c").collect()) == ["", "plain", "é"]
-    keyed = exact.label_keys_exact(df, "t", "k").collect()
-    assert {r.t: r.k for r in keyed} == {"é": "e", "plain": "plain", None: None}
+    keyed = exact.label_keys_exact(df.withColumn("label", F.lit(1)), "t", "k")
+    assert keyed.columns == ["t", "label", "k"] and {r.t: r.k for r in keyed.collect()} == {"é": "e", "plain": "plain", None: None}
+
+
+def test_normalisation_is_pythons(spark):
+    """All assigned code points, and random sequences of a letter, marks and anything."""
+    points = [c for c in map(chr, range(1, 0x110000)) if unicodedata.category(c) not in ("Cn", "Cs")]
+    marks, letters = ([c for c in points if f(c)] for f in (unicodedata.combining, str.isalpha))
+    r = random.Random(1)
+    mixed = ["".join([r.choice(letters[:3000]), *r.choices(marks, k=r.randint(1, 4)), r.choice(points)]) for _ in range(20_000)]
+    df = spark.createDataFrame([(t,) for t in points + mixed] + [(None,)], "t string")
+    t = F.col("t")
+    made = df.select("t", unicode.compose(t).alias("c"), unicode.decompose_compatible(t).alias("d"), unicode.casefold(t).alias("f"), unicode.fold(t).alias("k"))
+    assert "Python" not in made._jdf.queryExecution().executedPlan().toString()
+    for x in made.collect():
+        want = (None,) * 4 if x.t is None else (unicodedata.normalize("NFC", x.t), unicodedata.normalize("NFKD", x.t), x.t.casefold(), _plain(x.t))
+        assert (x.c, x.d, x.f, x.k) == want, ascii(x.t)
 
 
 def test_names(spark):
