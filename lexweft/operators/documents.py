@@ -93,6 +93,15 @@ def _shape(df: DataFrame) -> DataFrame:
     return done.withColumn("plain_text", text.plain_text(F.col("markdown")))
 
 
+def configured_ocr(ocr: Converter, ready: bool) -> Converter:
+    """``ocr``, or what says that none is configured, which becomes a document's warning."""
+
+    def unconfigured(filename: str, content: bytes):
+        raise RuntimeError("Document AI OCR no esta configurado")
+
+    return ocr if ready else unconfigured
+
+
 def output_names(document_id: Column) -> list[Column]:
     return [F.concat(document_id, F.lit(end)).alias(name) for name, end in (("markdown_name", ".md"), ("metadata_name", ".metadata.json"), ("review_name", ".review.json"))]
 

@@ -1,9 +1,10 @@
 """Jobs and errors: latest states, projections, classification and error records."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweft.functions import text
+from lexweft.sources.shared import materialize
 
 PUBLIC = ("job_id", "status", "filename", "result", "error")
 
@@ -35,8 +36,9 @@ def classify_error(message: Column, kind: Column | None = None) -> Column:
 def latest_states(events: DataFrame, by: str = "job_id", order: str = "seq") -> DataFrame:
     """The last state of each job; one partial aggregate, so no window over a job's whole history."""
     rest = [c for c in events.columns if c != by]
-    last = events.groupBy(by).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_s"))
-    return last.select(by, *[F.col(f"_s.{c}") for c in rest])
+    # By position: a group's key and its last row have names of their own.
+    last = events.groupBy(F.col(by).alias("key")).agg(F.max_by(F.struct(*rest), F.col(order)).alias("last"))
+    return last.select(F.col("key").alias(by), *[F.col("last").getField(c).alias(c) for c in rest])
 
 
 def public_jobs(jobs: DataFrame) -> DataFrame:
@@ -61,10 +63,12 @@ def split_by_status(jobs: DataFrame) -> dict[str, DataFrame]:
 
 
 def find_jobs(wanted: DataFrame, jobs: DataFrame) -> DataFrame:
-    """``wanted`` (job_id) with status, or the code JOB_NOT_FOUND and 404."""
-    found = wanted.select("job_id").join(jobs.select("job_id", "status", F.lit(True).alias("_there")), "job_id", "left")
-    missing = F.col("_there").isNull()
-    return found.select("job_id", "status", F.when(missing, 404).otherwise(200).alias("http"), F.when(missing, F.lit("JOB_NOT_FOUND")).alias("code"))
+    """``wanted`` (job_id) with what callers see of the job, or the code JOB_NOT_FOUND and 404."""
+    shown = [c for c in PUBLIC if c in jobs.columns and c != "job_id"]
+    found = wanted.select("job_id").join(jobs.select("job_id", F.struct(*shown).alias("job")), "job_id", "left")
+    missing = F.col("job").isNull()
+    only = lambda x: F.when(missing, F.lit(x))
+    return found.select("job_id", *[F.col("job").getField(c).alias(c) for c in shown], F.when(missing, 404).otherwise(200).alias("http"), only("JOB_NOT_FOUND").alias("code"), only("Conversion job no existe.").alias("message"))
 
 
 def error_records(items: DataFrame, filename: str = "filename") -> DataFrame:
@@ -78,3 +82,20 @@ def error_records(items: DataFrame, filename: str = "filename") -> DataFrame:
 
 def fifo(jobs: DataFrame) -> DataFrame:
     return jobs.orderBy("created_at", "job_id")
+
+
+def with_places(jobs: DataFrame, *order: str, out: str = "place") -> DataFrame:
+    """``jobs`` with their places, from 1, in the order of columns ``order``; nulls come first.
+
+    Ranges of rows are sorted on their own and numbered from the sizes of the
+    ranges before them, so no task gets all rows. Equal rows are numbered in any order. The
+    sorted ranges are written, as a range that is made anew could be another.
+    """
+    ranges = jobs.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The identifier counts a partition's rows in its lower 33 bits.
+    numbered = ranges.select(F.struct(*jobs.columns).alias("row"), F.monotonically_increasing_id().alias("id"))
+    placed = materialize(numbered.select("row", F.shiftright("id", 33).alias("range"), F.col("id").bitwiseAND((1 << 33) - 1).alias("nth")), "places")
+    sizes = placed.groupBy("range").agg(F.count("*").alias("n"))  # a row for each range
+    ahead = sizes.select(F.col("range").alias("r"), F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    met = placed.join(F.broadcast(ahead), F.col("range") == F.col("r"))
+    return met.select(*[F.col("row").getField(c).alias(c) for c in jobs.columns if c != out], (F.col("ahead") + F.col("nth") + 1).alias(out))

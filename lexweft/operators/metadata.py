@@ -18,6 +18,9 @@ STRING_FIELDS = ("titulo", "identificador", "entidad", "fecha", "materia", "expe
 NOTES = "observaciones"
 GROUP = "struct<categoria: string, subcategorias: array<string>>"
 _NONE = "cast(array() AS array<string>)"
+_DIGITS = r"[0-9]+(?:_[0-9]+)*"
+#: What Python's float reads.
+_NUMERIC = rf"(?i)\A[+-]?(?:inf(?:inity)?|nan|(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?)\z"
 
 
 def parse_json(raw: Column) -> Column:
@@ -37,9 +40,11 @@ def _get(v: Column, path: str, kind: str) -> Column:
 def number(v: Column) -> Column:
     """A JSON number, boolean or numeric string as double, null if it is none."""
     kind = _kind(v)
-    word = F.try_variant_get(v, "$", "string")
+    word = text.ws_strip(F.try_variant_get(v, "$", "string"))
+    # Spark casts "1d" and the like, too, but no underscores between digits.
+    numeric = F.regexp_like(word, F.lit(_NUMERIC))
     return (
-        F.when(kind == "STRING", text.ws_strip(word).try_cast("double"))
+        F.when(kind == "STRING", F.when(numeric, F.replace(word, F.lit("_"), F.lit(""))).try_cast("double"))
         .when(kind == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), 1.0).otherwise(0.0))
         .when(kind.isin("BIGINT", "DOUBLE", "DECIMAL"), F.try_variant_get(v, "$", "double"))
     )
@@ -124,7 +129,9 @@ def extract(df: DataFrame, raw: str = "raw") -> DataFrame:
     # Read when the expression is made: the last of repeated keys counts instead of an error.
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     # Materialised between steps by distinct projections; each is used more than once.
-    v = df.withColumn("_v", parse_json(F.col(raw))).withColumn("_entries", _entries(F.col("_v")))
+    mine = (*STRING_FIELDS, NOTES, "confidence", "categorias", "errors")
+    row = F.struct(*[df[c] for c in df.columns if c not in mine]).alias("_row")
+    v = df.select(row, parse_json(df[raw]).alias("_v")).withColumn("_entries", _entries(F.col("_v")))
     fields, errors = [], []
     is_object = F.coalesce(_kind(F.col("_v")) == "OBJECT", F.lit(False))
     for name in (*STRING_FIELDS, NOTES):
@@ -150,7 +157,7 @@ def extract(df: DataFrame, raw: str = "raw") -> DataFrame:
     )
     confidence = number(_get(F.col("_v"), "$.confidence", "variant"))
     step = v.select(
-        *[df[c] for c in df.columns if c not in (*STRING_FIELDS, NOTES, "confidence", "categorias", "errors")],
+        "_row",
         *fields,
         F.when(bail, F.when(~broken, _as_listed(F.col("_entries")))).otherwise(group_categories(simple)).alias("categorias"),
         confidence.alias("confidence"),
@@ -166,7 +173,7 @@ def extract(df: DataFrame, raw: str = "raw") -> DataFrame:
             F.when(in_bounds, F.expr(_NONE)).otherwise(F.array(F.lit("confidence"))),
         )
     )
-    return step.withColumn("errors", found).drop("_ok", "_bad")
+    return step.withColumn("errors", found).select("_row.*", *mine)
 
 
 def encode_entry(group: Column) -> Column:
@@ -211,17 +218,18 @@ def category_pairs(groups: Column) -> Column:
 def custom_metadata(df: DataFrame, out: str = "custom_metadata") -> DataFrame:
     """``df`` with ``out``: all key/value pairs of a document in field order, values clean and at most 256 characters."""
     keys = {f: f for f in STRING_FIELDS} | {"observaciones_resumen": NOTES}
-    given = df.withColumns({f"_{key}": F.col(name) for key, name in keys.items()})
-    clean = exact.clean_columns(given, [f"_{key}" for key in keys])
+    row = F.struct(*df.columns).alias("row")
+    clean = exact.clean_columns(df.select(row, *[df[name].alias(f"_{key}") for key, name in keys.items()]), [f"_{key}" for key in keys])
+    of = lambda name: F.col("row").getField(name)
     none = F.expr("cast(array() AS array<struct<key: string, string_value: string>>)")
 
     def pair(key, value, there):
         return F.when(there, F.array(F.struct(F.lit(key).alias("key"), value.alias("string_value")))).otherwise(none)
 
-    fitted = {key: pair(key, text.fit_tidy(F.col(f"_{key}")), F.coalesce(F.col(name) != "", F.lit(False))) for key, name in keys.items()}
-    number = text.float_text(F.col("confidence"))
-    parts = [*(fitted[f] for f in STRING_FIELDS), F.coalesce(category_pairs(F.col("categorias")), none), pair("confidence", number, number.isNotNull()), fitted["observaciones_resumen"]]
-    return clean.withColumn(out, F.concat(*parts)).drop(*(f"_{key}" for key in keys))
+    fitted = {key: pair(key, text.fit_tidy(F.col(f"_{key}")), F.coalesce(of(name) != "", F.lit(False))) for key, name in keys.items()}
+    number = text.float_text(of("confidence"))
+    parts = [*(fitted[f] for f in STRING_FIELDS), F.coalesce(category_pairs(of("categorias")), none), pair("confidence", number, number.isNotNull()), fitted["observaciones_resumen"]]
+    return clean.select(*[of(c).alias(c) for c in df.columns if c != out], F.concat(*parts).alias(out))
 
 
 def oversized(pairs: Column, most: int = text.MAX_VALUE) -> Column:

@@ -12,7 +12,7 @@ def pair_outputs(files: DataFrame) -> DataFrame:
     One aggregate by stem does for both sides, so the table is shuffled once.
     """
     ends = F.regexp_extract("name", r"\A(.+?)(\.metadata\.json|\.md)\z", 2)
-    split = files.select("name", ends.alias("_end")).where("_end <> ''")
+    split = files.select("name", ends.alias("_end")).where("_end <> ''")  # no other columns, so none clashes
     stem = F.substring(F.col("name"), F.lit(1), F.char_length("name") - F.char_length("_end"))
     pick = lambda end: F.max(F.when(F.col("_end") == end, F.col("name")))
     return split.groupBy(stem.alias("stem")).agg(pick(".md").alias("md"), pick(".metadata.json").alias("metadata"))
@@ -45,19 +45,20 @@ def resolve_stores(requests: DataFrame, registry: DataFrame, listed: DataFrame,
     registry is to learn the hit: those by display name, by either name with
     ``save_name_hits``.
     """
+    asked = requests.select(F.struct(*requests.columns).alias("row"), "requested")
     known = registry.select(F.col("display_name").alias("requested"), F.col("store").alias("_reg"))
     both = listed.select(F.col("display_name").alias("requested"), "name", "pos", F.lit(True).alias("shown")).unionByName(
         listed.select(F.col("name").alias("requested"), "name", "pos", F.lit(False).alias("shown"))
     )
     best = both.where("requested IS NOT NULL").groupBy("requested").agg(F.min_by(F.struct("name", "shown"), F.struct("pos", ~F.col("shown"))).alias("_hit"))
-    joined = requests.join(known, "requested", "left").join(best, "requested", "left")
+    joined = asked.join(known, "requested", "left").join(best, "requested", "left")
     full = F.startswith("requested", F.lit("fileSearchStores/")) & F.lit(bypass)
     how = (
         F.when(full, F.lit("given")).when(F.col("_reg").isNotNull(), F.lit("registry")).when(F.col("_hit").isNotNull(), F.lit("listed")).otherwise(F.lit("create"))
     )
     store = F.when(full, F.col("requested")).otherwise(F.coalesce("_reg", "_hit.name"))
     save = (how == "create") | ((how == "listed") & (F.col("_hit.shown") | F.lit(save_name_hits)))
-    return joined.select(*requests.columns, store.alias("store"), how.alias("how"), save.alias("save"))
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in requests.columns if c not in ("store", "how", "save")], store.alias("store"), how.alias("how"), save.alias("save"))
 
 
 def upsert_registry(registry: DataFrame, news: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,14 +108,14 @@ def enriched_query(message: Column, legal: Column, category: Column, subs: Colum
 def retrieval_hints(questions: DataFrame, label: str) -> DataFrame:
     """``questions`` with the canonical category, subcategories and hints that a legal label names (a category or a subcategory)."""
     pairs = F.broadcast(taxonomy.taxonomy_pairs(questions.sparkSession))
-    keyed = questions.withColumn("_key", text.label_key(F.col(label)))
+    keyed = questions.select(F.struct(*questions.columns).alias("row"), text.label_key(questions[label]).alias("_key"))
     by_sub = pairs.where("sub_key IS NOT NULL").select(
         F.col("sub_key").alias("_k1"), F.col("category").alias("c1"), F.col("subcategory").alias("s1"), F.concat_ws(":", "cat_code", "sub_code").alias("h1")
     )
     by_cat = pairs.select(F.col("cat_key").alias("_k2"), F.col("category").alias("c2"), F.col("cat_code").alias("h2")).distinct()
     joined = keyed.join(F.broadcast(by_sub), F.col("_key") == F.col("_k1"), "left").join(F.broadcast(by_cat), F.col("_key") == F.col("_k2"), "left")
     return joined.select(
-        *[questions[c] for c in questions.columns],
+        *[F.col("row").getField(c).alias(c) for c in questions.columns if c not in ("canonical_category", "canonical_subcategories", "metadata_hints")],
         F.coalesce("c1", "c2").alias("canonical_category"),
         F.array_compact(F.array("s1")).alias("canonical_subcategories"),
         F.array_compact(F.array(F.coalesce("h1", "h2"))).alias("metadata_hints"),
@@ -162,9 +163,19 @@ VECTORS_AT_ONCE, QUERIES_AT_ONCE = 4096, 256
 
 def _matrix(batch) -> tuple[np.ndarray, np.ndarray]:
     """Ids and unit vectors of the rows that have one of the usual length, that of the first."""
-    rows = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if v and None not in v]
-    rows = [(i, v) for i, v in rows if len(v) == len(rows[0][1])]
-    ids, own = np.array([i for i, _ in rows], np.int64), np.array([v for _, v in rows], float).reshape(len(rows), -1 if rows else 0)
+    table = pa.table({"id": batch.column(0), "v": batch.column(1)}).combine_chunks()
+    table = table.filter(pc.and_(pc.is_valid(table["id"]), pc.greater(pc.fill_null(pc.list_value_length(table["v"]), 0), 0)))
+    table = table.combine_chunks()
+    flat = pc.list_flatten(table["v"])
+    if flat.null_count:
+        parent = pc.list_parent_indices(table["v"]).filter(pc.is_null(flat))
+        keep = np.ones(len(table), bool)
+        keep[np.unique(parent.to_numpy())] = False
+        table = table.filter(pa.array(keep))
+    sizes = pc.list_value_length(table["v"]).to_numpy()
+    table = table.filter(pa.array(sizes == sizes[0])) if len(sizes) else table
+    ids = table["id"].to_numpy().astype(np.int64)
+    own = pc.list_flatten(table["v"]).to_numpy().astype(float).reshape(len(ids), -1 if len(ids) else 0)
     norm = np.sqrt((own * own).sum(1))
     there = norm > 0
     return ids[there], own[there] / norm[there, None]
@@ -196,7 +207,8 @@ def citation_fields(chunks: DataFrame) -> DataFrame:
     """``chunks`` (title, text, ``_m``: a map of its metadata) with file_id, file_name, snippet and file_url, all clean."""
     get = lambda k: F.try_element_at("_m", F.lit(k))
     raw = {"_id": get("identificador"), "_titulo": get("titulo"), "_title": F.col("title"), "_text": F.col("text"), "_url": get("fuente")}
-    clean = exact.clean_columns(chunks.withColumns(raw), list(raw))
+    row = F.struct(*[c for c in chunks.columns if c != "_m"]).alias("row")
+    clean = exact.clean_columns(chunks.select(row, *[c.alias(n) for n, c in raw.items()]), list(raw))
     some = lambda c: F.nullif(F.col(c), F.lit(""))
     named = {
         "file_id": F.coalesce(some("_id"), some("_title"), F.lit("")),
@@ -204,7 +216,8 @@ def citation_fields(chunks: DataFrame) -> DataFrame:
         "snippet": F.col("_text"),
         "file_url": F.col("_url"),
     }
-    return clean.withColumns(named).drop(*raw)
+    kept = [c for c in chunks.columns if c not in (*named, "_m")]
+    return clean.select(*[F.col("row").getField(c).alias(c) for c in kept], *[c.alias(n) for n, c in named.items()])
 
 
 def metadata_map(entries: Column) -> Column:
@@ -223,7 +236,7 @@ def citations(chunks: DataFrame) -> DataFrame:
     """
     there = chunks.where("title IS NOT NULL OR text IS NOT NULL OR custom_metadata IS NOT NULL")
     none = F.expr("cast(array() AS array<struct<key: string, string_value: string>>)")
-    mapped = there.withColumn("_m", metadata_map(F.coalesce("custom_metadata", none)))
+    mapped = there.select("resp_id", "cand_pos", "chunk_pos", "title", "text", metadata_map(F.coalesce("custom_metadata", none)).alias("_m"))
     fields = citation_fields(mapped).select("resp_id", "cand_pos", "chunk_pos", "file_id", "file_name", "snippet", "file_url")
     key = F.concat_ws("|", "file_name", "file_url", F.substring("snippet", 1, 120))
     first = F.row_number().over(Window.partitionBy("resp_id", key).orderBy("cand_pos", "chunk_pos"))

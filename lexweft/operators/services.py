@@ -2,9 +2,10 @@
 
 What a route calls outside (an extractor, a retriever, an uploader, a store
 creator) is a function that the caller passes in. It runs in Arrow batches where
-its rows lie, once for each row: the stage that calls is written to the shared
-folder before anything reads its outcome twice. A call that fails is the row's
-outcome, never the job's.
+its rows lie: the stage that calls is written to the shared folder before anything
+reads its outcome twice, so a row's call is made again only with a task that Spark runs
+again. Uploads that mustn't be are for ``sources.store``. A call that fails is the
+row's outcome, never the job's.
 """
 
 import time
@@ -26,11 +27,12 @@ Retriever = Callable[[str, str], tuple[str | None, list[str], list[tuple]]]
 #: Takes (store, display name, Markdown, [(key, value)]), gives (operation, done); may raise.
 Uploader = Callable[[str, str, str, list[tuple[str, str]]], tuple[str, bool]]
 
-#: Tries of an extraction and the seconds between, the seconds between looks at an upload, and its bounds.
+#: Tries of an extraction and the seconds between, the seconds between looks at an upload, its bounds, and what callers are told.
 TRIES, PAUSE = 5, 5.0
 POLL, MAX_WAIT, WAIT_BOUNDS = 1.0, 600, (1, 3600)
 NOT_CONFIGURED = "GEMINI_API_KEY no esta configurado"
 NO_STORE = "file_search_store_name o GEMINI_FILE_SEARCH_STORE no esta configurado"
+UPLOADED = "Archivo enviado a Gemini File Search Store."
 REFUSALS = {"INVALID_FILE_TYPE": (400, "Solo se aceptan archivos PDF."), "FILE_TOO_LARGE": (413, "Archivo supera {} MB.")}
 
 
@@ -86,50 +88,44 @@ def convert_route(files: DataFrame, primary, fallback, ocr, settings: Settings =
     """One row for each upload: refused by the gate, converted, or failed."""
     gated = gate(files, settings.max_upload_mb)
     refused = gated.where("status <> 200").select("filename", "status", "code", "message")
+    ocr = documents.configured_ocr(ocr, settings.ocr_ready())
     done = documents.convert(gated.where("status = 200").select("filename", "content"), primary, fallback, ocr, settings.min_text_chars_for_native_pdf)
     kind, said = F.regexp_extract("error", r"\A(\w+): ", 1), F.regexp_replace("error", F.lit(r"\A\w+: "), F.lit(""))
     shown = done.select("*", *outcome(F.when(F.col("error").isNotNull(), kind), said)).drop("error")
     return shown.unionByName(refused, allowMissingColumns=True)
 
 
-def start_jobs(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Conversion jobs of uploads that pass the gate: ``job_id``, ``status`` queued, the times, and the file."""
-    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
-    none = F.lit(None).cast("string")
-    own = gate(files, settings.max_upload_mb).where("status = 200")
-    return materialize(own.select(F.expr("uuid()").alias("job_id"), F.lit("queued").alias("status"), "filename", none.alias("error"), now.alias("created_at"), now.alias("updated_at"), "content"), "jobs")
+def _now() -> Column:
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
 
 
-def run_jobs(queued: DataFrame, primary, fallback, ocr, settings: Settings = Settings()) -> DataFrame:
-    """``queued`` done: ``status`` succeeded with ``result``, or failed with ``error`` (kind: message)."""
-    named = queued.select("job_id", "created_at", "filename", "content")
+def start_jobs(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """An answer for each upload: a queued job with its ``job_id``, times and file, or why it is refused (``http`` 400 or 413, no job)."""
+    gated = gate(files, settings.max_upload_mb).withColumnRenamed("status", "http")
+    good = F.col("http") == 200
+    only = lambda c: F.when(good, c)
+    return materialize(gated.select(
+        only(F.expr("uuid()")).alias("job_id"), only(F.lit("queued")).alias("status"), "filename", F.lit(None).cast("string").alias("error"),
+        only(_now()).alias("created_at"), only(_now()).alias("updated_at"), only(F.col("content")).alias("content"), "http", "code", "message",
+    ), "jobs")
+
+
+def run_jobs(started: DataFrame, primary, fallback, ocr, settings: Settings = Settings()) -> DataFrame:
+    """The queued ones of ``started`` done: ``status`` succeeded with ``result``, or failed with ``error`` (kind: message)."""
+    named = started.where("status = 'queued'").select("job_id", "created_at", "filename", "content")
+    ocr = documents.configured_ocr(ocr, settings.ocr_ready())
     done = documents.convert(named, primary, fallback, ocr, settings.min_text_chars_for_native_pdf, carry=["job_id", "created_at"])
     fields = [c for c in done.columns if c not in ("job_id", "created_at", "error")]
-    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
     failed = F.col("error").isNotNull()
     status = F.when(failed, F.lit("failed")).otherwise(F.lit("succeeded"))
-    return done.select("job_id", status.alias("status"), "filename", F.when(~failed, F.struct(*fields)).alias("result"), "error", "created_at", now.alias("updated_at"))
+    return done.select("job_id", status.alias("status"), "filename", F.when(~failed, F.struct(*fields)).alias("result"), "error", "created_at", _now().alias("updated_at"))
 
 
 # --- extraction ---
 
 
-def extract_route(requests: DataFrame, extractor: Extractor, settings: Settings = Settings(), tries: int = TRIES, pause: float = PAUSE) -> DataFrame:
-    """Metadata for ``requests`` (filename, markdown, fuente), with ``status``, ``code``, ``message`` and ``tries``.
-
-    A try fails when the extractor raises; answers that are no valid metadata are
-    judged afterwards, with their ``errors``.
-    """
-    prompt = retrieval.extraction_prompt(F.col("filename"), F.col("markdown"), F.coalesce("fuente", F.lit("")))
-    asked = requests.select("filename", prompt.alias("prompt"))
-    configured = settings.gemini_api_key
-
-    def call(text_):
-        if not configured:
-            raise RuntimeError(NOT_CONFIGURED)
-        return extractor(text_)
-
-    found = call_each(asked, call, ["prompt"], "string", "extracted", tries if configured else 1, pause).drop("prompt")
+def _judged(found: DataFrame) -> DataFrame:
+    """``found`` (with ``result``, ``error_kind``, ``error_message`` of a call) with the metadata, its ``errors``, and ``status``, ``code`` and ``message``."""
     parsed = metadata.extract(found, "result")
     invalid = F.col("error_kind").isNull() & (F.size("errors") > 0)
     kind = F.when(invalid, F.when(F.array_contains("errors", "json"), F.lit("JSONDecodeError")).otherwise(F.lit("ValidationError"))).otherwise(F.col("error_kind"))
@@ -137,6 +133,36 @@ def extract_route(requests: DataFrame, extractor: Extractor, settings: Settings
     return parsed.select("*", *outcome(kind, F.coalesce(said, F.lit("")))).drop("result", "error_kind", "error_message")
 
 
+def extract_route(requests: DataFrame, extractor: Extractor, settings: Settings = Settings(), tries: int = TRIES, pause: float = PAUSE, sleep=time.sleep) -> DataFrame:
+    """Metadata for ``requests`` (filename, markdown, fuente), with ``status``, ``code``, ``message`` and ``tries``.
+
+    Whatever isn't answered by valid metadata, be it a call that raises or an
+    answer that is none, is asked again with the next round, ``tries`` rounds in
+    all and ``pause`` seconds apart. A round is a table, written before it is
+    judged, so pauses hold no executor. Without a key nothing is called, nor
+    tried again.
+    """
+    prompt = retrieval.extraction_prompt(F.col("filename"), F.col("markdown"), F.coalesce("fuente", F.lit("")))
+    left, parts = requests.select("filename", prompt.alias("prompt")), []
+    if not settings.gemini_api_key:
+        none = F.lit(None).cast("string")
+        return _judged(left.select("filename", none.alias("result"), F.lit("RuntimeError").alias("error_kind"), F.lit(NOT_CONFIGURED).alias("error_message"), F.lit(1).alias("tries")))
+    for n in range(1, tries + 1):
+        found = call_each(left, extractor, ["prompt"], "string", f"answers-{n}").withColumn("tries", F.lit(n))
+        again = F.col("status") != 200
+        judged = materialize(_judged(found).withColumn("prompt", F.when(again, F.col("prompt"))), f"judged-{n}")
+        left = judged.where(again).select("filename", "prompt")
+        last = n == tries or left.isEmpty()
+        parts.append((judged if last else judged.where(~again)).drop("prompt"))
+        if last:
+            break
+        sleep(pause)
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
 # --- stores and uploads ---
 
 
@@ -206,6 +232,62 @@ def upload_route(requests: DataFrame, upload: Uploader, poll: Callable[[str], bo
     return found.select("filename", "store", F.col("error_kind").isNull().alias("uploaded"), "result.operation", "result.done", "error_message", *status)
 
 
+def upload_requests(
+    requests: DataFrame, registry: DataFrame, listed: DataFrame, create: Callable[[str], str], upload: Uploader, poll: Callable[[str], bool],
+    settings: Settings = Settings(), every: float = POLL,
+) -> tuple[DataFrame, DataFrame]:
+    """Answers to whole upload requests, and what the registry is to learn (display_name, store).
+
+    ``requests``: filename, markdown, the metadata fields, file_search_store_name,
+    create_store_if_missing, wait_until_done, max_wait_seconds. A store's name is
+    resolved (given in full, by ``registry``, by what is ``listed``, or created,
+    once for each name), the metadata becomes key/value pairs, and the Markdown is
+    uploaded and waited for. A store that one request has made is there for others
+    that wouldn't make it.
+    """
+    paired = metadata.custom_metadata(requests, "custom_metadata")
+    name, key = F.col("file_search_store_name"), settings.gemini_api_key
+    refused = F.when(F.lit(not key), F.lit(NOT_CONFIGURED)).when(F.coalesce(name, F.lit("")) == "", F.lit(NO_STORE))
+    make = F.coalesce("create_store_if_missing", F.lit(True))
+    asked = materialize(paired.select("filename", "markdown", "custom_metadata", name.alias("requested"), make.alias("make"), "wait_until_done", "max_wait_seconds", refused.alias("refused")), "asked")
+
+    names = asked.where("refused IS NULL").groupBy("requested").agg(F.bool_or("make").alias("wanted"))
+    found = pairing.resolve_stores(names, registry, listed)
+    made = call_each(found.where("how = 'create' AND wanted").select("requested"), create, ["requested"], "string", "stores")
+    created = made.select(F.col("requested").alias("new_name"), "result", "error_message")
+    both = found.join(created, F.col("requested") == F.col("new_name"), "left")
+    stores = materialize(both.select(F.col("requested").alias("display_name"), F.coalesce("store", "result").alias("store"), "save", F.col("error_message").alias("failed")), "resolved")
+    news = stores.where("save AND store IS NOT NULL").select("display_name", "store")
+
+    met = asked.join(stores, F.col("requested") == F.col("display_name"), "left")
+    missing = F.concat(F.lit("No existe File Search Store con display_name '"), "requested", F.lit("'"))
+    over = metadata.oversized(F.col("custom_metadata"))
+    why = F.coalesce(
+        F.col("refused"),
+        F.when(F.col("store").isNull(), F.coalesce(F.when(F.col("make"), F.col("failed")), missing)),
+        F.when(F.size(over) > 0, F.concat(F.lit("custom_metadata contiene string_value mayor a 256 caracteres: "), F.to_json(over))),
+    )
+    sent = F.to_json(F.transform("custom_metadata", lambda p, i: F.struct(i.alias("index"), p["key"].alias("key"), F.char_length(p["string_value"]).alias("length"), p["string_value"].alias("value"))))
+    pairs = F.transform("custom_metadata", lambda p: F.array(p["key"], p["string_value"]))
+    wait, most = F.coalesce("wait_until_done", F.lit(True)), F.coalesce("max_wait_seconds", F.lit(MAX_WAIT))
+    ready = met.select("filename", "markdown", "store", pairs.alias("pairs"), sent.alias("sent"), why.alias("why"), wait.alias("wait"), most.alias("most"))
+
+    def call(filename, markdown, store, pairs_, sent_, why_, wait_, most_):
+        if why_ is not None:
+            raise RuntimeError(why_)
+        try:
+            operation, done = upload(store, filename, markdown, [tuple(p) for p in pairs_])
+        except Exception as e:
+            raise RuntimeError(f"{e}; custom_metadata_sent={sent_}") from e
+        return operation, wait_operation(poll, operation, done, most_, every) if wait_ else done
+
+    uploads = call_each(ready, call, ["filename", "markdown", "store", "pairs", "sent", "why", "wait", "most"], "struct<operation: string, done: boolean>", "uploads")
+    good = F.col("error_kind").isNull()
+    told = outcome(F.col("error_kind"), F.coalesce("error_message", F.lit("")))
+    answer = uploads.select("filename", F.lit(True).alias("enabled"), good.alias("uploaded"), F.when(good, F.col("store")).alias("file_search_store"), "result.operation", "result.done", "error_message", *told)
+    return answer.withColumn("message", F.when(F.col("status") == 200, F.lit(UPLOADED)).otherwise(F.col("message"))), news
+
+
 # --- search ---
 
 

@@ -1,11 +1,11 @@
 """The registered queries of the library's own operators, each with SQL for DuckDB where SQL can express it."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweft.functions import exact, taxonomy, text
 from lexweft.operators import documents as docs_ops
-from lexweft.operators import jobs, metadata, pairing, retrieval, services
+from lexweft.operators import jobs, metadata, pairing, retrieval, search, services
 from lexweft.plans.fixtures import DIRTY, JOB_EVENTS, LABELS, OUTPUTS, PAIRS, RESPONSES, view
 from lexweft.sources.files import Settings, read_table
 
@@ -332,9 +332,10 @@ def error_records(spark, sf_dir):
     return found.select(F.get_json_object("error", "$.seq").cast("long").alias("seq"), "filename", "record_name")
 
 
-@query(f"""SELECT w.job_id, j.status, CASE WHEN j.job_id IS NULL THEN 404 ELSE 200 END AS http, CASE WHEN j.job_id IS NULL THEN 'JOB_NOT_FOUND' END AS code
+@query(f"""SELECT w.job_id, j.status, j.filename, CASE WHEN j.job_id IS NULL THEN 404 ELSE 200 END AS http, CASE WHEN j.job_id IS NULL THEN 'JOB_NOT_FOUND' END AS code,
+  CASE WHEN j.job_id IS NULL THEN 'Conversion job no existe.' END AS message
 FROM (SELECT 'job-' || c_custkey AS job_id FROM customer) w
-LEFT JOIN (SELECT job_id, arg_max(status, seq) AS status FROM ({JOB_EVENTS}) GROUP BY job_id) j USING (job_id)""")
+LEFT JOIN (SELECT job_id, arg_max(status, seq) AS status, arg_max(filename, seq) AS filename FROM ({JOB_EVENTS}) GROUP BY job_id) j USING (job_id)""")
 def find_jobs(spark, sf_dir):
     wanted = read_table(spark, sf_dir, "customer").select(F.concat(F.lit("job-"), F.col("c_custkey")).alias("job_id"))
     return jobs.find_jobs(wanted, jobs.latest_states(view(spark, sf_dir, JOB_EVENTS, "events")))
@@ -601,9 +602,9 @@ def _extracted(spark, sf_dir):
 @query("""
 SELECT doc_id || '.pdf' AS filename, CASE doc_id % 5 WHEN 4 THEN 504 WHEN 0 THEN 200 WHEN 3 THEN 200 ELSE 422 END AS status,
   CASE doc_id % 5 WHEN 4 THEN 'UPSTREAM_TIMEOUT' WHEN 0 THEN NULL WHEN 3 THEN NULL ELSE 'AGENT_VALIDATION_FAILED' END AS code,
-  CASE WHEN doc_id % 5 IN (0, 3) THEN 'T' END AS titulo, CASE WHEN doc_id % 5 = 4 THEN 5 ELSE 1 END AS tries FROM documents""")
+  CASE WHEN doc_id % 5 IN (0, 3) THEN 'T' END AS titulo, CASE WHEN doc_id % 5 IN (0, 3) THEN 1 ELSE 5 END AS tries FROM documents""")
 def extract_route(spark, sf_dir):
-    """Extraction with retries: valid answers, answers that are none, and calls that fail each time."""
+    """Extraction with retries: valid answers at once; answers that are none, and calls that fail, each time."""
     return _extracted(spark, sf_dir).select("filename", "status", "code", "titulo", "tries")
 
 
@@ -677,7 +678,8 @@ def failure_records(spark, sf_dir):
     p = read_table(spark, sf_dir, "pages")
     end = F.when(F.col("page_id") % 3 == 2, F.lit("")).otherwise(F.lit(".pdf"))
     started = services.gate(p.select(F.concat(F.col("page_id").cast("string"), end).alias("filename"), F.lit(b"x").alias("content")))
-    polled = find_jobs(spark, sf_dir).select(F.col("job_id").alias("filename"), "http", "code", "status", F.lit("E: x").alias("error"))
+    failed = F.when(F.col("status") == "failed", F.concat(F.lit("E: "), "filename"))
+    polled = find_jobs(spark, sf_dir).select(F.col("job_id").alias("filename"), "http", "code", "status", failed.alias("error"))
     extracted = _extracted(spark, sf_dir).select("filename", "status", "code")
     return services.failures(started.select("filename", "status", "code"), polled, extracted).select(F.col("filename").alias("item"), "stage")
 
@@ -697,5 +699,114 @@ def review_state(spark, sf_dir):
 def job_queue(spark, sf_dir):
     """Jobs in the order in which they came."""
     first = view(spark, sf_dir, JOB_EVENTS, "events").groupBy("job_id").agg(F.min("seq").alias("created_at"))
-    order = Window.orderBy("created_at", "job_id")  # of jobs, not of their events
-    return jobs.fifo(first).withColumn("place", F.row_number().over(order).cast("long")).select("job_id", "place")
+    return jobs.with_places(first, "created_at", "job_id").select("job_id", "place")
+
+
+#: Uploads of documents: two in seven by names that are no PDF, those above 20,000 bytes made too large, the rest converted without OCR.
+_UPLOADED = "SELECT doc_id, text, doc_id % 7 < 2 AS no_pdf, strlen(text) > 20000 AS large FROM documents"
+
+
+def _uploads(spark, sf_dir):
+    k = F.col("doc_id")
+    name = F.concat(F.lit("d"), k, F.when(k % 7 == 0, F.lit(".txt")).when(k % 7 == 1, F.lit("")).when(k % 7 == 2, F.lit(".PDF")).otherwise(F.lit(".pdf")))
+    content = F.when(F.octet_length("text") > 20000, F.concat("text", F.repeat(F.lit(" "), 1 << 20))).otherwise(F.col("text"))
+    return read_table(spark, sf_dir, "documents").select(name.alias("filename"), content.cast("binary").alias("content"))
+
+
+def _decoded(name, content):
+    return content.decode(), 1
+
+
+_ENDING = "CASE doc_id % 7 WHEN 0 THEN '.txt' WHEN 1 THEN '' WHEN 2 THEN '.PDF' ELSE '.pdf' END"
+_REFUSED = "CASE WHEN no_pdf THEN 'INVALID_FILE_TYPE' WHEN large THEN 'FILE_TOO_LARGE' END"
+_TOLD = "CASE WHEN no_pdf THEN 'Solo se aceptan archivos PDF.' WHEN large THEN 'Archivo supera 1 MB.' END"
+
+
+@query(f"""
+WITH u AS (SELECT *, {_NORMALIZED.replace('md', 'text')} AS markdown FROM ({_UPLOADED})),
+c AS (SELECT *, length({_plain('markdown')}) < 800 AS short, markdown = '' AS bare, NOT no_pdf AND NOT large AS taken FROM u)
+SELECT 'd' || doc_id || {_ENDING} AS filename, CASE WHEN no_pdf THEN 400 WHEN large THEN 413 WHEN bare THEN 422 ELSE 200 END AS status,
+  coalesce({_REFUSED}, CASE WHEN bare THEN 'PROCESSING_FAILED' END) AS code,
+  coalesce({_TOLD}, CASE WHEN bare THEN 'No se pudo completar el procesamiento.' END) AS message,
+  CASE WHEN taken THEN sha256(markdown) END AS markdown_sha256, CASE WHEN taken THEN false END AS ocr_used,
+  CASE WHEN taken THEN CASE WHEN short THEN 'ocr_skipped_or_failed: RuntimeError: Document AI OCR no esta configurado' ELSE '' END END AS warnings
+FROM c""")
+def convert_route(spark, sf_dir):
+    """Uploads that are refused by name or size, converted, or empty, by a service without OCR."""
+    done = services.convert_route(_uploads(spark, sf_dir), _decoded, _decoded, _decoded, Settings(max_upload_mb=1))
+    return done.select("filename", "status", "code", "message", F.sha2("markdown", 256).alias("markdown_sha256"), "ocr_used", F.array_join("warnings", ";").alias("warnings"))
+
+
+@query(f"""
+WITH u AS (SELECT *, {_NORMALIZED.replace('md', 'text')} AS markdown, NOT no_pdf AND NOT large AS taken FROM ({_UPLOADED}))
+SELECT 'd' || doc_id || {_ENDING} AS filename, CASE WHEN no_pdf THEN 400 WHEN large THEN 413 ELSE 200 END AS http, {_REFUSED} AS code, {_TOLD} AS message,
+  CASE WHEN taken THEN CASE WHEN markdown = '' THEN 'failed' ELSE 'succeeded' END END AS status,
+  CASE WHEN taken AND markdown = '' THEN 'ValueError: No se pudo extraer contenido Markdown del PDF' END AS error,
+  CASE WHEN taken AND markdown <> '' THEN sha256(markdown) END AS markdown_sha256
+FROM u""")
+def convert_jobs_route(spark, sf_dir):
+    """Jobs started for uploads or refused, run, and asked for with their result or error."""
+    settings = Settings(max_upload_mb=1)
+    started = services.start_jobs(_uploads(spark, sf_dir), settings)
+    done = services.run_jobs(started, _decoded, _decoded, _decoded, settings)
+    asked = jobs.find_jobs(started.where("http = 200").select("job_id"), done)
+    found = asked.select("filename", "http", "code", "message", "status", "error", F.sha2("result.markdown", 256).alias("markdown_sha256"))
+    refused = started.where("http <> 200").select("filename", "http", "code", "message", "status", "error", F.lit(None).cast("string").alias("markdown_sha256"))
+    return found.unionByName(refused)
+
+
+@query("""
+SELECT doc_id || '.md' AS filename, CASE WHEN k < 5 OR k = 8 THEN store END AS file_search_store, k < 5 OR k = 8 AS uploaded,
+  CASE WHEN k < 5 OR k = 8 THEN 200 ELSE 503 END AS status, CASE WHEN k < 5 THEN true WHEN k = 8 THEN false END AS done,
+  CASE k WHEN 5 THEN 'No existe File Search Store con display_name ' || chr(39) || 'none ' || doc_id || chr(39) WHEN 6 THEN 'file_search_store_name o GEMINI_FILE_SEARCH_STORE no esta configurado'
+    WHEN 7 THEN 'gemini; custom_metadata_sent=[{"index":0,"key":"titulo","length":' || length(source) || ',"value":"' || source || '"},{"index":1,"key":"fuente","length":' || length(lang) || ',"value":"' || lang || '"}]' END AS error_message,
+  CASE WHEN k < 5 OR k = 8 THEN sha256(text) || ' titulo=' || source || ';fuente=' || lang END AS operation
+FROM (SELECT *, doc_id % 9 AS k, CASE doc_id % 9 WHEN 0 THEN 'fileSearchStores/' || source WHEN 1 THEN 'reg-' || source WHEN 2 THEN 'fileSearchStores/n' || source ELSE 'made/new ' || source END AS store FROM documents)""")
+def upload_requests(spark, sf_dir):
+    """Whole uploads: stores given, registered, listed, created or missing, no store named, uploads that fail, that are looked at again, or not waited for."""
+    k = F.col("doc_id") % 9
+    d = read_table(spark, sf_dir, "documents")
+    name = F.when(k == 0, F.concat(F.lit("fileSearchStores/"), "source")).when(k == 1, F.concat(F.lit("known "), "source")).when(k == 2, F.concat(F.lit("shown "), "source"))
+    name = name.when(k == 5, F.concat(F.lit("none "), "doc_id")).when(k != 6, F.concat(F.lit("new "), "source"))
+    fields = dict.fromkeys((*metadata.STRING_FIELDS, metadata.NOTES), F.lit(None).cast("string")) | {"titulo": F.col("source"), "fuente": F.col("lang")}
+    asked = d.select(
+        F.concat("doc_id", F.lit(".md")).alias("filename"), F.col("text").alias("markdown"), *[c.alias(n) for n, c in fields.items()], F.lit(None).cast("double").alias("confidence"),
+        F.lit(None).cast(f"array<{metadata.GROUP}>").alias("categorias"), name.alias("file_search_store_name"), (k != 5).alias("create_store_if_missing"), (k != 8).alias("wait_until_done"), F.lit(60).alias("max_wait_seconds"),
+    )
+    sources = d.select("source").distinct()
+    registry = sources.select(F.concat(F.lit("known "), "source").alias("display_name"), F.concat(F.lit("reg-"), "source").alias("store"))
+    listed = sources.select(F.lit(0).alias("pos"), F.concat(F.lit("shown "), "source").alias("display_name"), F.concat(F.lit("fileSearchStores/n"), "source").alias("name"))
+
+    def upload(store, filename, markdown, pairs):
+        import hashlib
+
+        kind = int(filename.partition(".")[0]) % 9
+        if kind == 7:
+            raise RuntimeError("gemini")
+        return f"{hashlib.sha256(markdown.encode()).hexdigest()} {';'.join(f'{x}={v}' for x, v in pairs)}", kind < 4
+
+    answers, _ = services.upload_requests(asked, registry, listed, lambda n: f"made/{n}", upload, lambda operation: True, CONFIGURED, every=0.0)
+    return answers.select("filename", "file_search_store", "uploaded", "status", "done", "error_message", "operation")
+
+
+_TERMS = "list_filter(regexp_split_to_array(replace(lower(strip_accents({})), 'ß', 'ss'), '[^\\pL\\pN]+'), lambda w: w <> '')"
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, lang, {_TERMS.format("text")} AS words FROM documents),
+c AS (SELECT doc_id, lang, n AS chunk, words[n * 200 + 1 : n * 200 + 200] AS words FROM (SELECT *, unnest(range((len(words) + 199) // 200)) AS n FROM d)),
+s AS (SELECT count(*)::DOUBLE AS n, avg(len(words)) AS mean FROM c),
+f AS (SELECT doc_id, chunk, lang, length, term, count(*) AS tf FROM (SELECT doc_id, chunk, lang, len(words) AS length, unnest(words) AS term FROM c) GROUP BY ALL),
+p AS (SELECT term, doc_id, chunk, lang, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * (1.2::DOUBLE + 1) / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * length / mean))) * 1000000)::BIGINT AS impact
+  FROM (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM f), s),
+q AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 2 THEN 'es' END AS wanted, unnest(list_distinct({_TERMS.format("text")})) AS term FROM conversations WHERE role = 'user' AND conv_id % 100 = 0),
+r AS (SELECT conv_id, turn, doc_id, chunk, sum(impact)::BIGINT AS score FROM q JOIN p USING (term) WHERE wanted IS NULL OR wanted = lang GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, doc_id, chunk) AS rank FROM r) WHERE rank <= 5""")
+def search_text(spark, sf_dir):
+    """The five best chunks of all documents for every question of each hundredth conversation, some in one language only."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("markdown"), F.col("lang").alias("facet"))
+    index = search.postings(search.chunks(d))
+    asked = read_table(spark, sf_dir, "conversations").where("role = 'user' AND conv_id % 100 = 0")
+    queries = asked.select(F.struct("conv_id", "turn").alias("query_id"), F.col("text").alias("query"), F.when(F.col("turn") % 4 == 2, F.lit("es")).alias("facet"))
+    found = search.top_chunks(queries, index, search.bounds(index))
+    return found.select("query_id.conv_id", "query_id.turn", "doc_id", "chunk", "score", "rank")

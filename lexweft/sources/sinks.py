@@ -15,12 +15,16 @@ def _write(df: DataFrame, folder: str, batch: str | int, by: str | None = None)
     (writer.partitionBy(by) if by else writer).parquet(f"{folder}/batch={batch}")
 
 
+#: Folders of a package's outputs in their order, and the columns with a file's name and text.
+OUTPUTS = (("markdown", "markdown_name", "markdown"), ("metadata", "metadata_name", "metadata_json"), ("review", "review_name", "review_json"))
+
+
 def write_outputs(packages: DataFrame, root: str, batch: str | int) -> None:
     """Markdown, then metadata, then review rows (name, value); each only when the one before is committed.
 
     The input is read three times; it is meant to be a written table or cached.
     """
-    for folder, name, value in (("markdown", "markdown_name", "markdown"), ("metadata", "metadata_name", "metadata_json"), ("review", "review_name", "review_json")):
+    for folder, name, value in OUTPUTS:
         _write(packages.select(F.col(name).alias("name"), F.col(value).alias("value")), f"{root}/{folder}", batch)
 
 

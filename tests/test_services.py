@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lexweft.operators import metadata, services
+from lexweft.operators import jobs, metadata, pairing, retrieval, services
 from lexweft.sources.files import METADATA_REQUEST, Settings, stream_requests
 from lexweft.sources.shared import shared_path
 
@@ -45,11 +45,95 @@ def test_extraction(spark):
 
     got = {r.filename: r for r in services.extract_route(df, extractor, KEY, pause=0).collect()}
     assert (got["a"].status, got["a"].titulo, got["a"].tries) == (200, "T", 1)
-    assert [(got[x].status, got[x].code, got[x].tries) for x in "bcd"] == [(422, "AGENT_VALIDATION_FAILED", 1)] * 2 + [(503, "UPSTREAM_UNAVAILABLE", 5)]
+    assert [(got[x].status, got[x].code, got[x].tries) for x in "bcd"] == [(422, "AGENT_VALIDATION_FAILED", 5)] * 2 + [(503, "UPSTREAM_UNAVAILABLE", 5)]
     bare = services.extract_route(df, extractor, Settings(), pause=0).first()
     assert (bare.status, bare.code, bare.tries) == (503, "UPSTREAM_NOT_CONFIGURED", 1)
 
 
+def test_an_answer_that_is_valid_on_the_third_try(spark, tmp_path):
+    df = spark.createDataFrame([("a", "slow", None), ("b", "ok", None)], METADATA_REQUEST)
+    seen, slept = str(tmp_path / "seen"), []
+
+    def extractor(prompt):
+        if "\nok\n" in prompt:
+            return GOOD
+        with open(seen, "a+") as f:
+            f.write("x")
+            f.seek(0)
+            n = len(f.read())
+        if n == 1:
+            raise ConnectionError("gemini")
+        return "{}" if n == 2 else GOOD
+
+    out = services.extract_route(df, extractor, KEY, pause=5, sleep=slept.append)
+    assert out.count() == 2 and {r.filename: (r.status, r.tries) for r in out.collect()} == {"a": (200, 3), "b": (200, 1)}
+    assert slept == [5, 5] and (tmp_path / "seen").read_text() == "xxx"  # read twice, asked three times
+    assert services.extract_route(df.limit(0), extractor, KEY).count() == 0
+
+
+def test_numeric_strings(spark):
+    texts = ["0.5", " 1e0 ", "0.5d", "1f", "0x1", "1_0", "1__0", "_1", ".5", "5.", ".", "", "+inf", "NaN", "Infinity", "1e", "0.25\n", "٣"]
+    df = spark.createDataFrame([(json.dumps({"confidence": t, "categorias": []}),) for t in texts], "raw string")
+    got = [r.confidence for r in metadata.extract(df).select("confidence").collect()]
+    for t, x in zip(texts, got):
+        try:
+            want = float(t) if t.isascii() else None
+        except ValueError:
+            want = None
+        assert x == want or (x != x and want != want), t
+
+
+def test_clashing_names(spark):
+    raw = spark.createDataFrame([(GOOD, 1, 2, 3, 4)], "raw string, _v int, _entries int, _ok int, _titulo int")
+    made = metadata.extract(raw)
+    assert (made.first()._v, made.first()._ok, made.first().titulo) == (1, 3, "T")
+    pairs = metadata.custom_metadata(made.withColumn("row", F.lit(9)), "_v").first()
+    assert pairs["row"] == 9 and pairs["_titulo"] == 4 and pairs["_v"][0].key == "titulo"
+    asked = spark.createDataFrame([("generales", 7, 8)], "q string, _key int, c2 int")
+    hints = retrieval.retrieval_hints(asked, "q").first()
+    assert (hints._key, hints.c2, hints.canonical_category) == (7, 8, "Generales")
+    stores = pairing.resolve_stores(spark.createDataFrame([("a", 1, 2)], "requested string, _reg int, _hit int"), spark.createDataFrame([("a", "s")], "display_name string, store string"), spark.createDataFrame([], "pos int, display_name string, name string")).first()
+    assert (stores._reg, stores._hit, stores.store, stores.how) == (1, 2, "s", "registry")
+
+
+def test_places(spark):
+    rows = [(i % 7 if i % 11 else None, str(i)) for i in range(500)]
+    got = jobs.with_places(spark.createDataFrame(rows, "created_at int, job_id string").repartition(7), "created_at", "job_id")
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [(r.created_at, r.job_id) for r in sorted(got.collect(), key=lambda r: r.place)] == want
+    assert sorted(r.place for r in got.collect()) == list(range(1, 501))
+    assert "SinglePartition" not in jobs.fifo(spark.createDataFrame(rows, "created_at int, job_id string"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whole_uploads(spark):
+    fields = [*metadata.STRING_FIELDS, metadata.NOTES]
+    shape = ", ".join(f"{f} string" for f in fields) + f", confidence double, categorias array<{metadata.GROUP}>, filename string, markdown string, file_search_store_name string, create_store_if_missing boolean, wait_until_done boolean, max_wait_seconds int"
+    row = lambda name, store, make=None, wait=None: (*["T" if f == "titulo" else None for f in fields], 0.5, [("Generales", ["Otros"])], name, "m " + name, store, make, wait, 1)
+    asked = [row("a", "fileSearchStores/x"), row("b", "k"), row("c", "new"), row("d", "new", False), row("e", "gone", False), row("f", None), row("g", "bad"), row("slow", "k"), row("h", "slow store", True, False)]
+    calls = spark.sparkContext.accumulator(0)
+
+    def create(name):
+        calls.add(1)
+        if name == "bad":
+            raise RuntimeError("store quota")
+        return f"fileSearchStores/{name}"
+
+    def upload(store, name, markdown, pairs):
+        return json.dumps([store, markdown, pairs]), name == "a"
+
+    registry, listed = spark.createDataFrame([("k", "s1")], "display_name string, store string"), spark.createDataFrame([], "pos int, display_name string, name string")
+    answers, news = services.upload_requests(spark.createDataFrame(asked, shape), registry, listed, create, upload, lambda op: "slow" not in op, KEY, every=0.1)
+    got = {r.filename: r for r in answers.collect()}
+    assert json.loads(got["a"].operation) == ["fileSearchStores/x", "m a", [["titulo", "T"], ["categorias_count", "1"], ["categorias_compact", "gen:otros"], ["confidence", "0.5"]]]
+    assert {n: got[n].file_search_store for n in "bcd"} == {"b": "s1", "c": "fileSearchStores/new", "d": "fileSearchStores/new"} and got["b"].message == services.UPLOADED
+    assert (got["e"].status, got["e"].code, got["e"].error_message) == (503, "UPSTREAM_UNAVAILABLE", "No existe File Search Store con display_name 'gone'")
+    assert got["f"].error_message == services.NO_STORE and got["g"].error_message == "store quota" and got["slow"].status == 504
+    assert (got["h"].uploaded, got["h"].done) == (True, False) and calls.value == 3
+    assert sorted(map(tuple, news.collect())) == [("new", "fileSearchStores/new"), ("slow store", "fileSearchStores/slow store")]
+    bare, none = services.upload_requests(spark.createDataFrame(asked, shape), registry, listed, create, upload, bool)
+    assert {r.code for r in bare.collect()} == {"UPSTREAM_NOT_CONFIGURED"} and none.count() == 0
+
+
 def test_stores(spark):
     calls = spark.sparkContext.accumulator(0)
 
@@ -116,9 +200,13 @@ def test_conversion_jobs(spark):
         raise RuntimeError("no esta configurado")
 
     queued = services.start_jobs(df)
-    assert sorted(r.filename for r in queued.collect()) == ["a.pdf", "b.pdf"] and len({r.job_id for r in queued.collect()}) == 2
+    assert {r.filename: (r.status, r.http, r.code) for r in queued.collect()} == {"a.pdf": ("queued", 200, None), "b.pdf": ("queued", 200, None), "c.txt": (None, 400, "INVALID_FILE_TYPE")}
+    assert len({r.job_id for r in queued.collect()}) == 3
     done = {r.filename: r for r in services.run_jobs(queued, primary, primary, ocr).collect()}
     assert (done["a.pdf"].status, done["a.pdf"].result.pages, done["b.pdf"].status, done["b.pdf"].result) == ("succeeded", 1, "failed", None)
+    asked = services.jobs.find_jobs(queued.select("job_id").union(spark.createDataFrame([("x",)], "job_id string")).where("job_id IS NOT NULL"), services.run_jobs(queued, primary, primary, ocr))
+    assert {(r.filename, r.http, r.code, r.message) for r in asked.collect()} == {("a.pdf", 200, None, None), ("b.pdf", 200, None, None), (None, 404, "JOB_NOT_FOUND", "Conversion job no existe.")}
+    assert done["a.pdf"].result.warnings == [] and "Document AI OCR no esta configurado" in services.convert_route(df.where("filename = 'b.pdf'"), primary, primary, ocr).first().warnings[0]
     assert done["b.pdf"].error.startswith("ValueError: ") and done["a.pdf"].job_id in {r.job_id for r in queued.collect()}
     shown = {r.filename: (r.status, r.code) for r in services.convert_route(df, primary, primary, ocr).collect()}
     assert shown == {"a.pdf": (200, None), "b.pdf": (422, "PROCESSING_FAILED"), "c.txt": (400, "INVALID_FILE_TYPE")}
