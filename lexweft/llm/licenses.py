@@ -116,23 +116,24 @@ SIGNATURES = (
     ("apache-2", "terms and conditions for use reproduction and distribution", 0.85),
     ("apache-1", "this product includes software developed by the apache (?:software foundation|group)", 0.9),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e", 0.95),
-    ("gpl-2", "either version 2 of the licen[cs]e or at your option any later version", 0.95),
-    ("gpl-3", "either version 3 of the licen[cs]e or at your option any later version", 0.95),
+    ("gpl-2", "gnu general public licen[cs]e as published by the free software foundation ~inc ~either version 2 of the licen[cs]e", 1.0),
+    ("gpl-3", "gnu general public licen[cs]e as published by the free software foundation ~inc ~either version 3 of the licen[cs]e", 1.0),
     ("gpl-2", "gnu general public licen[cs]e version 2 june 1991", 1.0),
     ("gpl-3", "gnu general public licen[cs]e version 3 29 june 2007", 1.0),
     ("gpl", "you should have received a copy of the gnu general public licen[cs]e along with this program", 0.9),
     ("gpl", "linking this library statically or dynamically with other modules is making a combined work", 0.9),
     ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e", 0.95),
-    ("lgpl-2", "either version 2 1 of the licen[cs]e or at your option any later version", 0.95),
-    ("lgpl", "you should have received a copy of the gnu lesser general public licen[cs]e along with this library", 0.9),
+    ("lgpl-2", "gnu (?:lesser|library) general public licen[cs]e as published by the free software foundation ~inc ~either version 2 ~1 of the licen[cs]e", 1.0),
+    ("lgpl-3", "gnu lesser general public licen[cs]e as published by the free software foundation ~inc ~either version 3 of the licen[cs]e", 1.0),
+    ("lgpl", "you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e along with this (?:library|program)", 0.9),
     ("agpl-3", "under the terms of the gnu affero general public licen[cs]e as published by the free software foundation", 1.0),
     ("agpl-3", "you should have received a copy of the gnu affero general public licen[cs]e", 0.95),
     ("fdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e", 1.0),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0", 1.0),
     ("mpl-1", "the contents of this file are subject to the mozilla public licen[cs]e version 1 [01]", 1.0),
     ("npl", "the contents of this file are subject to the netscape public licen[cs]e", 1.0),
-    ("epl-1", "made available under the terms of the eclipse public licen[cs]e v ?1 0", 1.0),
-    ("epl-2", "made available under the terms of the eclipse public licen[cs]e v? ?2 0", 1.0),
+    ("epl-1", "made available under the terms of the eclipse public licen[cs]e (?:v1|v 1|version 1) 0", 1.0),
+    ("epl-2", "made available under the terms of the eclipse public licen[cs]e (?:v2|v 2|version 2|2) 0", 1.0),
     ("cpl-1", "common public licen[cs]e version? 1 0", 0.95),
     ("cddl", "subject to the terms of the common development and distribution licen[cs]e", 1.0),
     ("eupl", "licen[cs]ed under the eupl", 0.95),

@@ -55,7 +55,7 @@ BODIES = {
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that",
     "bsd-3": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived",
-    "gpl-3": "under the terms of the license, either version 3 of the License, or (at your option) any later version.",
+    "gpl-3": "the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "agpl-3": "GNU Affero General Public License as published by",
     "eupl": "European Union Public Licence",
     "cc0": "To the extent possible under law, Jo Doe has waived all copyright and related or neighboring rights",
@@ -71,6 +71,37 @@ def test_bodies_and_names_without_version(spark):
         assert r.label in {s.label for s in r.detections}, r.text
 
 
+def _gnu(name, version, what="program"):
+    return (
+        f"This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation; "
+        f"either version {version} of the License, or (at your option) any later version.\n\nThis {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY. "
+        f"See the GNU {name} for more details.\n\nYou should have received a copy of the GNU {name} along with this {what}."
+    )
+
+
+#: Usual notices, and all that they are to be labelled.
+NOTICES = (
+    (_gnu("General Public License", "2"), ["gpl", "gpl-2"]),
+    (_gnu("General Public License", "3"), ["gpl", "gpl-3"]),
+    (_gnu("Library General Public License", "2", "library"), ["lgpl", "lgpl-2"]),
+    (_gnu("Lesser General Public License", "2.1", "library"), ["lgpl", "lgpl-2"]),
+    (_gnu("Lesser General Public License", "3", "library"), ["lgpl", "lgpl-3"]),
+    (_gnu("Affero General Public License", "3"), ["agpl-3"]),
+    ("either version 3 of the License, or (at your option) any later version", []),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution", ["epl-1"]),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License v 1.0", ["epl-1"]),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0", ["epl-2"]),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", ["epl-2"]),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ["mpl-2"]),
+)
+
+
+def test_notices_have_their_own_labels_only(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NOTICES)], "i int, text string")
+    got = {r.i: sorted({s.label for s in r.detections}) for r in scan(df).collect()}
+    assert [got[i] for i in range(len(NOTICES))] == [want for _, want in NOTICES]
+
+
 def test_each_name_is_found_with_and_without_optional_words(spark):
     from lexweft.llm.licenses import LICENSES
 
