@@ -7,7 +7,9 @@ from lexweft.functions import exact, taxonomy, text
 from lexweft.operators import documents as docs_ops
 from lexweft.operators import jobs, metadata, pairing, retrieval, search, services
 from lexweft.plans.fixtures import DIRTY, JOB_EVENTS, LABELS, OUTPUTS, PAIRS, RESPONSES, view
+from lexweft.sources import sinks
 from lexweft.sources.files import Settings, read_table
+from lexweft.sources.shared import materialize, shared_path
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -810,3 +812,111 @@ def search_text(spark, sf_dir):
     queries = asked.select(F.struct("conv_id", "turn").alias("query_id"), F.col("text").alias("query"), F.when(F.col("turn") % 4 == 2, F.lit("es")).alias("facet"))
     found = search.top_chunks(queries, index, search.bounds(index))
     return found.select("query_id.conv_id", "query_id.turn", "doc_id", "chunk", "score", "rank")
+
+
+# --- shapes, projections and sinks ---
+
+#: Category entries in the shapes that models answer: a string for a list, repeated categories, odd members, pairs, and none.
+_SHAPES = """
+SELECT doc_id, concat('{"titulo": "', source, '", "confidence": 1, "categorias": ', CASE doc_id % 9
+  WHEN 0 THEN '[{"categoria": "Generales", "subcategorias": "Otros"}]'
+  WHEN 1 THEN '[{"categoria": "generales", "subcategorias": "Otros"}]'
+  WHEN 2 THEN '[{"categoria": "generales", "subcategoria": "otros"}, {"categoria": "GENERALES", "subcategorias": ["Derecho de Familia", "OTROS"]}]'
+  WHEN 3 THEN '[{"categoria": "Generales", "subcategorias": ["Otros", 3, " "]}]'
+  WHEN 4 THEN '[{"categoria": "sucesiones y herencia", "subcategoria": "lo que sea"}]'
+  WHEN 5 THEN '[]' WHEN 6 THEN '[1]'
+  WHEN 7 THEN '[{"categoria": "Generales", "subcategorias": null, "subcategoria": "Otros"}]'
+  ELSE '[{"categoria": "Generales", "subcategorias": " "}]' END, '}') AS raw
+FROM documents"""
+
+
+@query("""
+SELECT doc_id, source AS titulo, CASE WHEN doc_id % 9 IN (0, 2, 3, 4) THEN '' ELSE 'categorias' END AS errors,
+  CASE doc_id % 9 WHEN 0 THEN 'Generales=Otros' WHEN 2 THEN 'Generales=Otros,Derecho de Familia' WHEN 3 THEN 'Generales=Otros' WHEN 4 THEN 'Sucesiones y Herencia=' END AS groups
+FROM documents""")
+def category_shapes(spark, sf_dir):
+    """Groups of whatever shape, as grouping rescues, canonicalisation and validation in their order leave them."""
+    found = metadata.extract(view(spark, sf_dir, _SHAPES, "documents"))
+    shown = F.transform("categorias", lambda g: F.concat(g["categoria"], F.lit("="), F.array_join(g["subcategorias"], ",")))
+    return found.select("doc_id", "titulo", F.array_join("errors", ",").alias("errors"), F.when(F.size("errors") == 0, F.array_join(shown, ";")).alias("groups"))
+
+
+@query("SELECT l_orderkey, l_linenumber, (l_discount / 2000)::DOUBLE::VARCHAR AS small, l_tax::DOUBLE::VARCHAR AS plain FROM lineitem")
+def float_text(spark, sf_dir):
+    number = lambda c: text.float_text(c.cast("double"))
+    return read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", number(F.col("l_discount") / 2000).alias("small"), number(F.col("l_tax")).alias("plain"))
+
+
+@query(f"SELECT doc_id, {_strip('substring(text, 1, 10) || substring(text, 13, 8) || substring(text, 31)')} AS layout FROM documents")
+def layout_text(spark, sf_dir):
+    """Slices of a page's text, the last one to its end."""
+    end = F.char_length("text")
+    cut = lambda a, z: F.struct(F.lit(a).cast("int").alias("start"), z.cast("int").alias("end"))
+    segments = F.array(cut(None, F.lit(10)), cut(12, F.lit(20)), cut(30, F.greatest(end, F.lit(30))))
+    return read_table(spark, sf_dir, "documents").select("doc_id", text.layout_text(F.col("text"), segments).alias("layout"))
+
+
+@query(f"""SELECT job_id, status, filename, CASE WHEN status = 'succeeded' THEN filename END AS shown
+FROM (SELECT job_id, arg_max(status, seq) AS status, arg_max(filename, seq) AS filename FROM ({JOB_EVENTS}) GROUP BY job_id)""")
+def job_projection(spark, sf_dir):
+    """What callers see of jobs, and the unwrapped results of those that have one."""
+    last = jobs.latest_states(view(spark, sf_dir, JOB_EVENTS, "events")).withColumns({"result": F.struct("job_id", F.col("filename").alias("shown")), "error": F.lit(None).cast("string"), "created_at": F.lit("x")})
+    public = jobs.public_jobs(last)
+    done = jobs.unwrap_results(public.where("status = 'succeeded'")).withColumnRenamed("job_id", "done_id")
+    return public.join(done, F.col("job_id") == F.col("done_id"), "left").select("job_id", "status", "filename", "shown")
+
+
+def _packages(spark, sf_dir):
+    found = metadata.extract(view(spark, sf_dir, OUTPUTS, "documents")).where("size(errors) = 0")
+    name = F.concat(F.lit("d"), "doc_id", F.lit(".pdf"))
+    d = read_table(spark, sf_dir, "documents").select("doc_id", name.alias("filename"), F.col("text").alias("markdown"), text.document_id(name, F.col("text").cast("binary")).alias("document_id"))
+    meta = found.join(d.select("doc_id", "document_id"), "doc_id").drop("raw", "doc_id")
+    converted = d.select("filename", "document_id", "markdown", F.lit(3).alias("pages"), F.lit(False).alias("ocr_used"), F.array(F.lit("w")).alias("warnings"))
+    return docs_ops.review_package(converted, meta)
+
+
+#: Documents whose metadata is valid, with what it says.
+_VALID = """SELECT *, 'd' || doc_id || '-' || substring(sha256(text), 1, 12) AS document_id, CASE WHEN doc_id % 7 = 6 THEN 'Sucesiones y Herencia' ELSE 'Generales' END AS category,
+  CASE doc_id % 7 WHEN 0 THEN 0.9 WHEN 1 THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence FROM documents WHERE doc_id % 7 IN (0, 1, 6)"""
+
+
+@query(f"""
+SELECT document_id, document_id || '.md' AS markdown_name, document_id || '.metadata.json' AS metadata_name, document_id || '.review.json' AS review_name, sha256(text) AS markdown_sha256,
+  CASE WHEN doc_id % 7 = 0 THEN 'T ' || source END AS titulo, category, confidence, 'd' || doc_id || '.pdf' AS filename, category AS reviewed_category, '["w"]' AS warnings
+FROM ({_VALID})""")
+def review_packages(spark, sf_dir):
+    """Conversion and metadata joined by document, with the names and texts of the output files."""
+    said = lambda c, path: F.get_json_object(c, path)
+    return _packages(spark, sf_dir).select(
+        "document_id", "markdown_name", "metadata_name", "review_name", F.sha2("markdown", 256).alias("markdown_sha256"),
+        said("metadata_json", "$.titulo").alias("titulo"), said("metadata_json", "$.categorias[0].categoria").alias("category"), said("metadata_json", "$.confidence").cast("double").alias("confidence"),
+        said("review_json", "$.filename").alias("filename"), said("review_json", "$.metadata.categorias[0].categoria").alias("reviewed_category"), said("review_json", "$.warnings").alias("warnings"),
+    )
+
+
+@query(f"""
+SELECT 'markdown' AS folder, document_id || '.md' AS name, sha256(text) AS value FROM ({_VALID})
+UNION ALL SELECT 'metadata', document_id || '.metadata.json', category FROM ({_VALID})
+UNION ALL SELECT 'review', document_id || '.review.json', document_id FROM ({_VALID})""")
+def written_outputs(spark, sf_dir):
+    """What the ordered sinks leave in their folders, written twice as a batch that runs again does."""
+    root, packages = shared_path(spark, "outputs"), materialize(_packages(spark, sf_dir), "packages")
+    for _ in range(2):
+        sinks.write_outputs(packages, root, 7)
+    values = {"markdown": F.sha2("value", 256), "metadata": F.get_json_object("value", "$.categorias[0].categoria"), "review": F.get_json_object("value", "$.document_id")}
+    parts = [spark.read.parquet(f"{root}/{folder}").select(F.lit(folder).alias("folder"), "name", value.alias("value")) for folder, value in values.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""
+SELECT doc_id || '.md' AS filename, CASE WHEN doc_id % 5 = 0 THEN 'error' ELSE 'uploaded' END AS status,
+  CASE WHEN doc_id % 5 = 0 THEN 'custom_metadata contiene string_value mayor a 256 caracteres: [{"index":0,"key":"fuente","length":257,"value":"' || repeat('y', 257) || '"}]' END AS message,
+  CASE WHEN doc_id % 5 <> 0 THEN sha256(text) END AS stored FROM documents""")
+def upload_log(spark, sf_dir):
+    """The log of uploads by status, read back, with what the store table got."""
+    k, root = F.col("doc_id"), shared_path(spark, "store")
+    meta = F.array(F.struct(F.lit("fuente").alias("key"), F.when(k % 5 == 0, F.repeat(F.lit("y"), 257)).otherwise(F.col("source")).alias("string_value")))
+    d = read_table(spark, sf_dir, "documents").select(F.concat(k, F.lit(".md")).alias("filename"), F.col("text").alias("markdown"), meta.alias("custom_metadata"), F.concat(F.lit("s"), k % 3).alias("store"))
+    sinks.write_logs(sinks.upload(d, root, 0), root, 0)
+    stored = spark.read.parquet(f"{root}/store").select(F.col("display_name").alias("filename"), F.sha2("markdown", 256).alias("stored"))
+    return spark.read.parquet(f"{root}/logs").select("filename", "status", "message").join(stored, "filename", "left")
