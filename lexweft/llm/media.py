@@ -214,16 +214,76 @@ def _bmff(d, at, marks):
     return p - at if kinds[:1] == [b"ftyp"] and len(kinds) > 1 else 0
 
 
+def _crc_table(poly: int, bits: int) -> list[int]:
+    """What a byte adds to a checksum of ``bits`` bits, highest bit first."""
+    out = []
+    for byte in range(256):
+        x = byte << (bits - 8)
+        for _ in range(8):
+            x = (x << 1) ^ (poly if x >> (bits - 1) else 0)
+            x &= (1 << bits) - 1
+        out.append(x)
+    return out
+
+
+#: The polynomials of FLAC's header and frame checksums.
+_CRC8, _CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+
+
+def _flac_header(d, p):
+    """``(bytes, samples)`` of the frame header at ``p``, None if there is none that its checksum confirms."""
+    if p + 6 > len(d) or d[p] != 0xFF or d[p + 1] & 0xFE != 0xF8 or d[p + 3] & 1:
+        return None
+    block, rate, lead = d[p + 2] >> 4, d[p + 2] & 15, d[p + 4]
+    ones = 8 - (~lead & 0xFF).bit_length()
+    if not block or rate == 15 or d[p + 3] >> 4 > 10 or ones in (1, 8):
+        return None
+    q = p + 4 + max(1, ones)  # the frame's or sample's number, as in UTF-8
+    extra = 1 if block == 6 else 2 if block == 7 else 0
+    samples = int.from_bytes(d[q : q + extra], "big") + 1 if extra else 192 if block == 1 else 576 << (block - 2) if block < 6 else 256 << (block - 8)
+    q += extra + (1 if rate == 12 else 2 if rate in (13, 14) else 0)
+    crc = 0
+    for byte in d[p:q]:
+        crc = _CRC8[crc ^ byte]
+    return (q + 1 - p, samples) if q < len(d) and d[q] == crc else None
+
+
+def _flac_frames(d, p, total: int) -> int:
+    """Where the frames that begin at ``p`` end, 0 if they don't. Over a frame with its checksum the checksum is 0."""
+    done = 0
+    while head := _flac_header(d, p):
+        crc, end, n = 0, 0, p + head[0]
+        for byte in d[p:n]:
+            crc = (crc << 8 & 0xFFFF) ^ _CRC16[crc >> 8 ^ byte]
+        done += head[1]
+        for e in range(n, len(d)):
+            crc = (crc << 8 & 0xFFFF) ^ _CRC16[crc >> 8 ^ d[e]]
+            if not crc and e > n + 1:
+                # By chance it is 0 within a frame, too; another frame follows but for the last.
+                if total and done >= total:
+                    return e + 1
+                if _flac_header(d, e + 1):
+                    end = e + 1
+                    break
+                end = end or e + 1
+        if not end or total and not _flac_header(d, end):
+            return 0
+        p = end
+    return p if done and not total else 0
+
+
 def _flac(d, at, marks):
-    p, first = at + 4, True
+    p, first, total = at + 4, True, 0
     while p + 4 <= len(d):
         kind, n = d[p] & 0x7F, int.from_bytes(d[p + 1 : p + 4], "big")
         if first and (kind != 0 or n != 34):
             return 0
+        if first:  # the number of samples; 0 if it wasn't known
+            total = int.from_bytes(d[p + 17 : p + 22], "big") & (1 << 36) - 1
         last, first = d[p] & 0x80, False
         p += 4 + n
-        if last:  # frames have no length field: the stream runs to the end
-            return len(d) - at if p + 2 <= len(d) and d[p] == 0xFF and d[p + 1] & 0xFC == 0xF8 else 0
+        if last:
+            return max(0, _flac_frames(d, p, total) - at)
     return 0
 
 
@@ -284,11 +344,12 @@ def find_media(data: bytes, signatures) -> tuple[list[tuple[int, int, str]], int
 
 
 _PART = pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("content", pa.binary())])
-_PAYLOAD = pa.struct([("bytes", pa.int64()), ("sha", pa.string()), ("tail", pa.int64()), ("mean", pa.float64())])
+_MEASURES = ("mean", "spread", "step")
+_PAYLOAD = pa.struct([("bytes", pa.int64()), ("sha", pa.string()), ("tail", pa.int64()), *((m, pa.float64()) for m in _MEASURES), ("levels", pa.int64())])
 _FOUND = pa.struct([("type", pa.string()), ("length", pa.int64()), ("hits", pa.int64()), ("embedded", pa.list_(_PART)), ("payload", _PAYLOAD)])
 FOUND = (
     "struct<type: string, length: long, hits: long, embedded: array<struct<offset: long, length: long, type: string, content: binary>>,"
-    " payload: struct<bytes: long, sha: string, tail: long, mean: double>>"
+    " payload: struct<bytes: long, sha: string, tail: long, mean: double, spread: double, step: double, levels: long>>"
 )
 
 
@@ -376,11 +437,22 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 
 def digests(payload: bytes) -> dict:
+    """Checksums and features of samples: their mean, deviation and mean step from one to the next, and the CRC-32 of their histogram."""
+    x = np.frombuffer(payload, np.uint8)
+    counts = np.bincount(x, minlength=256)
+    levels = np.arange(256)
+    # From whole numbers, so that the sums are exact in whatever order.
+    mean = int(counts @ levels) / len(x)
+    square = int(counts @ (levels * levels)) / len(x)
+    steps = int(np.abs(np.diff(x.astype(np.int16))).sum(dtype=np.int64))
     return {
         "bytes": len(payload),
         "sha": hashlib.sha256(payload).hexdigest(),
         "tail": zlib.crc32(payload[-16:]),
-        "mean": float(np.frombuffer(payload, np.uint8).mean()),
+        "mean": mean,
+        "spread": max(0.0, square - mean * mean) ** 0.5,
+        "step": steps / max(1, len(x) - 1),
+        "levels": zlib.crc32(counts.astype("<i8").tobytes()),
     }
 
 
@@ -395,8 +467,8 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = read_payloads(store_texts(table(spark, sf_dir, "documents")))
     kinds = F.array_join(F.transform("embedded", lambda e: F.concat_ws(":", e["type"], e["offset"], e["length"])), ",")
     feature = F.format_string(
-        "type=%s;corrected=%s;hits=%d;embedded=%d;parts=%s;mean=%.6f",
-        "media_type", "type_corrected", "magic_hits", F.size("embedded"), kinds, "payload.mean",
+        "type=%s;corrected=%s;hits=%d;embedded=%d;parts=%s;mean=%.6f;spread=%.6f;step=%.6f;levels=%08x",
+        "media_type", "type_corrected", "magic_hits", F.size("embedded"), kinds, "payload.mean", "payload.spread", "payload.step", "payload.levels",
     )
     return read.select(
         "doc_id",

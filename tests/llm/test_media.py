@@ -7,6 +7,8 @@ import wave
 import zipfile
 import zlib
 
+import numpy as np
+
 from lexweft.llm.media import automaton, find_media, op4_media, read_payloads, sniff, store_texts, to_wav
 
 
@@ -114,3 +116,47 @@ def test_texts_round_trip(spark):
         with wave.open(io.BytesIO(r.media)) as w:
             assert w.readframes(w.getnframes()) == padded and w.getsampwidth() == 1
     assert read_payloads(store_texts(df.limit(0))).count() == 0
+
+
+def _flac(samples, total=True, block=64):
+    """A FLAC stream of 8-bit mono samples, verbatim."""
+    from lexweft.llm.media import _CRC8, _CRC16
+
+    def crc(data, table, bits):
+        x = 0
+        for b in data:
+            x = ((x << 8) & ((1 << bits) - 1)) ^ table[(x >> (bits - 8)) ^ b]
+        return x.to_bytes(bits // 8, "big")
+
+    info = struct.pack(">HH", block, block) + bytes(6) + ((8000 << 44) | (7 << 36) | (len(samples) if total else 0)).to_bytes(8, "big") + bytes(16)
+    out = b"fLaC" + b"\x80" + (34).to_bytes(3, "big") + info
+    for no, at in enumerate(range(0, len(samples), block)):
+        part = samples[at : at + block]
+        number = bytes([no]) if no < 128 else bytes([0xC0 | no >> 6, 0x80 | no & 63])
+        head = b"\xff\xf8\x64\x02" + number + bytes([len(part) - 1])
+        frame = head + crc(head, _CRC8, 8) + b"\x02" + part
+        out += frame + crc(frame, _CRC16, 16)
+    return out
+
+
+def test_flac_ends_where_its_frames_do():
+    signs = automaton()
+    noise = bytes(np.random.default_rng(4).integers(0, 256, 64 * 150 + 9, np.uint8))
+    png = _png()
+    for total in (True, False):
+        flac = _flac(noise, total)
+        found = find_media(b"text " + flac + b"tail" + png, signs)[0]
+        assert found == [(5, len(flac), "audio/flac"), (5 + len(flac) + 4, len(png), "image/png")]
+        assert find_media(flac, signs)[0] == [(0, len(flac), "audio/flac")]
+    assert find_media(_flac(noise)[:-1], signs)[0] == [] and find_media(_flac(noise)[:40], signs)[0] == []
+    broken = bytearray(_flac(noise))
+    broken[60] ^= 1
+    assert find_media(bytes(broken), signs)[0] == []
+
+
+def test_features_tell_texts_apart():
+    from lexweft.llm.media import digests
+
+    a, b, c = (digests(x) for x in (b"abcabc" * 32, b"aabbcc" * 32, b"abdabd" * 32))
+    assert a["levels"] == b["levels"] != c["levels"] and a["step"] != b["step"] and a["mean"] == b["mean"]
+    assert abs(a["spread"] - np.std(np.frombuffer(b"abcabc" * 32, np.uint8))) < 1e-9 and a == digests(b"abcabc" * 32)
