@@ -17,12 +17,14 @@ only documents of one score are ever sorted together.
 Defined results for odd input: a null, empty or wordless text has no n-grams,
 weight 0, and is never drawn. A null doc_id draws noise as an empty id and comes
 after others of its score. Repeated rows have equal scores and each a rank of its
-own. Very long texts are an Arrow batch of their own. An empty target, or an empty
+own. Of a text longer than ``long_chars`` DuckDB gets a part at a time, cut where no
+n-gram is cut. An empty target, or an empty
 corpus, counts 0 in every bucket. ``sampled`` keeps other columns, whatever their
 names, but for ``n_features``, ``weight``, ``score`` and ``rank``, which it
 replaces. An empty table gives an empty result.
 """
 
+import re
 import string
 import zlib
 from collections.abc import Iterator
@@ -37,6 +39,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType
 from lexweft.llm.common import bound_batches, give_back, materialize, packed, table, unpacked
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before capitals are lower-cased, and a character that is in no word.
+_WORD, _NO_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 #: What DuckDB may use in a task. Its own temporary files are off: a batch fits.
 DUCKDB = {"threads": 1, "memory_limit": "1GB", "temp_directory": ""}
 
@@ -76,25 +80,56 @@ def _connect():
     return con
 
 
-def bucket_counts(docs: DataFrame, max_n: int = 1, buckets: int = 10_000) -> DataFrame:
+def _parts(text: str, long_chars: int, overlap: int) -> Iterator[tuple[str, str]]:
+    """``(part, lead)``: parts of a text, cut between words; ``lead`` holds the last ``overlap`` words before a part."""
+    at, lead = 0, []
+    while at < len(text):
+        cut = _NO_WORD.search(text, at + long_chars)
+        end = cut.end() if cut else len(text)
+        yield text[at:end], " ".join(lead)
+        if overlap:
+            lead = [*lead, *_WORD.findall(text, at, end)][-overlap:]
+        at = end
+
+
+def bucket_counts(docs: DataFrame, max_n: int = 1, buckets: int = 10_000, long_chars: int = 4 << 20) -> DataFrame:
     """``(row, n_words, buckets, counts)`` for each of ``docs`` (text, row): what its n-grams hash to, ``buckets`` ascending."""
     sql = bucket_sql(max_n, buckets)
     schema = docs.select("row").schema.add("n_words", "long").add("buckets", ArrayType(IntegerType())).add("counts", ArrayType(LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con = _connect()
-        for batch in batches:
-            n = batch.num_rows
-            con.register("batch", pa.table({"r": pa.array(np.arange(n)), "text": batch.column(0)}))
+
+        def counted(r, texts):
+            """``(r, bucket, n)`` columns; bucket -1 counts words."""
+            con.register("batch", pa.table({"r": r, "text": texts}))
             found = con.sql(sql).to_arrow_table()
             con.unregister("batch")
-            r, bucket, count = (found.column(i).to_numpy() for i in range(3))
+            return [found.column(i).to_numpy().astype(np.int64) for i in range(3)]
+
+        for batch in batches:
+            n, texts = batch.num_rows, batch.column(0)
+            long = pc.fill_null(pc.greater(pc.utf8_length(texts), long_chars), False).to_numpy(zero_copy_only=False)
+            usual = np.flatnonzero(~long)
+            parts = [counted(pa.array(usual), texts.take(pa.array(usual)))]
+            for i in np.flatnonzero(long).tolist():
+                for part, lead in _parts(texts[i].as_py(), long_chars, max_n - 1):
+                    parts.append(counted(pa.array([i]), pa.array([f"{lead} {part}"])))
+                    if lead:  # what lies within it was counted with the part before
+                        no, bucket, count = counted(pa.array([i]), pa.array([lead]))
+                        parts.append([no, bucket, -count])
+            r, bucket, count = map(np.concatenate, zip(*parts))
+            if len(parts) > 1:
+                key, place = np.unique(r * (buckets + 1) + bucket + 1, return_inverse=True)
+                total = np.zeros(len(key), np.int64)
+                np.add.at(total, place, count)
+                r, bucket, count = key[total > 0] // (buckets + 1), key[total > 0] % (buckets + 1) - 1, total[total > 0]
             whole = bucket < 0
             words = np.zeros(n, np.int64)
             words[r[whole]] = count[whole]
             r, bucket, count = r[~whole], bucket[~whole], count[~whole]
             ends = pa.array(np.searchsorted(r, np.arange(n + 1)).astype(np.int32))
-            columns = [batch.column(1), pa.array(words), pa.ListArray.from_arrays(ends, pa.array(bucket, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(count, pa.int64()))]
+            columns = [batch.column(1), pa.array(words), pa.ListArray.from_arrays(ends, pa.array(bucket.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(count))]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "n_words", "buckets", "counts"])
         con.close()
         give_back()
@@ -157,11 +192,11 @@ def drawn(rows: DataFrame, percent: int, min_words: int) -> DataFrame:
     return ahead.unionByName(rest).drop("at", "ahead")
 
 
-def sampled(docs: DataFrame, target: DataFrame, max_n: int = 1, buckets: int = 10_000, percent: int = 10, min_words: int = 20, seed: int = 2024) -> DataFrame:
+def sampled(docs: DataFrame, target: DataFrame, max_n: int = 1, buckets: int = 10_000, percent: int = 10, min_words: int = 20, seed: int = 2024, long_chars: int = 4 << 20) -> DataFrame:
     """``docs`` without their text, with ``n_features``, ``weight``, ``score`` and ``rank``; ``target`` (text) is what to be like."""
     mine = ("text", "n_features", "weight", "score", "rank")
-    own = materialize(bucket_counts(docs.select("text", packed(docs, *mine)), max_n, buckets), "counts")
-    aim = bucket_counts(target.select("text", F.struct(F.lit(0).alias("none")).alias("row")), max_n, buckets)
+    own = materialize(bucket_counts(docs.select("text", packed(docs, *mine)), max_n, buckets, long_chars), "counts")
+    aim = bucket_counts(target.select("text", F.struct(F.lit(0).alias("none")).alias("row")), max_n, buckets, long_chars)
     gain = gains(merged(own, buckets), merged(aim, buckets))
     rows = drawn(materialize(scored(own, gain, seed), "scored"), percent, min_words)
     return rows.select(*unpacked(rows), "n_features", "weight", "score", "rank")

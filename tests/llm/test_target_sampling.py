@@ -60,6 +60,15 @@ def test_equals_brute_force(spark, max_n, buckets, percent, min_words):
     assert {(r["row"], r["buckets"]) for r in got} == {(1, 2)}
 
 
+@pytest.mark.parametrize("max_n, long_chars, ids", [(3, 40, (0, 30)), (1, 40, (0, 20)), (2, 90_000, (200, 302))])
+def test_long_texts_in_parts(spark, max_n, long_chars, ids):
+    rows, target = corpus()
+    rows = [r for r in rows if ids[0] <= r[0] < ids[1]]
+    aim = spark.createDataFrame([(t,) for t in target], "text string").coalesce(1)
+    out = sampled(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), aim, max_n, 50, 60, 5, long_chars=long_chars)
+    assert sorted(([r.doc_id, r.n_features, r.weight, r.score, r["rank"]] for r in out.collect()), key=repr) == brute(rows, target, max_n, 50, 60, 5)
+
+
 def test_ties_nulls_and_empty_tables(spark):
     text = "one two three " * 10
     rows = [(7, text)] * 20 + [(None, text)] * 2 + [(8, None)]
