@@ -31,6 +31,7 @@ def is_blank(c: Column) -> Column:
     return ~F.regexp_like(c, F.lit(r"(?U)[^\s\x1C-\x1F]"))
 
 
+# The patterns of normalize_markdown and plain_text.
 def normalize_markdown(c: Column) -> Column:
     """Line feeds only, no blanks before them, at most two empty lines running, one line feed at the end."""
     lines = F.regexp_replace(c, F.lit(r"\r\n?"), F.lit("\n"))

@@ -148,7 +148,12 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "vec
                     scores = matrix[first : first + QUERIES_AT_ONCE] @ own.T
                     scores[some[:, None] == ids[None, :]] = -np.inf
                     least = np.partition(scores, -k, axis=1)[:, -k, None] if k < len(ids) else np.full((len(some), 1), -np.inf)
-                    row, col = np.nonzero((scores >= least) & (scores > -np.inf))  # ties at the last place all go on
+                    row, col = np.nonzero((scores >= least) & (scores > -np.inf))
+                    # Ties at the last place by id: of very many equal vectors no more than k go on.
+                    order = np.lexsort((ids[col], -scores[row, col], row))
+                    row, col = row[order], col[order]
+                    best = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    row, col = row[best], col[best]
                     columns = [pa.array(some[row]), pa.array(ids[col]), pa.array(scores[row, col])]
                     yield pa.RecordBatch.from_arrays(columns, names=["query_id", id_col, "score"])
 
@@ -181,12 +186,18 @@ def _matrix(batch) -> tuple[np.ndarray, np.ndarray]:
     return ids[there], own[there] / norm[there, None]
 
 
+#: Bytes of the matrix of queries that a task gets.
+QUERY_BYTES = 32 << 20
+
+
 def top_k_blocks(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", most: int = 10_000) -> DataFrame:
-    """``top_k`` for any number of queries, at most ``most`` of them at a time.
+    """``top_k`` for any number of queries, at most ``most`` of them, and QUERY_BYTES, at a time.
 
     Blocks are by a hash of the id. Where there is more than one, each is searched
     and written to the shared folder before the next is sent out.
     """
+    longest = queries.agg(F.max(F.size(vec_col))).first()[0] or 1
+    most = max(1, min(most, QUERY_BYTES // (8 * max(1, longest))))
     block = lambda n: F.pmod(F.xxhash64(id_col), F.lit(n))
     found, n = queries.limit(most + 1).count(), 1
     if found <= most:

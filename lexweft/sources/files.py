@@ -50,7 +50,7 @@ METADATA_REQUEST = "filename string, markdown string, fuente string"
 
 @dataclass(frozen=True)
 class Settings:
-    """Limits and names, each from an environment variable of its name in capitals, else from a ``.env`` file; others are ignored."""
+    """Limits and names (fixed values, with their defaults), each from an environment variable of its name in capitals, else from a ``.env`` file; others are ignored."""
 
     max_upload_mb: int = 75
     min_text_chars_for_native_pdf: int = 800
