@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import io
+import statistics
 import struct
 import time
 import wave
@@ -85,6 +86,9 @@ def test_whole_rows_of_the_query(spark, tmp_path):
             w.writeframes(payload)
         media = out.getvalue()
         feature = f"type=audio/wav;corrected=true;hits={1 + data.count(b'GIF89a')};embedded=0;parts=;mean={sum(payload) / len(payload):.6f}"
+        steps = [abs(x - y) for x, y in zip(payload, payload[1:])]
+        histogram = b"".join(payload.count(bytes([k])).to_bytes(8, "little") for k in range(256))
+        feature += f";spread={statistics.pstdev(payload):.6f};step={sum(steps) / len(steps):.6f};levels={zlib.crc32(histogram):08x}"
         want.append((doc_id, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
     names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
     got = [tuple(r[c] for c in names) for r in op4_media(spark, str(tmp_path)).collect()]
