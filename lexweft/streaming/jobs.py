@@ -8,6 +8,7 @@ a late row doesn't start it again; both go by a time to live, so state stays bou
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 DAY_MS = 86_400_000
@@ -75,14 +76,16 @@ class JobStates(StatefulProcessor):
 
 
 def track_jobs(events: DataFrame, ttl_ms: int = DAY_MS, tombstone_ms: int = DAY_MS) -> DataFrame:
-    """The state of each job after each batch of ``events`` (job_id, seq, status, filename, result, error), in whatever order they come.
+    """The state of each job after each batch of ``events`` (job_id, seq, status, and filename, result and error if there are), in whatever order they come.
 
     A job that sees no event for ``ttl_ms`` ends as failed. What comes for an
     ended job within ``tombstone_ms`` is ignored. Rows with a null ``seq`` are ignored; of a
     null job_id there is one job.
     """
     use_rocksdb(events.sparkSession)
-    return events.groupBy("job_id").transformWithState(JobStates(ttl_ms, tombstone_ms), OUT_SCHEMA, "update", "ProcessingTime")
+    said = [F.col(c) if c in events.columns else F.lit(None).cast("string").alias(c) for c in ("filename", "result", "error")]
+    own = events.select("job_id", F.col("seq").cast("long"), "status", *said)
+    return own.groupBy("job_id").transformWithState(JobStates(ttl_ms, tombstone_ms), OUT_SCHEMA, "update", "ProcessingTime")
 
 
 class Polling(StatefulProcessor):
