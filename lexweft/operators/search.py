@@ -51,7 +51,9 @@ def postings(chunked: DataFrame) -> DataFrame:
     """``(term, doc_id, chunk, facet, impact)``; written, with the number of chunks and their mean length taken on the way."""
     parts = materialize(chunked.select("doc_id", "chunk", "facet", "terms", F.size("terms").alias("length")), "chunks")
     n, mean = parts.agg(F.count("*"), F.avg("length")).first()
-    counted = parts.select("doc_id", "chunk", "facet", "length", F.explode("terms").alias("term")).groupBy("doc_id", "chunk", "facet", "length", "term").agg(F.count("*").alias("tf"))
+    # Dealt out by chunk before they are exploded, so that chunks move and not their terms.
+    dealt = parts.repartition("doc_id", "chunk")
+    counted = dealt.select("doc_id", "chunk", "facet", "length", F.explode("terms").alias("term")).groupBy("doc_id", "chunk", "facet", "length", "term").agg(F.count("*").alias("tf"))
     counted = materialize(counted, "frequencies")
     held = counted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(n or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -53,7 +53,7 @@ def rocksdb(spark):
 
 def test_states_restart_late_rows_and_timeout(spark, tmp_path, rocksdb):
     def states(events):
-        return track_jobs(events, ttl_ms=6_000)
+        return track_jobs(events, ttl_ms=30_000)
 
     feed = Feed(spark, tmp_path, EVENT, states)
     feed.send({"job_id": "a", "seq": 0, "status": "queued", "filename": "a.pdf"}, {"job_id": "b", "seq": 2, "status": "running"}, {"job_id": "b", "seq": 1, "status": "queued", "filename": "b.pdf"}, {"job_id": "n", "status": "queued"})
@@ -70,7 +70,7 @@ def test_states_restart_late_rows_and_timeout(spark, tmp_path, rocksdb):
     feed.send({"job_id": "a", "seq": 9, "status": "running"})  # late: the job has ended
     feed.until(lambda out: any(r.job_id == "b" and r.done for r in out))
     lost = next(r for r in feed.out if r.job_id == "b" and r.done)
-    assert (lost.status, lost.seq, lost.filename, lost.error) == ("failed", 2, "b.pdf", "TimeoutError: sin eventos en 6000 ms")
+    assert (lost.status, lost.seq, lost.filename, lost.error) == ("failed", 2, "b.pdf", "TimeoutError: sin eventos en 30000 ms")
     feed.send({"job_id": "b", "seq": 7, "status": "succeeded"}, {"job_id": "c", "seq": 1, "status": "failed", "error": "E: x"})
     feed.until(lambda out: any(r.job_id == "c" for r in out))
     feed.stop()

@@ -10,7 +10,7 @@ SHAPE = "document_id string, filename string, pages int, decision string, seq lo
 
 def test_a_package_waits_and_goes_on_once(spark, tmp_path, rocksdb):  # noqa: F811
     def waiting(rows):
-        return await_reviews(rows.where("filename IS NOT NULL").select("document_id", "filename", "pages"), rows.where("decision IS NOT NULL").select("document_id", "decision", "seq"), wait_ms=12_000)
+        return await_reviews(rows.where("filename IS NOT NULL").select("document_id", "filename", "pages"), rows.where("decision IS NOT NULL").select("document_id", "decision", "seq"), wait_ms=40_000)
 
     feed = Feed(spark, tmp_path, SHAPE, waiting)
     package = lambda d: {"document_id": d, "filename": f"{d}.pdf"}
@@ -31,4 +31,4 @@ def test_a_package_waits_and_goes_on_once(spark, tmp_path, rocksdb):  # noqa: F8
     got = {r.document_id: (json.loads(r.package), r.review) for r in feed.out}
     shown = lambda d: {"document_id": d, "filename": f"{d}.pdf", "pages": None}
     assert got == {"a": (shown("a"), "rejected"), "early": (shown("early"), "rejected"), "b": (shown("b"), "expired")} and len(feed.out) == 3
-    assert all(r.waited_ms >= 12_000 for r in feed.out if r.document_id == "b")
+    assert all(r.waited_ms >= 40_000 for r in feed.out if r.document_id == "b")
