@@ -1,7 +1,12 @@
-"""Near-duplicate groups by MinHash: sets of five-word shingles of Jaccard similarity 0.8 or more.
+"""Near-duplicate groups by SimHash and MinHash: sets of five-word shingles of Jaccard similarity 0.8 or more.
 
-A text is the set of the XXH64 hashes of its word shingles. MinHash bands only
-name candidates: of MINIMA minima, each of BANDS bands takes ROWS at random. Two
+A text is the set of the XXH64 hashes of its word shingles. SimHash fingerprints
+of the sets, joined within 2 bits on the grid of their segments' popcounts as in
+``simhash``, name the first candidates; those that are alike are groups from then on.
+Of a pair of similarity 0.8 the fingerprints differ in 15 % of their bits on average,
+which that join doesn't reach, so MinHash bands name the candidates for the rest.
+
+The bands only name candidates: of MINIMA minima, each of BANDS bands takes ROWS at random. Two
 sets of similarity 0.8 agree in 0.8 of the minima, give or take 0.03, and pass
 each other in all bands with probability 0.0004 (0.00001 if they agree in just
 0.8); sets that share a common passage, of similarity 0.3, meet in one band of
@@ -36,10 +41,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweft.llm import simhash
 from lexweft.llm.common import bound_batches, give_back, join_by_key, materialize, packed
 from lexweft.llm.components import connected_components
 from lexweft.llm.pieces import forget
-from lexweft.llm.simhash import shingle_hashes
+from lexweft.llm.simhash import majority, shingle_hashes
+from lexweft.sources.shared import discard, write_shared
 
 MINIMA, BANDS, ROWS = 160, 64, 8
 STARS = 3
@@ -108,7 +115,7 @@ def _set_key(hashes: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, words_each: int = 5) -> DataFrame:
-    """``(doc_id, th, node, n, bands, sketch, odd)`` for each row: hash of the text, hash and size of its set, band hashes, sketches."""
+    """``(doc_id, th, node, n, fp, bands, sketch, odd)`` for each row: hash of the text, hash, size and fingerprint of its set, band hashes, sketches."""
 
     def lists(found, width):
         flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
@@ -117,22 +124,24 @@ def signatures(docs: DataFrame, words_each: int = 5) -> DataFrame:
     def run(batches):
         forget()
         for batch in batches:
-            nodes, sizes, found, drawn, odd = [], [], [], [], []
+            nodes, sizes, fps, found, drawn, odd = [], [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 hashes = shingle_set(text or b"", words_each)
                 nodes.append(_set_key(hashes))
                 sizes.append(len(hashes))
+                at = range(0, len(hashes), simhash.BITS_AT_ONCE)
+                fps.append(majority(hashes[a : a + simhash.BITS_AT_ONCE] for a in at))
                 least = minima(hashes)
                 found.append(bands(least))
                 drawn.append(sketch(least))
                 odd.append(odd_sketch(hashes))
-            columns = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists(found, BANDS), lists(drawn, SKETCH // 16), lists(odd, ODD // 64)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "node", "n", "bands", "sketch", "odd"])
+            columns = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), lists(found, BANDS), lists(drawn, SKETCH // 16), lists(odd, ODD // 64)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "node", "n", "fp", "bands", "sketch", "odd"])
         give_back()
 
     bound_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").cast("binary"))
-    return own.mapInArrow(run, "doc_id long, th long, node long, n long, bands array<long>, sketch array<long>, odd array<long>")
+    return own.mapInArrow(run, "doc_id long, th long, node long, n long, fp long, bands array<long>, sketch array<long>, odd array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
@@ -152,50 +161,70 @@ def _sets(docs: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
     return one.mapInArrow(run, "node long, hashes array<long>")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose sets are ``similarity`` or more alike, compared in the JVM, a pair at a time.
+def close_fingerprints(nodes: DataFrame) -> DataFrame:
+    """``(u, v, u_n, v_n)``, u above v, for pairs of ``nodes`` (node, n, fp) that connect all those within 2 bits of each other."""
+    held = nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("least"), F.count("*").alias("c"))
+    held = materialize(held.select("fp", F.col("least.node").alias("v"), F.col("least.n").alias("v_n"), "c"), "fingerprints")
+    # Nodes of one fingerprint are a star around their least one, and those stars are linked.
+    same = join_by_key(nodes.select("node", "n", "fp"), held.where("c > 1"), "fp", nodes.count(), "c")
+    same = same.select(F.col("node").alias("u"), "v", F.col("n").alias("u_n"), "v_n").where("u <> v")
+    side = F.struct(F.col("v").alias("node"), F.col("v_n").alias("n"))
+    near = simhash.links(held.select("fp")).join(held.select(F.col("fp").alias("u"), side.alias("a")), "u")
+    near = near.join(held.select(F.col("fp").alias("v"), side.alias("b")), "v").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
+    return same.union(near.select("x.node", "y.node", "x.n", "y.n"))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, label: str) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose sets are ``similarity`` or more alike, compared in the JVM, a pair at a time; written.
 
     v may be the centre of very many pairs: its set is sent once for each
     PAIRS_AT_ONCE of them, to as many tasks.
     """
-    pairs = materialize(pairs, "pairs")
+    pairs, path = write_shared(pairs, "pairs")
     asked = pairs.groupBy("v").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / PAIRS_AT_ONCE).cast("int"))
     dealt = join_by_key(pairs, asked, "v", pairs.count()).withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int"))
     left = sets.select(F.col("node").alias("u"), F.col("hashes").alias("u_set"))
     copies = asked.select("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     right = sets.select(F.col("node").alias("v"), F.col("hashes").alias("v_set")).join(copies, "v")
     both = dealt.join(left, "u").join(right, ["v", "part"]).withColumn("both", F.size(F.array_intersect("u_set", "v_set")))
-    return both.where(F.col("both") / (F.size("u_set") + F.size("v_set") - F.col("both")) >= similarity).select("u", "v")
+    found = materialize(both.where(F.col("both") / (F.size("u_set") + F.size("v_set") - F.col("both")) >= similarity).select("u", "v"), label)
+    discard(pairs.sparkSession, path)
+    return found
 
 
-def _grouped(met: DataFrame, star: DataFrame) -> DataFrame:
-    """``met`` (cell, node, n, sketch, others) with each node's root, without cells whose nodes are all of one group."""
+def _grouped(met: DataFrame, star: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``met`` (cell, node, n, sketch, others) with each node's root, without cells whose nodes are all of one group; written, and where."""
     own = met.join(star.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
     own = own.withColumn("root", F.coalesce("root", "node"))
-    own = materialize(own.select("cell", "node", "n", "sketch", "others", "root"), "rooted")
+    own, path = write_shared(own.select("cell", "node", "n", "sketch", "others", "root"), "rooted")
     mixed = own.groupBy("cell").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("rows")).where("a <> b").select("cell", "rows")
-    return join_by_key(own, mixed, "cell", own.count(), "rows").select("cell", "node", "n", "sketch", "others", "root")
+    found = write_shared(join_by_key(own, mixed, "cell", own.count(), "rows").select("cell", "node", "n", "sketch", "others", "root"), label)
+    discard(met.sparkSession, path)
+    return found
 
 
 def links(docs: DataFrame, nodes: DataFrame, words_each: int, similarity: float) -> DataFrame:
     """``(u, v)`` where v is the least node of u's group, for nodes that have a group and aren't its least."""
     cells = nodes.select(F.explode("bands").alias("cell"), "node")
     shared = cells.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1")
-    some = materialize(join_by_key(cells, shared.withColumn("others", F.col("c")), "cell", BANDS * nodes.count(), "c").select("cell", "node", "others"), "shared")
+    some, path = write_shared(join_by_key(cells, shared.withColumn("others", F.col("c")), "cell", BANDS * nodes.count(), "c").select("cell", "node", "others"), "shared")
     known = some.groupBy("node").agg(F.sum("others").alias("others")).join(nodes.select("node", "n", "sketch"), "node")
     met = materialize(some.drop("others").join(known, "node").select("cell", "node", "n", "sketch", "others"), "cells")
-    wanted = nodes.join(met.select("node").distinct(), "node").select("node", "th")
-    sets = materialize(_sets(docs, wanted, words_each), "sets")
+    discard(docs.sparkSession, path)
     sized = lambda a, b: F.least(a, b) / F.greatest(a, b) >= similarity  # noqa: E731  no other pair can be alike
-    star = None
+    close = materialize(close_fingerprints(nodes).where(sized(F.col("u_n"), F.col("v_n"))).select("u", "v"), "close")
+    compared = met.select("node").union(close.select("u")).union(close.select("v")).distinct()
+    wanted = nodes.join(compared, "node").select("node", "th")
+    sets = materialize(_sets(docs, wanted, words_each), "sets")
+    star = connected_components(_alike(close, sets, similarity, "alike-simhash"), "simhash")
     for step in range(STARS + 1):
-        now = met.withColumn("root", F.col("node")) if star is None else _grouped(met, star)
-        now = materialize(now, f"open-{step}")
-        if star is not None and now.isEmpty():
+        now, path = _grouped(met, star, f"open-{step}")
+        if now.isEmpty():
             break
         if step < STARS:
             first = -F.col("others") if step == 0 else F.lit(0)
-            order = F.struct(F.col("root") != F.col("node"), first, F.xxhash64(F.lit(step), "node"), "node", "n", "sketch", "root")
+            grouped = F.lit(False) if step == 0 else F.col("root") != F.col("node")
+            order = F.struct(grouped.alias("grouped"), first, F.xxhash64(F.lit(step), "node"), "node", "n", "sketch", "root")
             centre = now.groupBy("cell").agg(F.min(order).alias("c"), F.count("*").alias("rows"))
             centre = centre.select("cell", "rows", *(F.col(f"c.{k}").alias(f"o_{k}") for k in ("node", "n", "sketch", "root")))
             pairs = join_by_key(now, centre, "cell", now.count(), "rows").where("root <> o_root")
@@ -208,10 +237,11 @@ def links(docs: DataFrame, nodes: DataFrame, words_each: int, similarity: float)
             pairs = now.join(other, "cell").where(F.col("root") < F.col("o_root")).where(differ <= most)
         pairs = pairs.where(_apart("sketch", "o_sketch") <= MOST_APART)
         pairs = pairs.where(sized(F.col("n"), F.col("o_n"))).select(F.least("node", "o_node").alias("v"), F.greatest("node", "o_node").alias("u")).distinct()
-        alike = materialize(_alike(pairs, sets, similarity), f"alike-{step}")
-        if star is None or not alike.isEmpty():
+        alike = _alike(pairs, sets, similarity, f"alike-{step}")
+        discard(docs.sparkSession, path)
+        if not alike.isEmpty():
             # What is grouped already is a star, which goes on as it is.
-            star = connected_components(alike if star is None else star.unionByName(alike), "minhash")
+            star = connected_components(star.unionByName(alike), "minhash")
     return star
 
 
@@ -219,7 +249,7 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, similarity: float = 0.
     """``(doc_id, th, node, root, component_id)`` for each row of ``docs``."""
     rows = materialize(signatures(docs, words_each), "signatures")
     of_node = rows.groupBy("node").agg(
-        F.min("doc_id").alias("least_id"), F.min("th").alias("th"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("odd").alias("odd"), F.count("*").alias("rows")
+        F.min("doc_id").alias("least_id"), F.min("th").alias("th"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("odd").alias("odd"), F.count("*").alias("rows")
     )
     nodes = materialize(of_node, "nodes")
     star = links(docs, nodes, words_each, similarity)

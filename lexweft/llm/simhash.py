@@ -62,8 +62,13 @@ def shingle_hashes(data: bytes, words_each: int):
 
 def fingerprint(data: bytes, words_each: int = 3) -> int:
     """SimHash over XXH64 (seed 42) of word shingles, as an unsigned integer."""
+    return majority(shingle_hashes(data, words_each))
+
+
+def majority(parts) -> int:
+    """The bits that are set in over half the hashes of all ``parts``, as an unsigned integer; zero for none."""
     total, n = np.zeros(64, np.int64), 0
-    for hashes in shingle_hashes(data, words_each):
+    for hashes in parts:
         total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         n += len(hashes)
     return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from lexweft.llm import minhash
+from lexweft.llm import minhash, simhash
 
 
 def _grams(text):
@@ -101,3 +101,44 @@ def test_a_large_group_that_hardly_links(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()}
     assert [got[i] for i in range(len(texts))] == group and len(set(group)) > 20
+
+
+def test_fingerprints_on_the_grid_name_the_first_candidates(spark, monkeypatch):
+    """The stage's first groups are those of close fingerprints whose sets are alike, before any band is compared."""
+    rnd = random.Random(11)
+    texts = []
+    for _ in range(8):
+        words = [f"w{rnd.randrange(9000)}" for _ in range(700)]
+        texts += [" ".join(words), " ".join([*words, "end"]), " ".join([*words[:-3], "other", *words[-2:]])]
+    texts += ["a b", "a b c"]
+    grams = [_grams(t) for t in texts]
+    sets = [minhash.shingle_set(t.encode()) for t in texts]
+    prints = [simhash.majority([x]) for x in sets]
+    keys = [minhash._set_key(x) for x in sets]
+    near = {frozenset((keys[i], keys[j])) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2}
+    alike = {frozenset((keys[i], keys[j])) for i in range(len(texts)) for j in range(i) if _jaccard(grams[i], grams[j]) >= 0.8}
+    steps, write, grid = [], minhash.materialize, simhash.links
+
+    def written(df, label):
+        out = write(df, label)
+        steps.append((label, [tuple(r) for r in out.collect()] if label in ("close", "alike-simhash") else None))
+        return out
+
+    joined = []
+    monkeypatch.setattr(minhash, "materialize", written)
+    monkeypatch.setattr(simhash, "links", lambda *a: joined.append(1) or grid(*a))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in minhash.dedup_stage(spark, df, "").collect())
+    assert kept == [*range(0, 24, 3), 24, 25] and joined
+    seen = dict(steps)
+    labels = [label for label, _ in steps]
+    assert labels.index("alike-simhash") < labels.index("members")
+    assert "alike-0" not in labels or labels.index("alike-simhash") < labels.index("alike-0")
+    close, found = ({frozenset(p) for p in seen[x]} for x in ("close", "alike-simhash"))
+    assert close <= near and found == close & alike and found
+    # All that are close are connected by the pairs that are listed, of sizes that may be alike.
+    group = {k: k for k in keys}
+    for a, b in map(tuple, close):
+        x, y = group[a], group[b]
+        group = {k: x if g == y else g for k, g in group.items()}
+    assert all(group[a] == group[b] for a, b in map(tuple, near & alike))
