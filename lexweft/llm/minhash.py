@@ -42,11 +42,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweft.llm import simhash
-from lexweft.llm.common import bound_batches, give_back, join_by_key, materialize, packed
+from lexweft.llm.common import HOT_KEYS, bound_batches, discard, give_back, in_few_parts, join_by_key, join_by_key_or_all, materialize, packed, recorded, write_shared
 from lexweft.llm.components import connected_components
 from lexweft.llm.pieces import forget
 from lexweft.llm.simhash import majority, shingle_hashes
-from lexweft.sources.shared import discard, write_shared
 
 MINIMA, BANDS, ROWS = 160, 64, 8
 STARS = 3
@@ -182,9 +181,12 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, label: str) ->
     """
     pairs, path = write_shared(pairs, "pairs")
     asked = pairs.groupBy("v").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / PAIRS_AT_ONCE).cast("int"))
-    dealt = join_by_key(pairs, asked, "v", pairs.count()).withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int"))
+    total = pairs.count()
+    dealt = join_by_key_or_all(pairs, asked, "v", total).withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int"))
     left = sets.select(F.col("node").alias("u"), F.col("hashes").alias("u_set"))
     copies = asked.select("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    # Each node asked for has one part at least, and one more for each PAIRS_AT_ONCE pairs.
+    copies = F.broadcast(in_few_parts(copies, total)) if 2 * total <= HOT_KEYS else copies
     right = sets.select(F.col("node").alias("v"), F.col("hashes").alias("v_set")).join(copies, "v")
     both = dealt.join(left, "u").join(right, ["v", "part"]).withColumn("both", F.size(F.array_intersect("u_set", "v_set")))
     found = materialize(both.where(F.col("both") / (F.size("u_set") + F.size("v_set") - F.col("both")) >= similarity).select("u", "v"), label)
@@ -194,7 +196,8 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, label: str) ->
 
 def _grouped(met: DataFrame, star: DataFrame, label: str) -> tuple[DataFrame, str]:
     """``met`` (cell, node, n, sketch, others) with each node's root, without cells whose nodes are all of one group; written, and where."""
-    own = met.join(star.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
+    root = star.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    own = met.join(F.broadcast(root) if star.count() <= HOT_KEYS else root, "node", "left")
     own = own.withColumn("root", F.coalesce("root", "node"))
     own, path = write_shared(own.select("cell", "node", "n", "sketch", "others", "root"), "rooted")
     mixed = own.groupBy("cell").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("rows")).where("a <> b").select("cell", "rows")
@@ -247,11 +250,13 @@ def links(docs: DataFrame, nodes: DataFrame, words_each: int, similarity: float)
 
 def near_duplicates(docs: DataFrame, words_each: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, th, node, root, component_id)`` for each row of ``docs``."""
-    rows = materialize(signatures(docs, words_each), "signatures")
+    rows, path = write_shared(signatures(docs, words_each), "signatures")
     of_node = rows.groupBy("node").agg(
         F.min("doc_id").alias("least_id"), F.min("th").alias("th"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("odd").alias("odd"), F.count("*").alias("rows")
     )
     nodes = materialize(of_node, "nodes")
+    rows = materialize(rows.select("doc_id", "th", "node"), "rows")
+    discard(docs.sparkSession, path)
     star = links(docs, nodes, words_each, similarity)
     own = nodes.join(star.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
     member = materialize(own.select("node", "least_id", "rows", F.coalesce("root", "node").alias("root")), "members")
@@ -262,10 +267,14 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, similarity: float = 0.
 
 def drop_near_duplicates(docs: DataFrame, words_each: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of ``docs`` for each component, that of the least doc_id (null last), with all its columns."""
-    found = near_duplicates(docs, words_each, similarity)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    first = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("k_id"), F.col("first.th").alias("k_th"))
-    first = materialize(first, "keepers")
+    with recorded() as paths:
+        found = near_duplicates(docs, words_each, similarity)
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+        first = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("k_id"), F.col("first.th").alias("k_th"))
+        first = materialize(first, "keepers")
+    # The result reads the last of them alone.
+    for path in paths[:-1]:
+        discard(docs.sparkSession, path)
     own = docs.select(packed(docs), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_th"))
     kept = own.join(first, F.col("own_id").eqNullSafe(F.col("k_id")) & (F.col("own_th") == F.col("k_th")))
     # Repeated rows: any of them stands for all.

@@ -1,10 +1,13 @@
 """Tables written to the folder that a cluster shares, which cut lineage and survive lost executors."""
 
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_FOLDER = "file:///tmp/checkpoints"
+_RECORDS: ContextVar[tuple] = ContextVar("records", default=())
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -33,6 +36,8 @@ def write_shared(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.parquet(path)
+    for record in _RECORDS.get():
+        record.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -42,6 +47,17 @@ def discard(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def recorded():
+    """A list of the paths of all tables that this thread writes to the shared folder meanwhile, for ``discard``."""
+    paths: list[str] = []
+    token = _RECORDS.set((*_RECORDS.get(), paths))
+    try:
+        yield paths
+    finally:
+        _RECORDS.reset(token)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
